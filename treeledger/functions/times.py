@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,57 +36,56 @@ DIRECTIVES = {
 _ISO = (
     r"^(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d))"
     r"(?:(?s:.)(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?"
-    r"(?:Z|([+-])(\d\d):?(\d\d)(?::?(\d\d))?)?)?$"
+    r"(?:Z|([+-])([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d))?)?)?)?$"
 )
 
 
-def _timestamp(*parts: Column) -> Column:
-    return F.try_make_timestamp_ntz(*parts)
+def _layout_pattern(layouts: Sequence[str]) -> tuple[str, str]:
+    """One pattern for all layouts, and the replacement that writes any match as ``Y-m-d H:M:S``."""
+    alternatives, groups = [], {directive: "" for directive in DIRECTIVES}
+    for layout in layouts:
+        found = re.findall("%[YmdHMS]", layout)
+        for directive in found:
+            groups[directive] += f"${len(alternatives) * len(DIRECTIVES) + found.index(directive) + 1}"
+        pattern = layout
+        for directive, accepted in DIRECTIVES.items():
+            pattern = pattern.replace(directive, accepted)
+        alternatives.append(pattern)
+    # a group of an alternative that did not match is written as nothing
+    replacement = "{%Y}-{%m}-{%d} {%H}:{%M}:{%S}"
+    for directive, references in groups.items():
+        replacement = replacement.replace("{" + directive + "}", references)
+    return f"^(?:{'|'.join(alternatives)})$", replacement
 
 
-def strptime(text: Column, layout: str) -> Column:
-    """Whole-string parse of a layout with the six numeric directives; NULL where it does not fit."""
-    pattern = layout
-    for directive, accepted in DIRECTIVES.items():
-        pattern = pattern.replace(directive, accepted)
-    pattern = f"^{pattern}$"
-    parts = [F.try_to_number(F.regexp_extract(text, pattern, i + 1), F.lit("9999")).cast("int") for i in range(6)]
-    # second 60 is no valid time of day, where Spark would roll it over to the next minute
-    return F.when(parts[5] < 60, _timestamp(*parts[:5], parts[5].cast("decimal(16,6)")))
+def strptime(text: Column, layouts: Sequence[str]) -> Column:
+    """Whole-string parse by the first fitting layout of the six numeric directives; NULL where none fits."""
+    pattern, replacement = _layout_pattern(layouts)
+    written = F.regexp_replace(text, pattern, replacement)
+    return F.when(F.regexp_like(text, F.lit(pattern)), written.try_cast("timestamp_ntz"))
 
 
 def parse_run_timestamp(name: Column) -> Column:
     """Time stamp when the whole run name is one, else NULL."""
-    return F.coalesce(*[strptime(name, layout) for layout in RUN_NAME_LAYOUTS])
+    return strptime(name, RUN_NAME_LAYOUTS)
 
 
 def parse_iso(text: Column) -> Column:
     """Naive UTC time of an ISO-8601 text, else NULL."""
-
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, _ISO, i)
-
-    def number(i: int) -> Column:
-        value = group(i)
-        return F.when(value == "", 0).otherwise(value.try_cast("int"))
-
-    month = F.when(group(2) != "", number(2)).otherwise(number(4))
-    day = F.when(group(3) != "", number(3)).otherwise(number(5))
-    micros = F.rpad(F.substring(group(9), 1, 6), 6, "0")
-    second = F.concat(F.lpad(F.when(group(8) == "", "0").otherwise(group(8)), 2, "0"), F.lit("."), micros)
-    local = F.when(
-        number(8) < 60,
-        _timestamp(number(1), month, day, number(6), number(7), second.try_cast("decimal(16,6)")),
-    )
-    shift = number(11) * 3600 + number(12) * 60 + number(13)
-    shift = F.when(group(10) == "-", -shift).otherwise(shift)
-    return F.when(F.regexp_like(text, F.lit(_ISO)), local - F.make_dt_interval(secs=shift.cast("decimal(18,6)")))
+    # parts that are missing come out empty and are filled up with zeros
+    written = F.regexp_replace(text, _ISO, "$1-$2$4-$3$5 h$6:m$7:s$8.$9")
+    for marker in ("h:", "m:", "s."):
+        written = F.replace(written, F.lit(marker), F.lit("00" + marker[1]))
+    local = F.concat(F.translate(written, "hms", ""), F.lit("0")).try_cast("timestamp_ntz")
+    offset = F.regexp_replace(F.regexp_replace(text, _ISO, "$10$11:$12:$13"), ":(?=:|$)", ":00")
+    shift = F.coalesce(offset.try_cast("interval hour to second"), F.expr("INTERVAL '0' SECOND"))
+    return F.when(F.regexp_like(text, F.lit(_ISO)), local - shift)
 
 
 def parse_metadata_timestamp(value: Column) -> Column:
     """Time stamp of run metadata: blanks trimmed, one closing ``Z`` dropped, ISO-8601 or a fallback layout."""
     text = F.regexp_replace(F.btrim(value, F.lit(PY_WHITESPACE)), "Z$", "")
-    return F.coalesce(parse_iso(text), *[strptime(text, layout) for layout in METADATA_LAYOUTS])
+    return F.coalesce(parse_iso(text), strptime(text, METADATA_LAYOUTS))
 
 
 def run_type(mode: Column) -> Column:

@@ -11,6 +11,8 @@ import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 from typing import Any
 from xml.etree import ElementTree
 
@@ -136,38 +138,34 @@ class RegexMatchCountAnalyzer(Analyzer):
         translated = [jvm_pattern(p) for p in self.patterns]
         if self.engine == "python" or None in translated or not translated:
             return super().columns(text)
-        pairs = list(zip(self.patterns, translated, strict=True))
-        counts = [_match_count(text, jvm) for _, jvm in pairs]
-        total = counts[0]
-        for count in counts[1:]:
-            total = total + count
+        # counts are the sizes of the listed matches: the same expression, so a text is searched once for both
+        listed = [_groups(text, jvm) for jvm in translated]
+        counts = [F.size(groups[0]).cast("bigint") for groups in listed]
         per_pattern = [
-            F.struct(count.alias("count"), _matches(text, jvm).alias("matches")).alias(pattern)
-            for (pattern, jvm), count in zip(pairs, counts, strict=True)
+            F.struct(count.alias("count"), _matches(groups).alias("matches")).alias(pattern)
+            for pattern, groups, count in zip(self.patterns, listed, counts, strict=True)
         ]
+        total = F.when(text.isNotNull(), reduce(add, counts))
         return total, F.when(text.isNotNull(), F.to_json(F.struct(*per_pattern)))
 
 
-def _match_count(text: Column, pattern: JvmPattern) -> Column:
-    count = F.regexp_count(text, F.lit(pattern.regex)).cast("bigint")
-    if not pattern.literal:
-        return count
-    return F.when(text.contains(pattern.literal), count).when(text.isNotNull(), F.lit(0).cast("bigint"))
+def _groups(text: Column, pattern: JvmPattern) -> list[Column]:
+    """All matches, as whole texts or per group."""
+    found = []
+    for i in range(1, pattern.groups + 1) if pattern.groups else [0]:
+        group = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(i))
+        if pattern.literal:
+            group = F.when(text.contains(pattern.literal), group).otherwise(F.array().cast("array<string>"))
+        found.append(group)
+    return found
 
 
-def _matches(text: Column, pattern: JvmPattern) -> Column:
+def _matches(groups: list[Column]) -> Column:
     """What ``findall`` lists: whole matches, the one group, or the list of groups."""
-
-    def group(i: int) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(i))
-        if not pattern.literal:
-            return found
-        return F.when(text.contains(pattern.literal), found).otherwise(F.array().cast("array<string>"))
-
-    if pattern.groups <= 1:
-        return group(pattern.groups)
-    names = [f"g{i}" for i in range(1, pattern.groups + 1)]
-    zipped = F.arrays_zip(*[group(i + 1).alias(n) for i, n in enumerate(names)])
+    if len(groups) == 1:
+        return groups[0]
+    names = [f"g{i}" for i in range(len(groups))]
+    zipped = F.arrays_zip(*[group.alias(n) for group, n in zip(groups, names, strict=True)])
     return F.transform(zipped, lambda m: F.array(*[m[n] for n in names]))
 
 

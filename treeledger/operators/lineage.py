@@ -11,49 +11,56 @@ from ..scratch import materialize
 from .skew import spread_join
 
 
-def first_parent_jumps(commit_parents: DataFrame) -> DataFrame:
-    """Links ``child, parent`` over 2, 4, 8, … first-parent steps.
+def first_parent_jumps(commit_parents: DataFrame) -> list[DataFrame]:
+    """Tables ``hash, ahead`` of the ancestor 1, 2, 4, 8, … first-parent steps away, until no history is that long.
 
-    With them a history of depth d is walked in about log2(d) rounds instead of d. There are at most log2(d) links per
-    commit. A fork point is the end of many links of one length, so every join is spread.
+    A fork point is the end of many steps of one length, so every doubling join is spread.
     """
-    if "ordinal" in commit_parents.columns:
-        first = F.min_by("parent", "ordinal")
-    else:
-        first = F.min("parent")
-    jumps = materialize(commit_parents.groupBy("child").agg(first.alias("parent")), "jumps")
-    lengths = []
-    while (size := jumps.count()) > 0:
-        lengths.append(jumps)
-        onward = jumps.select(F.col("child").alias("parent"), F.col("parent").alias("target"))
-        joined = spread_join(jumps, onward, ["parent"], ["child"], most=size)
-        jumps = materialize(joined.select("child", F.col("target").alias("parent")), "jumps")
-    return reduce(DataFrame.unionByName, lengths[1:], jumps)
+    first = F.min_by("parent", "ordinal") if "ordinal" in commit_parents.columns else F.min("parent")
+    step = materialize(commit_parents.groupBy(F.col("child").alias("hash")).agg(first.alias("ahead")), "jump")
+    jumps = []
+    while (size := step.count()) > 0:
+        jumps.append(step)
+        onward = step.select(F.col("hash").alias("ahead"), F.col("ahead").alias("further"))
+        doubled = spread_join(step, onward, ["ahead"], ["hash"], most=size)
+        step = materialize(doubled.select("hash", F.col("further").alias("ahead")), "jump")
+    return jumps
 
 
 def reachable(
-    commit_parents: DataFrame, tips: DataFrame, jumps: DataFrame | None = None, until: str | None = None
+    commit_parents: DataFrame, tips: DataFrame, jumps: list[DataFrame] | None = None, until: str | None = None
 ) -> DataFrame:
     """All ancestors of every tip, the tip included: ``tip, hash`` for ``tips(hash)``.
 
-    Rounds of frontier expansion, each a join, a distinct and an anti join against what is known; every round is written
-    out, so neither the plan nor the work to redo after a lost executor grows. ``until`` stops as soon as that commit is
-    reached from some tip.
+    A round follows the first parents of all entry points to the root and then takes the other parents of what it found
+    as new entry points. Taking the longest jumps first, a path of d commits is found by log2(d) joins that touch about
+    2d rows, so the depth of a history costs next to nothing; the number of rounds is that of merges nested in merges.
+    Each round is written out, so neither the plan nor the work to redo after a lost executor grows. ``until`` stops after
+    the round that reaches that commit.
     """
     jumps = first_parent_jumps(commit_parents) if jumps is None else jumps
-    links = commit_parents.select(F.col("child").alias("hash"), "parent")
-    links = materialize(links.unionByName(jumps.select(F.col("child").alias("hash"), "parent")), "links")
-    frontier = materialize(tips.select(F.col("hash").alias("tip"), "hash").distinct(), "reach")
-    found = [frontier]
-    while (size := frontier.count()) > 0:
-        if until and not frontier.where(F.col("hash") == until).isEmpty():
+    entries = materialize(tips.select(F.col("hash").alias("tip"), "hash").distinct(), "entries")
+    found: list[DataFrame] = []
+    while not entries.isEmpty():
+        paths = entries
+        for jump in reversed(jumps):
+            both = F.explode(F.array_compact(F.array("hash", "ahead")))
+            paths = paths.join(jump, "hash", "left").select("tip", both.alias("hash")).distinct()
+        new = materialize(_unknown(paths, found), "reach")
+        found.append(new)
+        if until and not new.where(F.col("hash") == until).isEmpty():
             break
-        ahead = spread_join(frontier, links, ["hash"], ["tip"], most=size)
-        ahead = ahead.select("tip", F.col("parent").alias("hash")).distinct()
-        known = reduce(DataFrame.unionByName, found)
-        frontier = materialize(ahead.join(known, ["tip", "hash"], "left_anti"), "reach")
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+        links = commit_parents.select(F.col("child").alias("hash"), "parent")
+        onward = spread_join(new, links, ["hash"], ["tip"], most=new.count())
+        entries = _unknown(onward.select("tip", F.col("parent").alias("hash")).distinct(), found)
+        entries = materialize(entries, "entries")
+    return reduce(DataFrame.unionByName, found) if found else entries
+
+
+def _unknown(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    if not found:
+        return rows
+    return rows.join(reduce(DataFrame.unionByName, found), ["tip", "hash"], "left_anti")
 
 
 def commit_in_branch(commit_parents: DataFrame, tip: str, commit_hash: str) -> bool:

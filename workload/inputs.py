@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from treeledger.scratch import materialize
 
 TABLES = ("documents", "pages", "benchmark", "events", "orders", "lineitem", "customer")
 
@@ -43,6 +46,12 @@ f AS (
         sha1(text), text FROM benchmark)
 """
 
+# The same as stored trees and contents: content is kept once per hash.
+LAKE = """
+tree_entries AS (SELECT commit_hash, path, '100644' AS mode, hash FROM f),
+blob_texts AS (SELECT hash, min(content) AS content FROM f GROUP BY hash)
+"""
+
 # A commit graph: every tenth event is on the main line and merges the side branch of the nine events before it.
 COMMITS = """
 commits AS (
@@ -165,16 +174,44 @@ tree_objects AS (
 """
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One of the driver's tables; its schema is looked up once."""
+    path = f"{folder}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def derive(spark: SparkSession, folder: str, parts: tuple[str, ...], name: str) -> DataFrame:
-    """One derived table; ``parts`` are the texts above that define it and what it builds on."""
+    """One derived table, stored once per session; ``parts`` are the texts above that define it and what it builds on.
+
+    Repositories and runs are stored tables in use, so the queries read stored tables here too. The files a table was
+    derived from are part of its key: other data in the same folder is derived anew.
+    """
     query = f"WITH {', '.join(parts)} SELECT * FROM {name}"
     tables = {}
     for table in TABLES:
         placed = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{source_{table}}}", query)
         if placed != query:
             query = placed
-            tables[f"source_{table}"] = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spark.sql(query, **tables)
+            tables[f"source_{table}"] = table
+    key = (spark.sparkContext.applicationId, query, *(_fingerprint(spark, folder, t) for t in tables.values()))
+    if key not in _stored:
+        sources = {placeholder: read_table(spark, folder, table) for placeholder, table in tables.items()}
+        _stored[key] = materialize(spark.sql(query, **sources), re.sub(r"\W.*", "", name, flags=re.S) or "derived")
+    return _stored[key]
+
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _fingerprint(spark: SparkSession, folder: str, table: str) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    files = spark.read.format("binaryFile").load(f"{folder}/{table}.parquet")
+    return tuple(sorted(tuple(row) for row in files.select("path", "length", "modificationTime").collect()))
 
 
 def oracle(parts: tuple[str, ...], query: str, recursive: bool = False) -> str:

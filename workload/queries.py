@@ -19,7 +19,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, FILES, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle
+from .inputs import COMMITS, FILES, LAKE, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,13 +139,12 @@ def files_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_entries(spark: SparkSession, sf: str) -> DataFrame:
-    mode = F.lit("100644").alias("mode")
-    return files_at(spark, sf).select("commit_hash", "path", mode, "hash")
+    return derive(spark, sf, (FILES, LAKE), "tree_entries")
 
 
 def blobs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = files_at(spark, sf).select("hash", F.encode("content", "UTF-8").alias("content"))
-    return rows.dropDuplicates(["hash"])
+    rows = derive(spark, sf, (FILES, LAKE), "blob_texts")
+    return rows.select("hash", F.encode("content", "UTF-8").alias("content"))
 
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,13 +282,13 @@ def normalize_paths(spark, sf):
     "FROM orders"
 )
 def delta_status(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = read_table(spark, sf, "orders")
     return orders.select("o_orderkey", paths.delta_status(F.col("o_orderkey") % 13).alias("letter"))
 
 
 @case(f"SELECT doc_id, {sql_bin('n_chars')} AS size_range, {sql_bin('-n_chars')} AS negative_range FROM documents")
 def size_bins(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_table(spark, sf, "documents")
     value = F.col("n_chars")
     return docs.select(
         "doc_id", paths.size_bin(value).alias("size_range"), paths.size_bin(-value).alias("negative_range")
@@ -330,7 +329,7 @@ def binary_and_decode(spark, sf):
         .when(kind == 2, F.concat(F.lit(b"\xc3(\x80"), text, F.lit(b"\xff\xef\xbf\xbd\xe2\x82")))
         .otherwise(F.concat(text, F.lit(b"\x00")))
     )
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", content.alias("content"))
+    rows = read_table(spark, sf, "documents").select("doc_id", content.alias("content"))
     decoded = content_functions.snapshot_text(F.lit("a"), F.col("content"))
     return rows.select(
         "doc_id", content_functions.is_binary(F.col("content")).alias("is_binary"), F.md5(decoded).alias("text_md5")
@@ -341,7 +340,7 @@ def binary_and_decode(spark, sf):
     "SELECT doc_id, sha1(concat('blob ', octet_length(encode(text)), chr(0), text)) AS blob_hash FROM documents"
 )
 def blob_hashes(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_table(spark, sf, "documents")
     return docs.select("doc_id", content_functions.git_blob_hash(F.encode("text", "UTF-8")).alias("blob_hash"))
 
 
@@ -703,7 +702,7 @@ def run_manifest(spark, sf):
     "SELECT o_orderkey, 'sprint,team' AS names, concat('s', o_orderkey) AS sprint FROM orders"
 )
 def metadata_merge(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = read_table(spark, sf, "orders")
     extra = F.create_map(
         F.lit("run_id"),
         F.lit("mine"),
@@ -949,7 +948,7 @@ def insert_if_absent(spark, sf):
 
 @case("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_check(spark, sf):
-    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lineitem = read_table(spark, sf, "lineitem")
     return sinks.duplicate_keys(lineitem, ["l_orderkey", "l_linenumber"])
 
 
