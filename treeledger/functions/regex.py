@@ -33,8 +33,9 @@ class _Unsupported(Exception):
 def jvm_pattern(pattern: str) -> JvmPattern | None:
     """JVM spelling of a Python pattern, or None where the two engines may differ.
 
-    Left to Python: inline flags, conditional groups, named references, verbose syntax, and groups under an unbounded
-    quantifier, which the JVM matches by recursion and may not finish on a long text.
+    Left to Python: inline flags, conditional groups, named references, verbose syntax, patterns that match an empty text
+    (the JVM also finds those inside a surrogate pair), and groups under an unbounded quantifier, which the JVM matches
+    by recursion and may not finish on a long text.
     """
     groups = re.compile(pattern).groups
     try:
@@ -44,53 +45,81 @@ def jvm_pattern(pattern: str) -> JvmPattern | None:
     return JvmPattern("(?d)" + regex, groups, literal)
 
 
+class _Width:
+    """Whether every alternative of a group takes at least one character."""
+
+    def __init__(self, counts: bool = True):
+        self.counts = counts
+        self.taken = False
+        self.alternatives = True
+
+    def next_alternative(self) -> None:
+        self.alternatives = self.alternatives and self.taken
+        self.taken = False
+
+    def always(self) -> bool:
+        return self.counts and self.alternatives and self.taken
+
+
 def _translate(pattern: str) -> tuple[str, str]:
     out: list[str] = []
     runs: list[str] = []
     run = ""
-    depth = 0
-    alternatives = False
+    groups = [_Width()]
+    choices = False
     i = 0
 
-    def quantified(at: int) -> bool:
-        return pattern[at : at + 1] in ("*", "?") or _QUANTIFIER.match(pattern, at) is not None
+    def optional(at: int) -> bool:
+        bounds = _QUANTIFIER.match(pattern, at)
+        return pattern[at : at + 1] in ("*", "?") or (bounds is not None and int(bounds[1] or 0) == 0)
 
     while i < len(pattern):
         c = pattern[i]
         literal = None
+        takes = True
         if c == "\\":
             piece, literal, i = _escape(pattern, i)
+            takes = literal is not None or piece.startswith("[")
         elif c == "[":
             piece, i = _char_class(pattern, i)
         elif c == "(":
             piece, i = _group(pattern, i)
-            depth += 1
+            groups.append(_Width(piece in ("(", "(?:")))
+            takes = False
         elif c == ")":
             piece, i = c, i + 1
-            depth -= 1
             bounds = _QUANTIFIER.match(pattern, i)
             if pattern[i : i + 1] in ("*", "+") or (bounds and bounds[2] and not bounds[3]):
                 raise _Unsupported(")" + pattern[i : i + 1])
+            takes = groups.pop().always()
         elif c == "{":
             bounds = _QUANTIFIER.match(pattern, i)
             if bounds and (bounds[1] or bounds[3]):
                 piece, i = "{" + (bounds[1] or "0") + bounds[2] + bounds[3] + "}", bounds.end()
+                takes = False
             else:
                 piece, literal, i = r"\{", "{", i + 1
         elif c in "}]":
             piece, literal, i = "\\" + c, c, i + 1
         else:
-            alternatives = alternatives or c == "|"
+            if c == "|":
+                choices = True
+                groups[-1].next_alternative()
             piece, i = c, i + 1
-            literal = None if c in ".^$*+?|" else c
+            takes = c not in "^$*+?|"
+            literal = c if takes and c != "." else None
         out.append(piece)
-        if literal is not None and depth == 0 and not quantified(i):
+        takes = takes and not optional(i)
+        groups[-1].taken = groups[-1].taken or takes
+        if literal is not None and len(groups) == 1 and takes and not _QUANTIFIER.match(pattern, i):
             run += literal
         else:
             runs.append(run)
             run = ""
-    runs.append(run)
-    return "".join(out), "" if alternatives else max(runs, key=len)
+    groups[0].next_alternative()
+    if not groups[0].alternatives:
+        raise _Unsupported("a pattern that matches the empty text")
+    return "".join(out), "" if choices else max([*runs, run], key=len)
 
 
 def _escape(pattern: str, i: int) -> tuple[str, str | None, int]:

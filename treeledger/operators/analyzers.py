@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 import json
 import re
+import sys
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,6 +18,7 @@ from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,7 +229,8 @@ _CLASSES: dict[str, type[Analyzer]] = {
 
 
 def register_analyzer(name: str, analyzer: type[Analyzer]) -> None:
-    """Make a class known under a name that rules can use."""
+    """Make a class known under a name that rules can use; its module travels to the executors by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[analyzer.__module__])
     _CLASSES[name] = analyzer
 
 
@@ -260,6 +263,8 @@ def bind_analyzers(
 ) -> tuple[list[BoundAnalyzer], list[str]]:
     """Analyzers of the rules, looked up among the registered classes, then in a user module; and the skipped names."""
     module = importlib.import_module(user_module) if user_module else None
+    if module is not None:
+        cloudpickle.register_pickle_by_value(module)
     bound, unknown = [], []
     for rule in rules:
         found = _CLASSES.get(rule.analyzer) or getattr(module, rule.analyzer, None)

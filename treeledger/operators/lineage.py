@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .skew import spread_join
+from .skew import HOT_FLOOR, spread_join
 
 
-def first_parent_jumps(commit_parents: DataFrame) -> list[DataFrame]:
-    """Tables ``hash, ahead`` of the ancestor 1, 2, 4, 8, … first-parent steps away, until no history is that long.
+@dataclass(frozen=True)
+class History:
+    """Commits numbered by integers, their parent links, and first-parent jumps, all as stored tables.
 
-    A fork point is the end of many steps of one length, so every doubling join is spread.
+    ``nodes(hash, node)``, ``links(node, parent)``, and ``jumps``: tables ``node, ahead`` of the ancestor 1, 2, 4, 8, …
+    first-parent steps away, until no history is that long.
     """
-    first = F.min_by("parent", "ordinal") if "ordinal" in commit_parents.columns else F.min("parent")
-    step = materialize(commit_parents.groupBy(F.col("child").alias("hash")).agg(first.alias("ahead")), "jump")
+
+    nodes: DataFrame
+    links: DataFrame
+    jumps: tuple[DataFrame, ...]
+
+
+def index_history(commit_parents: DataFrame) -> History:
+    """Prepare a commit graph for any number of ``reachable`` calls.
+
+    A fork point is the end of many steps of one length, so every join towards parents is spread.
+    """
+    hashes = commit_parents.select(F.col("child").alias("hash")).union(commit_parents.select("parent")).distinct()
+    nodes = materialize(hashes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    children = commit_parents.join(nodes.withColumnRenamed("hash", "child"), "child").drop("child")
+    parents = nodes.select(F.col("hash").alias("parent"), F.col("node").alias("parent_node"))
+    order = F.col("ordinal") if "ordinal" in commit_parents.columns else F.col("parent_node")
+    both = spread_join(children, parents, ["parent"], ["node"])
+    links = materialize(both.select("node", F.col("parent_node").alias("parent"), order.alias("ordinal")), "links")
+    step = materialize(links.groupBy("node").agg(F.min_by("parent", "ordinal").alias("ahead")), "jump")
     jumps = []
     while (size := step.count()) > 0:
         jumps.append(step)
-        onward = step.select(F.col("hash").alias("ahead"), F.col("ahead").alias("further"))
-        doubled = spread_join(step, onward, ["ahead"], ["hash"], most=size)
-        step = materialize(doubled.select("hash", F.col("further").alias("ahead")), "jump")
-    return jumps
+        onward = step.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"))
+        doubled = spread_join(step, onward, ["ahead"], ["node"], most=size)
+        step = materialize(doubled.select("node", F.col("further").alias("ahead")), "jump")
+    return History(nodes, links.select("node", "parent"), tuple(jumps))
 
 
 def reachable(
-    commit_parents: DataFrame, tips: DataFrame, jumps: list[DataFrame] | None = None, until: str | None = None
+    commit_parents: DataFrame, tips: DataFrame, index: History | None = None, until: str | None = None
 ) -> DataFrame:
     """All ancestors of every tip, the tip included: ``tip, hash`` for ``tips(hash)``.
 
@@ -38,29 +58,42 @@ def reachable(
     Each round is written out, so neither the plan nor the work to redo after a lost executor grows. ``until`` stops after
     the round that reaches that commit.
     """
-    jumps = first_parent_jumps(commit_parents) if jumps is None else jumps
-    entries = materialize(tips.select(F.col("hash").alias("tip"), "hash").distinct(), "entries")
+    index = index_history(commit_parents) if index is None else index
+    tips = tips.select("hash").distinct()
+    # a tip without links is its own only ancestor
+    lonely = tips.join(index.nodes, "hash", "left_anti").select(F.col("hash").alias("tip"), "hash")
+    starts = tips.join(index.nodes, "hash").select(F.col("node").alias("tip"), "node")
+    entries = materialize(starts, "entries")
+    # a commit occurs once per tip, which bounds the rows of a key in every join below
+    tip_count = entries.count()
+    goal = index.nodes.where(F.col("hash") == until).select("node") if until else None
     found: list[DataFrame] = []
     while not entries.isEmpty():
         paths = entries
-        for jump in reversed(jumps):
-            both = F.explode(F.array_compact(F.array("hash", "ahead")))
-            paths = paths.join(jump, "hash", "left").select("tip", both.alias("hash")).distinct()
+        for jump in reversed(index.jumps):
+            if tip_count >= HOT_FLOOR:
+                paths = materialize(paths, "path")
+            ahead = spread_join(paths, jump, ["node"], ["tip"], "left", most=tip_count)
+            both = F.explode(F.array_compact(F.array("node", "ahead")))
+            paths = ahead.select("tip", both.alias("node")).distinct()
         new = materialize(_unknown(paths, found), "reach")
         found.append(new)
-        if until and not new.where(F.col("hash") == until).isEmpty():
+        if goal is not None and not new.join(F.broadcast(goal), "node", "left_semi").isEmpty():
             break
-        links = commit_parents.select(F.col("child").alias("hash"), "parent")
-        onward = spread_join(new, links, ["hash"], ["tip"], most=new.count())
-        entries = _unknown(onward.select("tip", F.col("parent").alias("hash")).distinct(), found)
+        onward = spread_join(new, index.links, ["node"], ["tip"], most=tip_count)
+        entries = _unknown(onward.select("tip", F.col("parent").alias("node")).distinct(), found)
         entries = materialize(entries, "entries")
-    return reduce(DataFrame.unionByName, found) if found else entries
+    rows = reduce(DataFrame.unionByName, found) if found else entries
+    named = spread_join(rows, index.nodes, ["node"], ["tip"], most=tip_count).drop("node")
+    names = index.nodes.select(F.col("node").alias("tip"), F.col("hash").alias("tip_hash"))
+    named = spread_join(named, names, ["tip"], ["hash"]).select(F.col("tip_hash").alias("tip"), "hash")
+    return named.unionByName(lonely)
 
 
 def _unknown(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
     if not found:
         return rows
-    return rows.join(reduce(DataFrame.unionByName, found), ["tip", "hash"], "left_anti")
+    return rows.join(reduce(DataFrame.unionByName, found), ["tip", "node"], "left_anti")
 
 
 def commit_in_branch(commit_parents: DataFrame, tip: str, commit_hash: str) -> bool:

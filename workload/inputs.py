@@ -201,7 +201,8 @@ def derive(spark: SparkSession, folder: str, parts: tuple[str, ...], name: str)
     key = (spark.sparkContext.applicationId, query, *(_fingerprint(spark, folder, t) for t in tables.values()))
     if key not in _stored:
         sources = {placeholder: read_table(spark, folder, table) for placeholder, table in tables.items()}
-        _stored[key] = materialize(spark.sql(query, **sources), re.sub(r"\W.*", "", name, flags=re.S) or "derived")
+        rows = spark.sql(query, **sources).repartition(spark.sparkContext.defaultParallelism)
+        _stored[key] = materialize(rows, re.sub(r"\W.*", "", name, flags=re.S) or "derived")
     return _stored[key]
 
 
