@@ -61,8 +61,16 @@ def write_csv(df: DataFrame, path: str, append: bool = False, rows_from: DataFra
         header = csv_header(df.sparkSession, path)
         if header and header != df.columns:
             raise ValueError(f"{path} has the columns {header}, not {df.columns}")
-    writer = stringify(df).write.mode("append" if append else "overwrite")
-    writer.options(header=True, quoteAll=True, quote='"', escape='"', maxRecordsPerFile=FILE_ROWS).csv(path)
+    writer = stringify(df).write.mode("append" if append else "overwrite").options(
+        header=True,
+        quoteAll=True,
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        maxRecordsPerFile=FILE_ROWS,
+    )
+    writer.csv(path)
     return True
 
 

@@ -78,7 +78,10 @@ def parse_run_manifest(text: Column) -> tuple[Column, Column]:
 
 
 def read_run_manifest(spark: SparkSession, base: str) -> DataFrame | None:
-    """``repo, run``, the manifest fields and a map of extra fields, one row per ``run.json``."""
+    """``repo, run``, the manifest fields and a map of extra fields, one row per ``run.json``.
+
+    A file without any byte gives no row, like a missing one; ``known_runs`` still lists such a run by its tables.
+    """
     texts = _documents(spark, f"{base}/*/runs/*/run.json")
     if texts is None:
         return None
