@@ -18,7 +18,7 @@ from treeledger.operators.analyzers import Analyzer, AnalyzerRule, bind_analyzer
 def hot(monkeypatch):
     """Every key with at least four rows is hot, so all salting takes place."""
     monkeypatch.setattr(skew, "HOT_FLOOR", 4)
-    monkeypatch.setattr(lineage, "HOT_FLOOR", 2)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
 
 
 def rows(df, *columns):
@@ -332,7 +332,7 @@ def plain_analysis():
 @pytest.mark.parametrize("limit", [0, 1000])
 @pytest.mark.parametrize("floor", [2, 1000])
 def test_analyze(spark, monkeypatch, limit, floor):
-    monkeypatch.setattr(analysis, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(skew, "HOT_FLOOR", floor)
     files = spark.createDataFrame(FILES, schemas.COMMIT_FILES)
     blobs = spark.createDataFrame(BLOBS, schemas.BLOBS)

@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.content import has_text, snapshot_text
 from ..scratch import materialize
+from . import skew
 from .analyzers import ALL_STACKS, BoundAnalyzer
 from .skew import hot_counts, spread_join
 
-# Largest list of (hash, mask) rows sent to every executor, by rows; a row takes well under 128 bytes in memory.
-BROADCAST_ROWS = 500_000
-
 
 def _bit(i: int) -> Column:
     return F.lit(1 << i).cast("bigint")
@@ -88,7 +86,7 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     Empty, binary and missing content counts 0. Further columns of ``files`` (repo, run, side) are kept in front.
     ``blobs`` holds one row per hash.
 
-    The list of wanted blobs is small next to the blobs themselves. When it has at most ``BROADCAST_ROWS`` rows it is
+    The list of wanted blobs is small next to the blobs themselves. When it is small enough to be broadcast it is
     sent to the executors and content is analyzed where it is scanned. Beyond that both sides are shuffled by hash; a
     blob table bucketed by hash then still keeps its content in place.
     """
@@ -100,7 +98,7 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     wanted = materialize(per_hash.agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("files")), "wanted")
     masks = wanted.select("hash", "mask")
     size, most = wanted.agg(F.count(F.lit(1)), F.max("files")).first()
-    if size <= BROADCAST_ROWS:
+    if size <= skew.BROADCAST_ROWS:
         masks = F.broadcast(masks)
     results = blob_results(blobs.join(masks, "hash").select("hash", "mask", "content"), analyzers)
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .skew import HOT_FLOOR, spread_join
+from . import skew
+from .skew import spread_join
 
 
 @dataclass(frozen=True)
@@ -62,8 +63,9 @@ def reachable(
     tips = tips.select("hash").distinct()
     # a tip without links is its own only ancestor
     lonely = tips.join(index.nodes, "hash", "left_anti").select(F.col("hash").alias("tip"), "hash")
-    starts = tips.join(index.nodes, "hash").select(F.col("node").alias("tip"), "node")
-    entries = materialize(starts, "entries")
+    starts = tips.join(index.nodes, "hash").select("hash", F.col("node").alias("tip"), "node")
+    starts = materialize(starts, "tips")
+    entries = starts.select("tip", "node")
     # a commit occurs once per tip, which bounds the rows of a key in every join below
     tip_count = entries.count()
     goal = index.nodes.where(F.col("hash") == until).select("node") if until else None
@@ -71,7 +73,7 @@ def reachable(
     while not entries.isEmpty():
         paths = entries
         for jump in reversed(index.jumps):
-            if tip_count >= HOT_FLOOR:
+            if tip_count >= skew.HOT_FLOOR:
                 paths = materialize(paths, "path")
             ahead = spread_join(paths, jump, ["node"], ["tip"], "left", most=tip_count)
             both = F.explode(F.array_compact(F.array("node", "ahead")))
@@ -85,9 +87,12 @@ def reachable(
         entries = materialize(entries, "entries")
     rows = reduce(DataFrame.unionByName, found) if found else entries
     named = spread_join(rows, index.nodes, ["node"], ["tip"], most=tip_count).drop("node")
-    names = index.nodes.select(F.col("node").alias("tip"), F.col("hash").alias("tip_hash"))
-    named = spread_join(named, names, ["tip"], ["hash"]).select(F.col("tip_hash").alias("tip"), "hash")
-    return named.unionByName(lonely)
+    names = starts.select("tip", F.col("hash").alias("tip_hash"))
+    if tip_count <= skew.BROADCAST_ROWS:
+        named = named.join(F.broadcast(names), "tip")
+    else:
+        named = spread_join(materialize(named, "named"), names, ["tip"], ["hash"])
+    return named.select(F.col("tip_hash").alias("tip"), "hash").unionByName(lonely)
 
 
 def _unknown(rows: DataFrame, found: list[DataFrame]) -> DataFrame:

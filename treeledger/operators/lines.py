@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.content import has_text, snapshot_text
 from ..functions.paths import PY_WHITESPACE
 from ..scratch import materialize
-from .skew import spread_join
+from . import skew
+from .skew import hot_keys, largest_group, spread_join
 
 _PAIR = ["base_file_hash", "target_file_hash"]
 _KEYS = ["base_commit_hash", "target_commit_hash", "target_path"]
@@ -32,9 +33,16 @@ def line_changes(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> Da
     diff, pairs = _stored(diff)
     sides = []
     for name, sign in zip(_PAIR, (-1, 1), strict=True):
-        lines = _digests(_texts(blobs, pairs, name)).withColumnRenamed("hash", name)
-        other = [c for c in _PAIR if c != name]
-        joined = spread_join(pairs, lines, [name], other, spread_right=["key"])
+        lines = materialize(_digests(_texts(blobs, pairs, name)).withColumnRenamed("hash", name), "lines")
+        joined = spread_join(
+            pairs,
+            lines,
+            [name],
+            [c for c in _PAIR if c != name],
+            spread_right=["key"],
+            most=largest_group(pairs, [name]),
+            most_right=largest_group(lines, [name]),
+        )
         sides.append(joined.select(*_PAIR, "key", "chars", (F.col("n") * sign).alias("n")))
     per_line = sides[0].unionByName(sides[1]).groupBy(*_PAIR, "key").agg(
         F.sum("n").alias("n"), F.max("chars").alias("chars")
@@ -54,11 +62,13 @@ def line_changes_ordered(diff: DataFrame, blobs: DataFrame, reverse: bool = Fals
 
     Both texts of one changed file meet in one row; nothing larger does.
     """
-    diff, pairs = _stored(diff)
+    diff, stored = _stored(diff)
+    pairs = stored
     for name in _PAIR:
         other = [c for c in pairs.columns if c != name]
-        texts = _texts(blobs, pairs, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
-        pairs = spread_join(pairs, texts, [name], other, "left")
+        texts = _texts(blobs, stored, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
+        most = largest_group(stored, [name])
+        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]), most=most)
     schema = ", ".join([*(f"{c} string" for c in _PAIR), *(f"{c} bigint" for c in _COUNTS)])
     counts = pairs.select(*_PAIR, *[f"{c}_text" for c in _PAIR]).mapInPandas(_compare, schema)
     return _per_file(diff, counts, reverse)
@@ -67,12 +77,15 @@ def line_changes_ordered(diff: DataFrame, blobs: DataFrame, reverse: bool = Fals
 def _stored(diff: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keys and hashes of the diff, written out as they are used several times, and the distinct pairs of blobs."""
     diff = materialize(diff.select(*_KEYS, *_PAIR), "diff")
-    return diff, diff.select(*_PAIR).distinct()
+    return diff, materialize(diff.select(*_PAIR).distinct(), "pairs")
 
 
 def _texts(blobs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Text of every distinct blob on one side."""
     hashes = pairs.select(F.col(name).alias("hash")).distinct()
+    if hashes.count() <= skew.BROADCAST_ROWS:
+        # contents then stay where they are scanned
+        hashes = F.broadcast(hashes)
     text = snapshot_text(F.col("hash"), F.col("content"))
     found = blobs.join(hashes, "hash", "left_semi").select("hash", text.alias("text"))
     return found.where(has_text(F.col("text")))

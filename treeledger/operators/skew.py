@@ -14,6 +14,8 @@ HOT_SHARE = 1 / 256
 HOT_FLOOR = 100_000
 # Number of tasks a hot key is spread over.
 SALTS = 64
+# Largest table sent to every executor, in rows of a few short columns; such a row takes well under 128 bytes in memory.
+BROADCAST_ROWS = 500_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int | None = None) -> DataFrame:
@@ -31,6 +33,12 @@ def hot_counts(
     return counts.where((F.col(rows) >= floor) & (F.col(rows) >= total * share)).select(*keys)
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.agg(F.max("rows")).first()[0] or 0
+
+
 def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str], salt: str) -> DataFrame:
     """Rows of a hot key numbered 0..SALTS-1 by their own values, so a retried task numbers them the same way.
 
@@ -58,6 +66,7 @@ def spread_join(
     spread_right: Sequence[str] = (),
     hot: DataFrame | None = None,
     most: int | None = None,
+    most_right: int | None = None,
     share: float = HOT_SHARE,
     floor: int | None = None,
 ) -> DataFrame:
@@ -69,14 +78,16 @@ def spread_join(
 
     Finding hot keys reads the key columns once more, so sides should be stored tables or cheap to derive. A caller who
     knows the hot keys of the left side gives them in ``hot``, and one who knows a bound on the left rows of any key gives
-    it in ``most``: below the floor for hot keys this is an ordinary join.
+    it in ``most`` (and for the right rows in ``most_right``): below the floor for hot keys this is an ordinary join.
     """
     floor = HOT_FLOOR if floor is None else floor
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be spread")
     if spread_right and how != "inner":
         raise ValueError("both sides can be spread in an inner join only")
-    if most is not None and most < floor and not spread_right:
+    even_left = most is not None and most < floor
+    even_right = not spread_right or (most_right is not None and most_right < floor)
+    if even_left and even_right:
         return left.join(right, list(keys), how)
     hot_left = hot_keys(left, keys, share, floor) if hot is None else hot
     hot_right = hot_keys(right, keys, share, floor) if spread_right else None

@@ -23,6 +23,7 @@ from ..functions.paths import (
     size_bin,
     stack_condition,
 )
+from .skew import hot_keys, spread_join
 
 RUN = ["repo", "run"]
 
@@ -134,8 +135,7 @@ def unique_authors_trend(tables: RunTables) -> DataFrame:
     return ordered.select(*RUN, F.col("display_label").alias("label"), "value")
 
 
-def load_char_counts(tables: RunTables) -> DataFrame:
-    """Largest character count per path and commit: ``repo, run, path, commit_hash, count``."""
+def _char_rows(tables: RunTables) -> DataFrame:
     analysis = tables.analysis_results
     rows = analysis.where((F.col("analyzer_type") == "FileCharCount") & tables.counts(analysis)).select(
         *RUN,
@@ -143,12 +143,19 @@ def load_char_counts(tables: RunTables) -> DataFrame:
         F.coalesce("commit_hash", F.lit("")).alias("commit_hash"),
         F.col("count").try_cast("double").alias("count"),
     )
-    rows = rows.where((F.col("path") != "") & F.col("count").isNotNull())
-    return rows.groupBy(*RUN, "path", "commit_hash").agg(F.max("count").alias("count"))
+    return rows.where((F.col("path") != "") & F.col("count").isNotNull())
+
+
+def load_char_counts(tables: RunTables) -> DataFrame:
+    """Largest character count per path and commit: ``repo, run, path, commit_hash, count``."""
+    return _char_rows(tables).groupBy(*RUN, "path", "commit_hash").agg(F.max("count").alias("count"))
 
 
-def _with_changes(counts: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Counts with ``diff_change_type`` of their path and ``kept``: is the row the target side, or unmatched."""
+def _with_changes(counts: DataFrame, diffs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Counts with ``diff_change_type`` of their path and ``kept``: is the row the target side, or unmatched.
+
+    A path that many commits share is spread by commit; ``hot`` names such paths if they are known more cheaply.
+    """
     paths = [F.nullif(F.col(c), F.lit("")) for c in ("target_path", "source_path") if c in diffs.columns]
     merged = F.translate(F.coalesce(*paths, F.lit("")), "\\", "/")
     changes = diffs.select(
@@ -157,7 +164,7 @@ def _with_changes(counts: DataFrame, diffs: DataFrame) -> DataFrame:
         F.upper(F.coalesce("diff_change_type", F.lit(""))).alias("diff_change_type"),
         F.coalesce("target_commit_hash", F.lit("")).alias("target_commit_hash"),
     )
-    joined = counts.join(changes, [*RUN, "path"], "left")
+    joined = spread_join(counts, changes, [*RUN, "path"], ["commit_hash"], "left", hot=hot)
     commit = F.coalesce("target_commit_hash", F.lit(""))
     return joined.select(
         *counts.columns,
@@ -183,7 +190,8 @@ def largest_per_path(counts: DataFrame) -> DataFrame:
 def has_diff_info(tables: RunTables) -> DataFrame:
     """Whether any counted file of a diff run has a change type."""
     diffs = tables.diff_results
-    rows = attach_diff_metadata(load_char_counts(tables), diffs.where(tables.counts(diffs)))
+    hot = hot_keys(_char_rows(tables), [*RUN, "path"])
+    rows = _with_changes(load_char_counts(tables), diffs.where(tables.counts(diffs)), hot).where("kept")
     known = rows.groupBy(*RUN).agg(F.bool_or(F.col("diff_change_type") != "").alias("diff_info"))
     return known.join(tables.runs.where(F.col("run_type") == "diff").select(*RUN), RUN, "left_semi")
 
@@ -198,7 +206,8 @@ def char_count_distribution(tables: RunTables, bins: Sequence[Bin] = SIZE_BINS)
     if tables.diff_results is None:
         rows = counts.withColumns({"diff_change_type": F.lit(""), "kept": F.lit(True)})
     else:
-        rows = _with_changes(counts, tables.diff_results.where(tables.counts(tables.diff_results)))
+        diffs = tables.diff_results.where(tables.counts(tables.diff_results))
+        rows = _with_changes(counts, diffs, hot_keys(_char_rows(tables), [*RUN, "path"]))
     kind = F.col("diff_change_type")
     per_path = rows.groupBy(*RUN, "path").agg(
         F.max("count").alias("any_count"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.content import ZERO_HASH
 from ..functions.paths import DEFAULT_STACKS, StackRule, extract_stack, path_kept
 from ..scratch import materialize
-from .skew import spread_join
+from .skew import largest_group, spread_join
 
 
 def flatten_tree(tree_objects: DataFrame, roots: DataFrame) -> DataFrame:
@@ -20,10 +20,19 @@ def flatten_tree(tree_objects: DataFrame, roots: DataFrame) -> DataFrame:
     One join per directory level. Entries that are neither tree nor blob (submodules) are left out.
     """
     children = tree_objects.where(F.col("type").isin("tree", "blob"))
+    widest = largest_group(children, ["tree_hash"])
     level = roots.select("commit_hash", F.lit("").alias("prefix"), "tree_hash")
     levels = []
     while True:
-        step = spread_join(level, children, ["tree_hash"], ["commit_hash", "prefix"], most=level.count())
+        step = spread_join(
+            level,
+            children,
+            ["tree_hash"],
+            ["commit_hash", "prefix"],
+            spread_right=["name"],
+            most=level.count(),
+            most_right=widest,
+        )
         path = F.concat("prefix", "name").alias("path")
         step = materialize(step.select("commit_hash", path, "type", "child_hash"), "tree-level")
         levels.append(step.where(F.col("type") == "blob").select("commit_hash", "path", F.col("child_hash").alias("hash")))
