@@ -38,7 +38,7 @@ def skewed(spark, n, seed):
 def test_spread_join(spark, hot, how):
     left = spark.createDataFrame(skewed(spark, 300, 1), "k string, a int")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k4", 4), (None, 5)], "k string, b int")
-    assert skew.hot_keys(left, ["k"]).count() > 2
+    assert {"hot", "warm", None} < {r.k for r in skew.hot_keys(left, ["k"])}
     assert rows(skew.spread_join(left, right, ["k"], ["a"], how)) == rows(left.join(right, ["k"], how))
 
 
@@ -51,11 +51,24 @@ def test_spread_join_both_sides(spark, hot):
         skew.spread_join(left, right, ["k"], ["a"], "left", spread_right=["b"])
 
 
-def test_hot_keys_are_bounded(spark):
+def test_only_null_keys_are_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_FLOOR", 50)
+    left = spark.createDataFrame([(None, i) for i in range(60)] + [("a", 1)], "k string, a int")
+    right = spark.createDataFrame([("a", 1), (None, 2)], "k string, b int")
+    joined = skew.spread_join(left, right, ["k"], ["a"], "left")
+    assert rows(joined) == rows(left.join(right, ["k"], "left"))
+    assert "_left_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame([(i % 10, i) for i in range(1000)], "k int, a int")
-    assert skew.hot_keys(df, ["k"], share=0.2, floor=1).count() == 0
-    assert skew.hot_keys(df, ["k"], share=0.1, floor=1).count() == 10
-    assert skew.hot_keys(df, ["k"], share=0.1, floor=101).count() == 0
+    monkeypatch.setattr(skew, "HOT_FLOOR", 101)
+    assert skew.hot_keys(df, ["k"]) == []
+    monkeypatch.setattr(skew, "HOT_FLOOR", 100)
+    assert len(skew.hot_keys(df, ["k"])) == 10
+    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    assert len(skew.hot_keys(df, ["k"])) == 3
+    assert skew.largest_group(df, ["k"]) == 100
 
 
 # -- trees ---------------------------------------------------------------------------------------------------------

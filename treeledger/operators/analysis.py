@@ -94,11 +94,10 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     classified = files.withColumn("mask", analyzer_mask(F.col("tech_stack"), analyzers)).where(F.col("mask") != 0)
     classified = classified.select(*extra, "commit_hash", "path", "hash", "mask")
 
-    per_hash = classified.where(F.col("hash").isNotNull()).groupBy("hash")
+    per_hash = classified.groupBy("hash")
     wanted = materialize(per_hash.agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("files")), "wanted")
     masks = wanted.select("hash", "mask")
-    size, most = wanted.agg(F.count(F.lit(1)), F.max("files")).first()
-    if size <= skew.BROADCAST_ROWS:
+    if wanted.count() <= skew.BROADCAST_ROWS:
         masks = F.broadcast(masks)
     results = blob_results(blobs.join(masks, "hash").select("hash", "mask", "content"), analyzers)
 
@@ -109,7 +108,6 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
         [*extra, "commit_hash", "path"],
         "left",
         hot=hot_counts(wanted, ["hash"], "files"),
-        most=most or 0,
     )
     rows = [
         F.when(

@@ -17,7 +17,7 @@ from ..functions.content import has_text, snapshot_text
 from ..functions.paths import PY_WHITESPACE
 from ..scratch import materialize
 from . import skew
-from .skew import hot_keys, largest_group, spread_join
+from .skew import hot_keys, spread_join
 
 _PAIR = ["base_file_hash", "target_file_hash"]
 _KEYS = ["base_commit_hash", "target_commit_hash", "target_path"]
@@ -40,8 +40,6 @@ def line_changes(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> Da
             [name],
             [c for c in _PAIR if c != name],
             spread_right=["key"],
-            most=largest_group(pairs, [name]),
-            most_right=largest_group(lines, [name]),
         )
         sides.append(joined.select(*_PAIR, "key", "chars", (F.col("n") * sign).alias("n")))
     per_line = sides[0].unionByName(sides[1]).groupBy(*_PAIR, "key").agg(
@@ -67,8 +65,7 @@ def line_changes_ordered(diff: DataFrame, blobs: DataFrame, reverse: bool = Fals
     for name in _PAIR:
         other = [c for c in pairs.columns if c != name]
         texts = _texts(blobs, stored, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
-        most = largest_group(stored, [name])
-        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]), most=most)
+        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]))
     schema = ", ".join([*(f"{c} string" for c in _PAIR), *(f"{c} bigint" for c in _COUNTS)])
     counts = pairs.select(*_PAIR, *[f"{c}_text" for c in _PAIR]).mapInPandas(_compare, schema)
     return _per_file(diff, counts, reverse)

@@ -6,31 +6,29 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key is hot when it holds at least this share of the rows and at least this many of them.
-HOT_SHARE = 1 / 256
+# A key is hot when it holds at least this many rows and is among the most frequent ones. Every key that holds
+# 1 / HOT_KEYS of the rows or more is among them, as no more than HOT_KEYS keys can.
 HOT_FLOOR = 100_000
+HOT_KEYS = 256
 # Number of tasks a hot key is spread over.
 SALTS = 64
 # Largest table sent to every executor, in rows of a few short columns; such a row takes well under 128 bytes in memory.
 BROADCAST_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int | None = None) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: never more than ``1 / share`` of them, whatever the table size."""
-    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_counts(counts, keys, "_rows", share, floor)
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
+    """The hot keys of a table, from one aggregation of its key columns; at most ``HOT_KEYS`` of any size of table."""
+    return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows")
 
 
-def hot_counts(
-    counts: DataFrame, keys: Sequence[str], rows: str, share: float = HOT_SHARE, floor: int | None = None
-) -> DataFrame:
+def hot_counts(counts: DataFrame, keys: Sequence[str], rows: str) -> list[Row]:
     """The same from a table that already holds the number of rows per key."""
-    floor = HOT_FLOOR if floor is None else floor
-    total = counts.agg(F.sum(rows)).scalar()
-    return counts.where((F.col(rows) >= floor) & (F.col(rows) >= total * share)).select(*keys)
+    frequent = counts.where(F.col(rows) >= HOT_FLOOR).orderBy(F.col(rows).desc()).limit(HOT_KEYS)
+    return frequent.select(*keys).collect()
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -39,22 +37,28 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
-def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str], salt: str) -> DataFrame:
+def _marked(df: DataFrame, hot: list[Row], keys: Sequence[str]) -> DataFrame:
+    """Table with ``_hot``, true for the hot keys."""
+    schema = T.StructType([df.schema[k] for k in keys])
+    known = [row for row in hot if None not in row]
+    listed = df.sparkSession.createDataFrame(known, schema).withColumn("_hot", F.lit(True))
+    return df.join(F.broadcast(listed), list(keys), "left")
+
+
+def _salted(df: DataFrame, hot: list[Row], keys: Sequence[str], spread: Sequence[str], salt: str) -> DataFrame:
     """Rows of a hot key numbered 0..SALTS-1 by their own values, so a retried task numbers them the same way.
 
     Rows with a NULL key join nothing; they are numbered too, so that an outer join does not gather them in one task.
     """
     lonely = reduce(or_, [F.col(k).isNull() for k in keys])
     number = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS)).cast("int")
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-    return marked.withColumn(salt, F.when(F.col("_hot") | lonely, number).otherwise(0)).drop("_hot")
+    return _marked(df, hot, keys).withColumn(salt, F.when(F.col("_hot") | lonely, number).otherwise(0)).drop("_hot")
 
 
-def _copied(df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: str) -> DataFrame:
+def _copied(df: DataFrame, hot: list[Row], keys: Sequence[str], salt: str) -> DataFrame:
     """Rows of a hot key once per salt."""
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     salts: Column = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return marked.withColumn(salt, F.explode(salts)).drop("_hot")
+    return _marked(df, hot, keys).withColumn(salt, F.explode(salts)).drop("_hot")
 
 
 def spread_join(
@@ -64,11 +68,9 @@ def spread_join(
     spread: Sequence[str],
     how: str = "inner",
     spread_right: Sequence[str] = (),
-    hot: DataFrame | None = None,
+    hot: list[Row] | None = None,
     most: int | None = None,
     most_right: int | None = None,
-    share: float = HOT_SHARE,
-    floor: int | None = None,
 ) -> DataFrame:
     """Join on ``keys`` with the left rows of hot keys spread over several tasks.
 
@@ -76,25 +78,25 @@ def spread_join(
     which is cheap while the right side has few rows per key. With ``spread_right`` keys that are hot on the right are
     spread the other way round as well (inner joins only).
 
-    Finding hot keys reads the key columns once more, so sides should be stored tables or cheap to derive. A caller who
-    knows the hot keys of the left side gives them in ``hot``, and one who knows a bound on the left rows of any key gives
-    it in ``most`` (and for the right rows in ``most_right``): below the floor for hot keys this is an ordinary join.
+    Finding hot keys is a job of its own that reads the key columns; without any hot key this is an ordinary join. A caller
+    who knows the hot keys of the left side gives them in ``hot``, and one who knows a bound on the rows of a key gives it
+    in ``most`` and ``most_right``; a bound below the floor for hot keys spares the job.
     """
-    floor = HOT_FLOOR if floor is None else floor
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be spread")
     if spread_right and how != "inner":
         raise ValueError("both sides can be spread in an inner join only")
-    even_left = most is not None and most < floor
-    even_right = not spread_right or (most_right is not None and most_right < floor)
-    if even_left and even_right:
-        return left.join(right, list(keys), how)
-    hot_left = hot_keys(left, keys, share, floor) if hot is None else hot
-    hot_right = hot_keys(right, keys, share, floor) if spread_right else None
-    left = _salted(left, hot_left, keys, spread, "_left_salt")
-    right = _copied(right, hot_left, keys, "_left_salt")
-    on = [*keys, "_left_salt"]
-    if hot_right is not None:
+    if hot is None:
+        hot = [] if most is not None and most < HOT_FLOOR else hot_keys(left, keys)
+    hot_right: list[Row] = []
+    if spread_right and (most_right is None or most_right >= HOT_FLOOR):
+        hot_right = hot_keys(right, keys)
+    on = list(keys)
+    if hot:
+        left = _salted(left, hot, keys, spread, "_left_salt")
+        right = _copied(right, hot, keys, "_left_salt")
+        on.append("_left_salt")
+    if hot_right:
         right = _salted(right, hot_right, keys, spread_right, "_right_salt")
         left = _copied(left, hot_right, keys, "_right_salt")
         on.append("_right_salt")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.paths import (
@@ -151,7 +151,7 @@ def load_char_counts(tables: RunTables) -> DataFrame:
     return _char_rows(tables).groupBy(*RUN, "path", "commit_hash").agg(F.max("count").alias("count"))
 
 
-def _with_changes(counts: DataFrame, diffs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def _with_changes(counts: DataFrame, diffs: DataFrame, hot: list[Row] | None = None) -> DataFrame:
     """Counts with ``diff_change_type`` of their path and ``kept``: is the row the target side, or unmatched.
 
     A path that many commits share is spread by commit; ``hot`` names such paths if they are known more cheaply.
