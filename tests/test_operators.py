@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeledger import schemas
-from treeledger.functions.paths import StackRule
 from treeledger.operators import analysis, analyzers, lineage, lines, skew, trees
 from treeledger.operators.analyzers import Analyzer, AnalyzerRule, bind_analyzers
 

@@ -292,7 +292,8 @@ def test_a_single_plain_file_is_read(spark, tmp_path):
 
 
 def test_manifests(spark, tmp_path):
-    for run, text in {"good": '{"run_id": "g", "run_type": "diff", "sprint": "S1", "data_files": ["a"]}', "empty": " ", "none": "", "cut": '{"run_id": "c"'}.items():
+    good = '{"run_id": "g", "run_type": "diff", "sprint": "S1", "data_files": ["a"]}'
+    for run, text in {"good": good, "empty": " ", "none": "", "cut": '{"run_id": "c"'}.items():
         folder = tmp_path / "p" / "runs" / run
         folder.mkdir(parents=True)
         (folder / "run.json").write_text(text)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 # The JVM spelling of Python's Unicode classes (letters, numbers and underscore; digits; white space).
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _CLASSES = {"w": WORD, "d": DIGIT, "s": SPACE}
 _BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from treeledger import schemas
 from treeledger.functions import content as content_functions
-from treeledger.functions import paths, times
+from treeledger.functions import paths
 from treeledger.operators import analysis, history, lineage, lines, stats, trees
 from treeledger.operators.analyzers import JAVA_CLASS_PATTERN, RegexMatchCountAnalyzer, bind_analyzers
 from treeledger.plans import jobs
@@ -295,7 +296,7 @@ def size_bins(spark, sf):
     )
 
 
-@case(f"SELECT commit_hash, path FROM s WHERE stack IS NULL", (FILES, SNAPSHOT))
+@case("SELECT commit_hash, path FROM s WHERE stack IS NULL", (FILES, SNAPSHOT))
 def unclassified_files(spark, sf):
     return analysis.unclassified_files(snapshot(spark, sf))
 
@@ -979,7 +980,9 @@ def load_report(spark, sf):
     F_PARTS,
 )
 def checkout_files(spark, sf):
-    root = fresh_dir(spark, "checkout").removeprefix("file:")
+    root = re.sub("^file:/*", "/", fresh_dir(spark, "checkout"))
+    if "://" in root:
+        raise RuntimeError(f"a checkout needs a shared folder mounted on all executors, not {root}")
     files = files_at(spark, sf).where(F.col("commit_hash") == "c1").select("path", "content")
 
     def save(batches):
