@@ -19,9 +19,14 @@ CAPACITY = 1024
 END_OF_TEXT = 2
 # Fixed value: the pattern by which byte-level vocabularies of this family cut a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Parts of the fitted repeat counts that are tried; the plan with the fewest sequences is taken.
+FITTED_SHARES = (1.0, 0.9, 0.6, 0.3, 0.0)
 # Rows that one task numbers at once.
 ROWS_PER_CHUNK = 200_000
 
+# Groups of equal sequences: the lengths in one, and how many there are.
+Plan = list[tuple[tuple[int, ...], int]]
+
 
 @functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str):
@@ -70,9 +75,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
 
 
 def length_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of one to three of the given lengths that fill a sequence exactly, and every length alone.
+    """Patterns of one to three of the given lengths, one row each, lengths in falling order, filled up with zeros.
 
-    One row per pattern, lengths in falling order, filled up with zeros.
+    All pairs and triples that fill a sequence exactly, every length with the longest that fits beside it, and every length
+    alone.
     """
     present = np.zeros(capacity + 1, bool)
     present[lengths] = True
@@ -83,9 +89,13 @@ def length_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     pair = (rest == 0) & (a >= b)
     triple = (rest > 0) & (a >= b) & (b >= rest)
     triple[triple] = present[rest[triple]]
+    beside = np.searchsorted(lengths, capacity - lengths, "right") - 1
+    close = np.stack([lengths, np.where(beside >= 0, lengths[beside], 0), np.zeros_like(lengths)], 1)
+    close = close[(close[:, 1] > 0) & (close[:, 0] >= close[:, 1]) & (close.sum(1) < capacity)]
     return np.concatenate(
         [
             single,
+            close,
             np.stack([a[pair], b[pair], np.zeros(pair.sum(), int)], 1),
             np.stack([a[triple], b[triple], rest[triple]], 1),
         ]
@@ -130,35 +140,50 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -
     return x
 
 
-def plan_sequences(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def plan_sequences(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Groups of equal sequences that use up a histogram of lengths: (lengths in a sequence, number of such sequences).
 
     ``histogram[l]`` counts the pieces of length l. The size of the plan depends on ``capacity`` alone. Full-length pieces
-    stand alone; repeat counts of the patterns are fitted to the other lengths and rounded down to what is there; the
-    lengths left over go, longest first, to the fullest sequence that still has room.
+    stand alone; repeat counts of the patterns are fitted to the other lengths and rounded to what is there; the lengths
+    left over go, longest first, to the fullest sequence that still has room.
     """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+    full: Plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     lengths = np.nonzero(left)[0]
-    if len(lengths):
-        patterns = length_patterns(lengths, capacity)
-        patterns = patterns[(patterns[:, 1] > 0)]
-        if len(patterns):
-            fitted = fit_counts(patterns, left.astype(float))
-            for k in np.argsort(-fitted, kind="stable"):
-                if fitted[k] < 0.5:
-                    break
-                used = patterns[k][patterns[k] > 0]
-                kinds, each = np.unique(used, return_counts=True)
-                count = int(min(round(fitted[k]), (left[kinds] // each).min()))
-                if count > 0:
-                    left[kinds] -= count * each
-                    plan.append((tuple(int(x) for x in used), count))
-    # Residuals: open sequences are kept by free room as groups of equal contents.
+    if not len(lengths):
+        return full
+    patterns = length_patterns(lengths, capacity)
+    fitted = fit_counts(patterns, left.astype(float))
+    # Patterns can use up the short lengths that only long ones would have had room beside; so fewer of them are tried too.
+    plans = []
+    for share in FITTED_SHARES:
+        plan, rest = _repeat(patterns, share * fitted, left)
+        plans.append(plan + _best_fit(rest, capacity))
+    return full + min(plans, key=lambda plan: sum(count for _, count in plan))
+
+
+def _repeat(patterns: np.ndarray, wanted: np.ndarray, histogram: np.ndarray) -> tuple[Plan, np.ndarray]:
+    """Patterns of several lengths, most frequent first, as often as rounding and what is left allow; and what is left."""
+    left = histogram.copy()
+    plan: Plan = []
+    for k in np.argsort(-wanted, kind="stable"):
+        if wanted[k] < 0.5:
+            break
+        used = patterns[k][patterns[k] > 0]
+        if len(used) == 1:
+            continue
+        kinds, each = np.unique(used, return_counts=True)
+        count = int(min(round(wanted[k]), (left[kinds] // each).min()))
+        if count > 0:
+            left[kinds] -= count * each
+            plan.append((tuple(int(x) for x in used), count))
+    return plan, left
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """Lengths, longest first, each put into the fullest sequence with room; equal sequences are kept as one group."""
     room: list[list[list]] = [[] for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
         count = int(left[length])
@@ -182,8 +207,7 @@ def plan_sequences(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tupl
                 room[space].pop()
             room[space - fit * length].append([group[0] + (length,) * fit, taken])
             count -= taken * fit
-    plan += [(tuple(content), count) for groups in room for content, count in groups]
-    return plan
+    return [(tuple(content), count) for groups in room for content, count in groups]
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -228,7 +252,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     return ranked.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
 
 
-def _slots(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, ...]:
+def _slots(plan: Plan, capacity: int) -> tuple[np.ndarray, ...]:
     """The plan by length: where a length's slots begin, and each slot's first rank, first sequence and offset."""
     slots: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
     used = [0] * (capacity + 1)

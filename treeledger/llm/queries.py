@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, substring_dedup
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_best_fit_packing,)
+    for query in (op2_best_fit_packing, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
