@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, substring_dedup
+from . import near_dup, packing, substring_dedup
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,13 +23,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_best_fit_packing, op10_substring_dedup)
+    for query in (op2_best_fit_packing, op8_near_dedup, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
