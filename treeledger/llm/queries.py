@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup, packing, substring_dedup
+from . import ann, near_dup, packing, substring_dedup
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,13 +28,17 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_best_fit_packing, op8_near_dedup, op10_substring_dedup)
+    for query in (op2_best_fit_packing, op8_near_dedup, op9_nearest_neighbours, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
