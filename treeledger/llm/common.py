@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the shared folder and let go of the shuffle files that made it.
 
-    Spark drops the shuffle files of a finished step once the driver has collected the objects that stand for it.
+    Spark drops the shuffle files of a finished step once the driver has collected the objects that stand for it: first those
+    that Python let go of, then those that they alone referred to.
     """
     table = materialize(df, label)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return table
 
 
@@ -78,7 +82,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """
     empty = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b"))
     ordered = links.where(~empty).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stage(ordered.distinct(), label)
+    edges = materialize(ordered.distinct(), label)
     before = None
     while True:
         # Large star: every neighbour above a node is linked to the smallest of the node and its neighbours.
@@ -89,7 +93,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = stage(small.union(low.select("a", F.col("low").alias("b"))).distinct(), label)
+        edges = materialize(small.union(low.select("a", F.col("low").alias("b"))).distinct(), label)
         seen = edges.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("b").cast("decimal(38,0)")).alias("total"),
