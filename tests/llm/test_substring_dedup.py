@@ -71,5 +71,6 @@ def test_empty_table(spark):
 def test_cells_survive_packing():
     import numpy as np
 
-    cells = np.array([0, 1, 255, 256, 2**24 - 1], np.uint64)
-    assert substring_dedup._unpacked(substring_dedup._packed(cells)).tolist() == cells.tolist()
+    for cells in ([0, 1, 255, 256, 2**27 - 1], [5], [0], [1, 2, 3]):
+        cells = np.array(cells, np.uint64)
+        assert substring_dedup._unpacked(substring_dedup._packed(cells)).tolist() == cells.tolist()

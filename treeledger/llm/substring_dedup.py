@@ -19,7 +19,7 @@ CHUNK_BYTES = 8_000_000
 # than 2 % of the cases. One wide row does better here than several narrow ones, as tasks send only the cells they touch.
 CELLS_PER_BYTE = 10
 # A sketch is merged in blocks of this many cells (a power of two), each by one task.
-BLOCK_BITS = 24
+BLOCK_BITS = 27
 # Windows that a task counts before it sends its part of the sketch.
 HELD_WINDOWS = 4_000_000
 # Stands for a null id inside the operator, and so comes before every other id.
@@ -47,14 +47,17 @@ def _cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    """Cells of one block, three bytes each."""
-    return cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """Rising cells of one block: the width of the largest step in bytes, then all steps of that width."""
+    steps = np.diff(cells.astype("<u8"), prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel()
+    width = data[0]
+    wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel())
 
 
 def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataFrame:
@@ -62,7 +65,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
 
     Tasks send their sketch as the cells they touch, by block and chunk, together with the cells they count twice or more; a
     block's task adds up what it gets. Counts stop at two, the only thing asked of them, so a very frequent window is one
-    entry per task. Returns (``chunk``, ``block``, ``cells``); a chunk may get several rows for a block.
+    entry per task. A task sends at most one row per window. Returns (``chunk``, ``block``, ``cells``).
     """
     shift = np.uint64(64 - bits)
     block_bits = np.uint64(BLOCK_BITS)
@@ -74,11 +77,11 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
         cells, twice = merged[begins], ends - begins > 1
         target = cells >> block_bits
         begins, ends = _cut(target)
-        data = _packed(cells & mask)
         rows = []
         for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
-            again = cells[begin:end][twice[begin:end]] & mask
-            rows.append((data[3 * begin : 3 * end], _packed(again) if len(again) else b""))
+            low = cells[begin:end] & mask
+            again = low[twice[begin:end]]
+            rows.append((_packed(low), _packed(again) if len(again) else b""))
         made = pd.DataFrame(rows, columns=["cells", "twice"])
         made["block"] = (target[begins] // np.uint64(chunks)).astype(np.int64)
         made["chunk"] = (target[begins] % np.uint64(chunks)).astype(np.int64)
@@ -104,16 +107,18 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lists = [_unpacked(data) for data in group["cells"]]
-        cells = np.concatenate(lists)
-        found, counts = np.unique(cells, return_counts=True)
         many = [_unpacked(data) for data in group["twice"] if data]
-        repeated = np.zeros(1 << BLOCK_BITS, bool)
-        repeated[found[counts > 1]] = True
-        for again in many:
-            repeated[again] = True
-        answers = [_packed(cells[repeated[cells]]) for cells in lists]
-        out = pd.DataFrame({"chunk": group["chunk"], "block": key[0], "cells": answers})
-        return out[[len(a) > 0 for a in answers]]
+        every = np.sort(np.concatenate(lists))
+        begins, ends = _cut(every)
+        repeated = np.unique(np.concatenate([every[begins[ends - begins > 1]], *many]))
+        del every, begins, ends
+        answers = []
+        for chunk, places in group.groupby("chunk").indices.items():
+            touched = np.unique(np.concatenate([lists[k] for k in places]))
+            found = np.intersect1d(touched, repeated, assume_unique=True)
+            if len(found):
+                answers.append((chunk, key[0], _packed(found)))
+        return pd.DataFrame(answers, columns=["chunk", "block", "cells"])
 
     sketches = docs.select("chunk", "text").mapInPandas(count, "chunk long, block long, cells binary, twice binary")
     return sketches.groupBy("block").applyInPandas(merge, "chunk long, block long, cells binary")
@@ -123,7 +128,7 @@ def _candidates(texts: list[bytes], answers: pd.DataFrame, bits: int, width: int
     """Batches of texts with their windows whose cell is repeated: first text, words, and of each window its text, start, hash."""
     given = answers[answers["cells"].notna()]
     cells = [
-        (np.uint64(block) << np.uint64(BLOCK_BITS)) | _unpacked(data).astype(np.uint64)
+        (np.uint64(block) << np.uint64(BLOCK_BITS)) | _unpacked(data)
         for block, data in zip(given["block"], given["cells"], strict=True)
     ]
     repeated = np.unique(np.concatenate(cells)) if cells else np.empty(0, np.uint64)
