@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, near_dup, packing, substring_dedup
+from . import ann, language_id, near_dup, packing, substring_dedup, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,26 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.training_rows(docs.where(~language_id.held_out())))
+    labelled = language_id.predict(docs.select("doc_id", "text"), model)
+    return labelled.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 where not toxic; a toxic text is graded 1 where its quality was found good, otherwise 2."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 1, 1).otherwise(2))
+    model = toxicity.fit(docs, labels.select("doc_id", grade.alias("grade")), grade_count=3)
+    return toxicity.predict(docs, model)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -38,7 +54,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_best_fit_packing, op8_near_dedup, op9_nearest_neighbours, op10_substring_dedup)
+    for query in (
+        op1_language_id,
+        op2_best_fit_packing,
+        op7_toxicity,
+        op8_near_dedup,
+        op9_nearest_neighbours,
+        op10_substring_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
