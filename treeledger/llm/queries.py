@@ -32,12 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 where not toxic; a toxic text is graded 1 where its quality was found good, otherwise 2."""
+    """Grades 0 (not toxic), 1 and 2 (toxic, with less and with more evidence): ``labels`` tells only toxic from clean."""
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels")
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 1, 1).otherwise(2))
-    model = toxicity.fit(docs, labels.select("doc_id", grade.alias("grade")), grade_count=3)
-    return toxicity.predict(docs, model)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.predict(docs, toxicity.fit(docs, labels, grade_count=3, split_by_evidence=True))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

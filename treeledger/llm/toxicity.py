@@ -93,9 +93,15 @@ def _thresholds(shape: np.ndarray) -> np.ndarray:
     return shape[0] + np.concatenate([[0.0], np.cumsum(np.exp(shape[1:]))])
 
 
-def fit(docs: DataFrame, grades: DataFrame, grade_count: int, limit: int = TRAINING_DOCS) -> OrdinalModel:
+def fit(
+    docs: DataFrame, grades: DataFrame, grade_count: int, limit: int = TRAINING_DOCS, split_by_evidence: bool = False
+) -> OrdinalModel:
     """Fit on up to ``limit`` documents of every grade. ``grades`` has ``doc_id`` and ``grade`` from 0 to ``grade_count`` - 1.
 
+    With ``split_by_evidence`` labels say only whether a document is toxic (0 or 1), and severity is taken from the evidence:
+    documents labelled 1 get the grades 1 to ``grade_count`` - 1, in groups of equal size, by how many of the used features they
+    hold.
+
     Documents of a grade are weighted so that all its labelled documents count. Of several grades of an id the highest counts;
     rows with a null id or grade, and ids without a text, are not used. Where no feature sets the grades apart, or none
     but one grade occurs, every document gets severity 0. Only the used features of the sample come to the driver.
@@ -136,9 +142,15 @@ def fit(docs: DataFrame, grades: DataFrame, grade_count: int, limit: int = TRAIN
     pairs = described.select("doc_id", F.explode("features").alias("feature")).join(used, "feature")
     rows = described.select("doc_id", "grade").join(pairs.groupBy("doc_id").agg(F.collect_list("number").alias("numbers")), "doc_id", "left")
     found = sorted(rows.collect(), key=lambda row: row["doc_id"])
-    sampled = np.array([row["grade"] for row in found])
+    labels = np.array([row["grade"] for row in found])
+    numbers = [sorted(row["numbers"] or []) for row in found]
+    sampled = labels
+    if split_by_evidence:
+        held = np.array([len(row) for row in numbers])
+        cuts = np.quantile(held[labels > 0], np.arange(1, grade_count - 1) / (grade_count - 1))
+        sampled = np.where(labels > 0, 1 + np.searchsorted(cuts, held, "left"), 0)
     scale = np.array([everywhere.get(g, 0) / max(1, per_grade.get(g, 0)) for g in range(grade_count)])
-    weights, thresholds = fit_ordinal([sorted(row["numbers"] or []) for row in found], sampled, scale[sampled], len(names), grade_count)
+    weights, thresholds = fit_ordinal(numbers, sampled, scale[labels], len(names), grade_count)
     return OrdinalModel(dict(zip(names, weights.tolist(), strict=True)), thresholds)
 
 
