@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, near_dup, packing, substring_dedup, toxicity
+from . import ann, html_text, language_id, near_dup, packing, substring_dedup, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 (not toxic), 1 and 2 (toxic, with less and with more evidence): ``labels`` tells only toxic from clean."""
     docs = read_table(spark, sf_dir, "documents")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_language_id,
         op2_best_fit_packing,
+        op5_html_text,
         op7_toxicity,
         op8_near_dedup,
         op9_nearest_neighbours,
