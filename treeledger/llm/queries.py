@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, language_id, near_dup, packing, substring_dedup, toxicity
+from . import ann, decontaminate, html_text, language_id, line_dedup, near_dup, packing, substring_dedup, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "partners", kept)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 (not toxic), 1 and 2 (toxic, with less and with more evidence): ``labels`` tells only toxic from clean."""
     docs = read_table(spark, sf_dir, "documents")
@@ -59,7 +70,9 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_language_id,
         op2_best_fit_packing,
+        op4_line_dedup,
         op5_html_text,
+        op6_decontamination,
         op7_toxicity,
         op8_near_dedup,
         op9_nearest_neighbours,
