@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from treeledger.scratch import materialize
 
-# Text handled at once inside a task, in bytes; what a task holds in memory is a small multiple of it.
-TEXT_BYTES = 2_000_000
+# Characters of text handled at once inside a task; what a task holds in memory is a small multiple of it.
+TEXT_SIZE = 2_000_000
 # Odd multiplier of the polynomial hashes over words.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,8 +38,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def row_batches(texts: list[bytes], limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into runs of about ``limit`` bytes; a longer text stands alone."""
+def row_batches(texts: list[str], limit: int = TEXT_SIZE) -> Iterator[tuple[int, int]]:
+    """Cut a list of texts into runs of about ``limit`` characters; a longer text stands alone."""
     begin = size = 0
     for k, text in enumerate(texts):
         if k > begin and size + len(text) > limit:

@@ -33,12 +33,12 @@ LEVELS_PER_ROUND = 6
 NO_ID = -(2**63)
 
 
-def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted distinct shingles of every text as 64-bit hashes of ``width`` words; A-Z are lower-cased.
 
     A text of fewer words is one shingle, a text without words has none.
     """
-    words = [text.lower().split() for text in texts]
+    words = [text.encode().lower().split() for text in texts]
     counts = [len(w) for w in words]
     hashes = np.ascontiguousarray(word_hashes([w for text in words for w in text])[:, 0])
     shingles = sliding_hash(hashes, width)
@@ -74,7 +74,7 @@ def _described(rows: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
+            texts = batch["text"].tolist()
             for begin, end in row_batches(texts):
                 sets = shingle_sets(texts[begin:end])
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -101,7 +101,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
+            texts = batch["text"].tolist()
             for begin, end in row_batches(texts):
                 sets = [s.view(np.int64) for s in shingle_sets(texts[begin:end])]
                 yield pd.DataFrame({"id": batch["id"].iloc[begin:end].array, "shingles": sets})

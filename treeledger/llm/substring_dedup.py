@@ -21,14 +21,14 @@ CELLS_PER_BYTE = 10
 # A sketch is merged in blocks of this many cells (a power of two), each by one task.
 BLOCK_BITS = 27
 # Windows that a task counts before it sends its part of the sketch.
-HELD_WINDOWS = 4_000_000
+HELD_WINDOWS = 2_000_000
 # Stands for a null id inside the operator, and so comes before every other id.
 NO_ID = -(2**63)
 
 
-def word_windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_windows(texts: list[str], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of every text, and for every window of ``width`` words inside one text: text, start, and a 128-bit hash."""
-    words = [text.split() for text in texts]
+    words = [text.encode().split() for text in texts]
     counts = np.array([len(w) for w in words], np.int64)
     hashes = word_hashes([w for text in words for w in text])
     high = sliding_hash(np.ascontiguousarray(hashes[:, 0]), width)
@@ -72,9 +72,12 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
     mask = np.uint64((1 << BLOCK_BITS) - 1)
 
     def part(keys: list[np.ndarray]) -> pd.DataFrame:
-        merged = np.sort(np.concatenate(keys))
+        merged = np.concatenate(keys)
+        keys.clear()
+        merged.sort()
         begins, ends = _cut(merged)
         cells, twice = merged[begins], ends - begins > 1
+        del merged
         target = cells >> block_bits
         begins, ends = _cut(target)
         rows = []
@@ -91,7 +94,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
+            texts = batch["text"].tolist()
             chunk = batch["chunk"].to_numpy(np.uint64)
             for begin, end in row_batches(texts):
                 _, owner, _, high, _ = word_windows(texts[begin:end], width)
@@ -101,7 +104,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
                 size += len(high)
                 if size > HELD_WINDOWS:
                     yield part(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield part(held)
 
@@ -124,7 +127,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataF
     return sketches.groupBy("block").applyInPandas(merge, "chunk long, block long, cells binary")
 
 
-def _candidates(texts: list[bytes], answers: pd.DataFrame, bits: int, width: int):
+def _candidates(texts: list[str], answers: pd.DataFrame, bits: int, width: int):
     """Batches of texts with their windows whose cell is repeated: first text, words, and of each window its text, start, hash."""
     given = answers[answers["cells"].notna()]
     cells = [
@@ -169,7 +172,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     def send(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The first window of every hash among the chunk's candidates."""
         group = group.sort_values("_id", kind="stable")
-        texts = [t.encode() for t in group["text"]]
+        texts = group["text"].tolist()
         ids = group["_id"].to_numpy()
         parts = []
         for begin, _, owner, start, high, low in _candidates(texts, told, bits, width):
@@ -195,7 +198,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     spared = stage(spared.select(chunk_of.alias("chunk"), "_id", "starts"), "first-windows")
 
     def remove(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.encode() for t in group["text"]]
+        texts = group["text"].tolist()
         ids = group["_id"].tolist()
         kept = told[told["starts"].notna()]
         first_starts = dict(zip(kept["_id"], kept["starts"], strict=True))
