@@ -23,7 +23,7 @@ BUCKETS = 1 << 18
 SWITCH_PENALTY = 9.0
 # A language is a candidate for words of a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.01
-# Score of a language that is no candidate for a word.
+# Score against the best language of one that is no candidate for a word, or is much less likely.
 NO_CANDIDATE = -60.0
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -109,10 +109,11 @@ class LanguageModel:
     candidates: np.ndarray
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of every word in every language; a script that no language uses is left undecided."""
+        """Log probability of every word in every language, against the best; a script that no language uses decides by that alone."""
         buckets, begins = sequences_of(words)
         out = np.add.reduceat(self.weights[buckets], begins, axis=0)
-        return np.where(self.candidates[scripts_of(words)], out, NO_CANDIDATE)
+        out = np.where(self.candidates[scripts_of(words)], out, -np.inf)
+        return np.maximum(out - out.max(1, keepdims=True), NO_CANDIDATE)
 
 
 def viterbi(codes: list[np.ndarray], scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
