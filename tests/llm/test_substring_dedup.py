@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from treeledger.llm import substring_dedup
+from treeledger.llm import sketch, substring_dedup
 
 SCHEMA = "doc_id long, text string, chunk string, start string, starts int"
 
@@ -73,4 +73,4 @@ def test_cells_survive_packing():
 
     for cells in ([0, 1, 255, 256, 2**27 - 1], [5], [0], [1, 2, 3]):
         cells = np.array(cells, np.uint64)
-        assert substring_dedup._unpacked(substring_dedup._packed(cells)).tolist() == cells.tolist()
+        assert sketch._unpacked(sketch._packed(cells)).tolist() == cells.tolist()

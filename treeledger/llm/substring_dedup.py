@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_batches, sliding_hash, stage, word_hashes
+from .sketch import BLOCK_BITS, RepeatedCells, repeated_cells
 
 WINDOW = 20
 # Text of one chunk of documents, in bytes. The chunks are what answers about windows are sent back to.
@@ -18,10 +18,6 @@ CHUNK_BYTES = 8_000_000
 # Cells of the sketch per byte of text, about 60 per window: a window that occurs once is taken for a repeated one in less
 # than 2 % of the cases. One wide row does better here than several narrow ones, as tasks send only the cells they touch.
 CELLS_PER_BYTE = 10
-# A sketch is merged in blocks of this many cells (a power of two), each by one task.
-BLOCK_BITS = 27
-# Windows that a task counts before it sends its part of the sketch.
-HELD_WINDOWS = 2_000_000
 # Stands for a null id inside the operator, and so comes before every other id.
 NO_ID = -(2**63)
 
@@ -40,109 +36,12 @@ def word_windows(texts: list[str], width: int) -> tuple[list[list[bytes]], np.nd
     return words, owner, start, high[at], low[at]
 
 
-def _cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal keys begin and end."""
-    begins = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else np.empty(0, np.int64)
-    return begins, np.append(begins[1:], len(keys)) if len(begins) else begins
-
-
-def _packed(cells: np.ndarray) -> bytes:
-    """Rising cells of one block: the width of the largest step in bytes, then all steps of that width."""
-    steps = np.diff(cells.astype("<u8"), prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel())
-
-
-def repeated_cells(docs: DataFrame, chunks: int, bits: int, width: int) -> DataFrame:
-    """Cells of the merged sketch that count at least two windows, for every chunk those it touches.
-
-    Tasks send their sketch as the cells they touch, by block and chunk, together with the cells they count twice or more; a
-    block's task adds up what it gets. Counts stop at two, the only thing asked of them, so a very frequent window is one
-    entry per task. A task sends at most one row per window. Returns (``chunk``, ``block``, ``cells``).
-    """
-    shift = np.uint64(64 - bits)
-    block_bits = np.uint64(BLOCK_BITS)
-    mask = np.uint64((1 << BLOCK_BITS) - 1)
-
-    def part(keys: list[np.ndarray]) -> pd.DataFrame:
-        merged = np.concatenate(keys)
-        keys.clear()
-        merged.sort()
-        begins, ends = _cut(merged)
-        cells, twice = merged[begins], ends - begins > 1
-        del merged
-        target = cells >> block_bits
-        begins, ends = _cut(target)
-        rows = []
-        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
-            low = cells[begin:end] & mask
-            again = low[twice[begin:end]]
-            rows.append((_packed(low), _packed(again) if len(again) else b""))
-        made = pd.DataFrame(rows, columns=["cells", "twice"])
-        made["block"] = (target[begins] // np.uint64(chunks)).astype(np.int64)
-        made["chunk"] = (target[begins] % np.uint64(chunks)).astype(np.int64)
-        return made
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            texts = batch["text"].tolist()
-            chunk = batch["chunk"].to_numpy(np.uint64)
-            for begin, end in row_batches(texts):
-                _, owner, _, high, _ = word_windows(texts[begin:end], width)
-                cell = high >> shift
-                target = (cell >> block_bits) * np.uint64(chunks) + chunk[begin:end][owner]
-                held.append((target << block_bits) | (cell & mask))
-                size += len(high)
-                if size > HELD_WINDOWS:
-                    yield part(held)
-                    size = 0
-        if size:
-            yield part(held)
-
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lists = [_unpacked(data) for data in group["cells"]]
-        many = [_unpacked(data) for data in group["twice"] if data]
-        every = np.sort(np.concatenate(lists))
-        begins, ends = _cut(every)
-        repeated = np.unique(np.concatenate([every[begins[ends - begins > 1]], *many]))
-        del every, begins, ends
-        answers = []
-        for chunk, places in group.groupby("chunk").indices.items():
-            touched = np.unique(np.concatenate([lists[k] for k in places]))
-            found = np.intersect1d(touched, repeated, assume_unique=True)
-            if len(found):
-                answers.append((chunk, key[0], _packed(found)))
-        return pd.DataFrame(answers, columns=["chunk", "block", "cells"])
-
-    sketches = docs.select("chunk", "text").mapInPandas(count, "chunk long, block long, cells binary, twice binary")
-    return sketches.groupBy("block").applyInPandas(merge, "chunk long, block long, cells binary")
-
-
 def _candidates(texts: list[str], answers: pd.DataFrame, bits: int, width: int):
     """Batches of texts with their windows whose cell is repeated: first text, words, and of each window its text, start, hash."""
-    given = answers[answers["cells"].notna()]
-    cells = [
-        (np.uint64(block) << np.uint64(BLOCK_BITS)) | _unpacked(data)
-        for block, data in zip(given["block"], given["cells"], strict=True)
-    ]
-    repeated = np.unique(np.concatenate(cells)) if cells else np.empty(0, np.uint64)
+    repeated = RepeatedCells(answers, bits)
     for begin, end in row_batches(texts):
         words, owner, start, high, low = word_windows(texts[begin:end], width)
-        if len(repeated):
-            cell = high >> np.uint64(64 - bits)
-            at = np.minimum(np.searchsorted(repeated, cell), len(repeated) - 1)
-            keep = repeated[at] == cell
-        else:
-            keep = np.zeros(len(high), bool)
+        keep = repeated.hold(high)
         yield begin, words, owner[keep], start[keep], high[keep], low[keep]
 
 
@@ -167,7 +66,12 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     chunk_of = F.pmod(F.xxhash64("_id"), F.lit(chunks))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(chunk_of.alias("chunk"), "_id", "text")
-    answers = stage(repeated_cells(rows, chunks, bits, width), "repeated-cells")
+    
+    def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        _, owner, _, high, _ = word_windows(texts, width)
+        return owner, high
+
+    answers = stage(repeated_cells(rows, chunks, bits, hashes), "repeated-cells")
 
     def send(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The first window of every hash among the chunk's candidates."""
