@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, language_id, line_dedup, near_dup, packing, substring_dedup, toxicity
+from . import ann, decontaminate, html_text, language_id, line_dedup, near_dup, packing, substring_dedup, suffix_dedup, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_language_id,
         op2_best_fit_packing,
+        op3_suffix_dedup,
         op4_line_dedup,
         op5_html_text,
         op6_decontamination,
