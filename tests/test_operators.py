@@ -17,6 +17,7 @@ from treeledger.operators.analyzers import Analyzer, AnalyzerRule, bind_analyzer
 def hot(monkeypatch):
     """Every key with at least four rows is hot, so all salting takes place."""
     monkeypatch.setattr(skew, "HOT_FLOOR", 4)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 2)
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
 
 
@@ -37,7 +38,7 @@ def skewed(spark, n, seed):
 def test_spread_join(spark, hot, how):
     left = spark.createDataFrame(skewed(spark, 300, 1), "k string, a int")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k4", 4), (None, 5)], "k string, b int")
-    assert {"hot", "warm", None} < {r.k for r in skew.hot_keys(left, ["k"])}
+    assert {"hot", "warm", None} < {r.k for r in skew.hot_keys(left, ["k"]).collect()}
     assert rows(skew.spread_join(left, right, ["k"], ["a"], how)) == rows(left.join(right, ["k"], how))
 
 
@@ -59,14 +60,18 @@ def test_only_null_keys_are_hot(spark, monkeypatch):
     assert "_left_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_hot_keys_are_bounded(spark, monkeypatch):
-    df = spark.createDataFrame([(i % 10, i) for i in range(1000)], "k int, a int")
-    monkeypatch.setattr(skew, "HOT_FLOOR", 101)
-    assert skew.hot_keys(df, ["k"]) == []
-    monkeypatch.setattr(skew, "HOT_FLOOR", 100)
-    assert len(skew.hot_keys(df, ["k"])) == 10
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
-    assert len(skew.hot_keys(df, ["k"])) == 3
+def test_every_hot_key_is_spread_by_its_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 300, i) for i in range(3000)] + [(0, -i) for i in range(90)], "k int, a int")
+    monkeypatch.setattr(skew, "HOT_FLOOR", 11)
+    assert [tuple(r) for r in skew.hot_keys(df, ["k"]).collect()] == [(0, 1)]
+    monkeypatch.setattr(skew, "HOT_FLOOR", 10)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 5)
+    parts = {r.k: r["_parts"] for r in skew.hot_keys(df, ["k"]).collect()}
+    assert parts == {k: 20 if k == 0 else 2 for k in range(300)}
+    right = spark.createDataFrame([(k, str(k)) for k in range(0, 400, 3)], "k int, b string")
+    for rows_sent in (10**6, 10):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", rows_sent)
+        assert rows(skew.spread_join(df, right, ["k"], ["a"], "left")) == rows(df.join(right, ["k"], "left"))
     assert skew.largest_group(df, ["k"]) == 100
 
 
@@ -385,11 +390,14 @@ TEXTS = {
     "b": "one\nt w o\nthree\nfive\n  \nfour\nsix　",
     "c": "\n \n",
     "d": "four\none\none",
+    "e": "a    b\nx　y",
+    "f": "ab\nab\na  b\nxy",
 }
+ASCII_SPACE = dict.fromkeys(b" \t\r\x0b\x0c")
 
 
 def counted(text):
-    return [("".join(x.split()), len(x.strip())) for x in text.split("\n") if x.strip()]
+    return [(x.translate(ASCII_SPACE), len(x.strip())) for x in text.split("\n") if x.strip()]
 
 
 def diff_table(spark, pairs):
@@ -397,7 +405,7 @@ def diff_table(spark, pairs):
     return spark.createDataFrame(data, schemas.DIFF_RESULTS)
 
 
-PAIRS = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "d"), ("0" * 40, "a"), ("d", "0" * 40), ("a", "a")]
+PAIRS = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "d"), ("0" * 40, "a"), ("d", "0" * 40), ("a", "a"), ("e", "f"), ("f", "e")]
 
 
 def test_line_changes_as_multisets(spark, hot):
@@ -405,11 +413,15 @@ def test_line_changes_as_multisets(spark, hot):
     got = {r.file_path: tuple(r)[3:] for r in lines.line_changes(diff_table(spark, PAIRS), blobs).collect()}
     for i, (x, y) in enumerate(PAIRS):
         base, target = (Counter(k for k, _ in counted(TEXTS.get(s, ""))) for s in (x, y))
-        size = defaultdict(int)
-        for key, n in counted(TEXTS.get(x, "")) + counted(TEXTS.get(y, "")):
-            size[key] = max(size[key], n)
         added, deleted = target - base, base - target
-        want = (added.total(), deleted.total(), sum(size[k] * n for k, n in added.items()), sum(size[k] * n for k, n in deleted.items()))
+
+        def chars(side, changed):
+            own = defaultdict(list)
+            for key, n in sorted(counted(TEXTS.get(side, ""))):
+                own[key].append(n)
+            return sum(sum(own[key][:n]) for key, n in changed.items())
+
+        want = (added.total(), deleted.total(), chars(y, added), chars(x, deleted))
         assert got[f"p{i}"] == want
     swapped = {r.file_path: tuple(r)[3:] for r in lines.line_changes(diff_table(spark, PAIRS), blobs, reverse=True).collect()}
     assert swapped == {p: (d, a, dc, ac) for p, (a, d, ac, dc) in got.items()}

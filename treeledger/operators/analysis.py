@@ -17,24 +17,24 @@ from .analyzers import ALL_STACKS, BoundAnalyzer
 from .skew import hot_counts, spread_join
 
 
-def _bit(i: int) -> Column:
-    return F.lit(1 << i).cast("bigint")
+def analyzer_rules(stack: Column, analyzers: Sequence[BoundAnalyzer]) -> Column:
+    """Positions of the analyzers that apply to the stack; none for an unclassified file, even of ``All`` analyzers."""
 
+    def listed(positions: list[int]) -> Column:
+        return F.array(*[F.lit(i) for i in positions]).cast("array<int>")
 
-def analyzer_mask(stack: Column, analyzers: Sequence[BoundAnalyzer]) -> Column:
-    """Bit i set where analyzer i applies to the stack; 0 for an unclassified file, even for ``All`` analyzers."""
     named = sorted({name for b in analyzers for name in b.rule.stacks} - {ALL_STACKS})
-    masks = {name: sum(1 << i for i, b in enumerate(analyzers) if b.applies_to(name)) for name in named}
-    everywhere = F.lit(sum(1 << i for i, b in enumerate(analyzers) if ALL_STACKS in b.rule.stacks)).cast("bigint")
-    if masks:
-        table = F.create_map(*[x for n, m in masks.items() for x in (F.lit(n), F.lit(m).cast("bigint"))])
-        everywhere = F.coalesce(F.try_element_at(table, stack), everywhere)
-    return F.when(stack.isNull(), F.lit(0).cast("bigint")).otherwise(everywhere)
+    found = listed([i for i, b in enumerate(analyzers) if ALL_STACKS in b.rule.stacks])
+    if named:
+        rules = {name: listed([i for i, b in enumerate(analyzers) if b.applies_to(name)]) for name in named}
+        table = F.create_map(*[x for name, positions in rules.items() for x in (F.lit(name), positions)])
+        found = F.coalesce(F.try_element_at(table, stack), found)
+    return F.when(stack.isNull(), listed([])).otherwise(found)
 
 
 def analyzer_applies(stack: Column, bound: BoundAnalyzer) -> Column:
     """Whether one analyzer runs on files of a stack."""
-    return analyzer_mask(stack, [bound]) > 0
+    return F.size(analyzer_rules(stack, [bound])) > 0
 
 
 def expand_analyzers(files: DataFrame, analyzers: Sequence[BoundAnalyzer]) -> DataFrame:
@@ -47,15 +47,25 @@ def expand_analyzers(files: DataFrame, analyzers: Sequence[BoundAnalyzer]) -> Da
 def file_texts(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """Files with the text of their blob; a missing blob gives the stand-in text."""
     others = [c for c in files.columns if c != "hash"]
-    joined = spread_join(files, blobs.select("hash", "content"), ["hash"], others, "left")
-    return joined.select(*files.columns, snapshot_text(F.col("hash"), F.col("content")).alias("text"))
+    joined = spread_join(files, _wanted_texts(files, blobs), ["hash"], others, "left")
+    text = F.coalesce("text", snapshot_text(F.col("hash"), F.lit(None).cast("binary")))
+    return joined.select(*files.columns, text.alias("text"))
+
+
+def _wanted_texts(files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``hash, text`` of the blobs that the files name; their contents stay where they are scanned while the list is short."""
+    hashes = materialize(files.select("hash").where(F.col("hash").isNotNull()).distinct(), "hashes")
+    if hashes.count() <= skew.BROADCAST_ROWS:
+        hashes = F.broadcast(hashes)
+    found = blobs.select("hash", "content").join(hashes, "hash")
+    return found.select("hash", snapshot_text(F.col("hash"), F.col("content")).alias("text"))
 
 
 def file_snapshots(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """Text of every distinct blob of the files: ``commit_file_hash, content_snapshot``."""
     hashes = files.select("hash").where(F.col("hash").isNotNull()).distinct()
-    joined = hashes.join(blobs.select("hash", "content"), "hash", "left")
-    text = snapshot_text(F.col("hash"), F.col("content"))
+    joined = hashes.join(_wanted_texts(files, blobs), "hash", "left")
+    text = F.coalesce("text", snapshot_text(F.col("hash"), F.lit(None).cast("binary")))
     return joined.select(F.col("hash").alias("commit_file_hash"), text.alias("content_snapshot"))
 
 
@@ -65,16 +75,16 @@ def unclassified_files(files: DataFrame) -> DataFrame:
 
 
 def blob_results(found: DataFrame, analyzers: Sequence[BoundAnalyzer]) -> DataFrame:
-    """``hash`` and one ``(count, content)`` column per analyzer, from ``hash, mask, content``.
+    """``hash`` and one ``(count, content)`` column per analyzer, from ``hash, rules, content``.
 
-    A column is NULL where the mask does not ask for that analyzer or the content is no text, and no work is done there.
+    A column is NULL where the rules do not ask for that analyzer or the content is no text, and no work is done there.
     """
     text = snapshot_text(F.col("hash"), F.col("content"))
-    texts = found.select("hash", "mask", text.alias("text"))
-    texts = texts.select("hash", "mask", F.when(has_text(F.col("text")), F.col("text")).alias("text"))
+    texts = found.select("hash", "rules", text.alias("text"))
+    texts = texts.select("hash", "rules", F.when(has_text(F.col("text")), F.col("text")).alias("text"))
     results = []
     for i, bound in enumerate(analyzers):
-        asked = F.col("mask").bitwiseAND(_bit(i)) != 0
+        asked = F.array_contains("rules", i)
         count, content = bound.analyzer.columns(F.when(asked, F.col("text")))
         results.append(F.struct(count.cast("bigint").alias("count"), content.alias("content")).alias(f"_result{i}"))
     return texts.select("hash", *results)
@@ -91,15 +101,16 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     blob table bucketed by hash then still keeps its content in place.
     """
     extra = [c for c in files.columns if c not in ("commit_hash", "path", "hash", "tech_stack")]
-    classified = files.withColumn("mask", analyzer_mask(F.col("tech_stack"), analyzers)).where(F.col("mask") != 0)
-    classified = classified.select(*extra, "commit_hash", "path", "hash", "mask")
+    classified = files.withColumn("rules", analyzer_rules(F.col("tech_stack"), analyzers)).where(F.size("rules") > 0)
+    classified = classified.select(*extra, "commit_hash", "path", "hash", "rules")
 
     per_hash = classified.groupBy("hash")
-    wanted = materialize(per_hash.agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("files")), "wanted")
-    masks = wanted.select("hash", "mask")
+    every = F.array_distinct(F.flatten(F.collect_set("rules"))).alias("rules")
+    wanted = materialize(per_hash.agg(every, F.count(F.lit(1)).alias("files")), "wanted")
+    asked = wanted.select("hash", "rules")
     if wanted.count() <= skew.BROADCAST_ROWS:
-        masks = F.broadcast(masks)
-    results = blob_results(blobs.join(masks, "hash").select("hash", "mask", "content"), analyzers)
+        asked = F.broadcast(asked)
+    results = blob_results(blobs.join(asked, "hash").select("hash", "rules", "content"), analyzers)
 
     joined = spread_join(
         classified,
@@ -111,7 +122,7 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     )
     rows = [
         F.when(
-            F.col("mask").bitwiseAND(_bit(i)) != 0,
+            F.array_contains("rules", i),
             F.struct(
                 F.lit(bound.rule.name).alias("analyzer_type"),
                 F.coalesce(F.col(f"_result{i}.count"), F.lit(0).cast("bigint")).alias("count"),

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import times
-from .skew import SALTS
+
+# Parts of a repository's runs that are ranked on their own first.
+RANKED_PARTS = 64
 
 
 def with_labels(runs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def newest_runs(runs: DataFrame, limit: int) -> DataFrame:
     A repository may hold most of the runs, so its runs are ranked within salted parts first; only the best of each part
     are ranked together.
     """
-    part = F.pmod(F.xxhash64("run"), F.lit(SALTS))
+    part = F.pmod(F.xxhash64("run"), F.lit(RANKED_PARTS))
     newest = F.col("run").desc()
     within = Window.partitionBy("repo", "_part").orderBy(newest)
     overall = Window.partitionBy("repo").orderBy(newest)

@@ -112,15 +112,16 @@ def resolve_refs(refs: DataFrame, commits: DataFrame, specs: DataFrame) -> DataF
     """Full hash of each ``spec``: a branch name, a full hash or a hash prefix.
 
     Returns ``spec, hash, status`` where status is ``ok``, ``unknown`` or ``ambiguous`` (hash NULL unless ok). A branch
-    name wins over a hash. Prefixes have at least four characters and are matched by equality on their own length: the
-    lengths in use (36 at most) decide how many prefixes of a commit take part.
+    name wins over a hash. Prefixes have at least four characters, as Git asks for, and are matched by equality on their own
+    length: the lengths in use, fewer than a hash has characters, decide how many prefixes of a commit take part.
     """
     specs = specs.select("spec").distinct()
     by_name = refs.select(F.col("name").alias("spec"), F.col("hash").alias("branch_hash")).distinct()
     lengths = [r[0] for r in specs.select(F.char_length("spec")).distinct().collect()]
-    prefixes = [F.left("hash", F.lit(n)) for n in sorted(lengths) if 4 <= n < 40]
+    prefixes = [F.when(F.char_length("hash") > n, F.left("hash", F.lit(n))) for n in sorted(lengths) if n >= 4]
     candidates = commits.select("hash").distinct()
-    candidates = candidates.select(F.explode(F.array_distinct(F.array(*prefixes, "hash"))).alias("spec"), "hash")
+    named = F.array_distinct(F.array_compact(F.array(*prefixes, "hash")))
+    candidates = candidates.select(F.explode(named).alias("spec"), "hash")
     matching = candidates.join(specs, "spec", "left_semi").groupBy("spec")
     hits = matching.agg(F.count(F.lit(1)).alias("hits"), F.min("hash").alias("commit_hash"))
     named = by_name.groupBy("spec").agg(F.count(F.lit(1)).alias("names"), F.min("branch_hash").alias("branch_hash"))
@@ -136,26 +137,43 @@ def resolve_refs(refs: DataFrame, commits: DataFrame, specs: DataFrame) -> DataF
     return joined.select("spec", F.when(status == "ok", found).alias("hash"), status.alias("status"))
 
 
-def resolve_ref(refs: DataFrame, commits: DataFrame, spec: str | None = None) -> str:
-    """Full hash of one branch name or hash prefix; the tip of the current branch when none is given."""
+def of_repository(table: DataFrame, repository: str | None) -> DataFrame:
+    """Rows of one repository, or the whole table."""
+    return table if repository is None else table.where(F.col("repository") == repository)
+
+
+def resolve_ref(refs: DataFrame, commits: DataFrame, spec: str | None = None, repository: str | None = None) -> str:
+    """Full hash of one branch name or hash prefix; the tip of the current branch when none is given.
+
+    ``repository`` names the one that is meant; without it the answer must be the same for all. A hash prefix is looked for
+    where commits are scanned, and nothing is shuffled but the hits.
+    """
+    refs, commits = of_repository(refs, repository), of_repository(commits, repository)
     if spec is None:
-        rows = refs.where("is_head").select("hash", F.lit("ok").alias("status")).limit(1).collect()
+        found = _some_hashes(refs.where("is_head"))
     else:
-        specs = refs.sparkSession.createDataFrame([(spec,)], "spec string")
-        rows = resolve_refs(refs, commits, specs).select("hash", "status").collect()
-    if not rows or rows[0].status == "unknown":
+        found = _some_hashes(refs.where(F.col("name") == spec))
+        if not found:
+            same = F.col("hash").startswith(spec) if len(spec) >= 4 else F.col("hash") == spec
+            found = _some_hashes(commits.where(same))
+    if not found:
         raise ValueError(f"no branch or commit {spec or 'HEAD'!r}")
-    if rows[0].status == "ambiguous":
-        raise ValueError(f"more than one branch or commit matches {spec!r}")
-    return rows[0].hash
+    if len(found) > 1:
+        raise ValueError(f"more than one branch or commit matches {spec or 'HEAD'!r}")
+    return found[0]
+
+
+def _some_hashes(rows: DataFrame) -> list[str]:
+    """No, one, or two of the distinct hashes, which tells whether there is exactly one."""
+    return [row[0] for row in rows.select("hash").distinct().limit(2).collect()]
 
 
-def branch_tip(refs: DataFrame, branch: str) -> str:
+def branch_tip(refs: DataFrame, branch: str, repository: str | None = None) -> str:
     """Tip of a branch."""
-    rows = refs.where(F.col("name") == branch).select("hash").distinct().limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"branch {branch!r} not found" if not rows else f"branch {branch!r} is in several repositories")
-    return rows[0].hash
+    found = _some_hashes(of_repository(refs, repository).where(F.col("name") == branch))
+    if len(found) != 1:
+        raise ValueError(f"branch {branch!r} not found" if not found else f"branch {branch!r} is in several repositories")
+    return found[0]
 
 
 def latest_commits(commits: DataFrame) -> DataFrame:

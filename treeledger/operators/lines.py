@@ -1,7 +1,7 @@
 """Line changes of the files of a diff, from base to target.
 
-A line counts when it is not blank, white space inside it makes no difference, and its characters are those of the trimmed
-line. Each distinct pair of blobs is compared once, however many files and commit pairs share it.
+A line counts when it is not blank, ASCII white space in it makes no difference, and its characters are those of the line
+without any white space at its ends. Each distinct pair of blobs is compared once, however many files and commit pairs share it.
 """
 
 from __future__ import annotations
@@ -21,12 +21,17 @@ from .skew import hot_keys, spread_join
 
 _PAIR = ["base_file_hash", "target_file_hash"]
 _KEYS = ["base_commit_hash", "target_commit_hash", "target_path"]
+_WITHOUT_SPACE = dict.fromkeys(b"\t\n\x0b\x0c\r ")
+_SIZES = "array<struct<chars: bigint, n: bigint>>"
 _COUNTS = ["added_lines", "deleted_lines", "added_chars", "deleted_chars"]
 
 
 def line_changes(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> DataFrame:
     """Lines compared as a multiset: a moved line is no change.
 
+    Characters are those of the added or deleted lines themselves. Where lines that differ in white space only count as one
+    line, the longest of a side are the ones that stay.
+
     One grouping of line digests does the work, so no file has to fit into a task. ``line_changes_ordered`` compares in
     order. ``reverse`` swaps added and deleted.
     """
@@ -41,20 +46,37 @@ def line_changes(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> Da
             [c for c in _PAIR if c != name],
             spread_right=["key"],
         )
-        sides.append(joined.select(*_PAIR, "key", "chars", (F.col("n") * sign).alias("n")))
+        own = F.col("sizes")
+        sizes = [own if sign < 0 else F.lit(None).cast(_SIZES), own if sign > 0 else F.lit(None).cast(_SIZES)]
+        named = [column.alias(title) for column, title in zip(sizes, ("base_sizes", "target_sizes"), strict=True)]
+        sides.append(joined.select(*_PAIR, "key", (F.col("n") * sign).alias("n"), *named))
     per_line = sides[0].unionByName(sides[1]).groupBy(*_PAIR, "key").agg(
-        F.sum("n").alias("n"), F.max("chars").alias("chars")
+        F.sum("n").alias("n"),
+        F.first("base_sizes", ignorenulls=True).alias("base_sizes"),
+        F.first("target_sizes", ignorenulls=True).alias("target_sizes"),
     )
     gained, lost = F.greatest(F.col("n"), F.lit(0)), F.greatest(-F.col("n"), F.lit(0))
     counts = per_line.groupBy(*_PAIR).agg(
         F.sum(gained).alias("added_lines"),
         F.sum(lost).alias("deleted_lines"),
-        F.sum(gained * F.col("chars")).alias("added_chars"),
-        F.sum(lost * F.col("chars")).alias("deleted_chars"),
+        F.sum(_smallest("target_sizes", gained)).alias("added_chars"),
+        F.sum(_smallest("base_sizes", lost)).alias("deleted_chars"),
     )
     return _per_file(diff, counts, reverse)
 
 
+def _smallest(sizes: str, number: Column) -> Column:
+    """Characters of the shortest ``number`` lines of a side; ``sizes`` rises and says how many lines have each size."""
+    zero = F.lit(0).cast("bigint")
+
+    def take(state: Column, size: Column) -> Column:
+        taken = F.least(state["left"], size["n"])
+        return F.struct((state["left"] - taken).alias("left"), (state["chars"] + taken * size["chars"]).alias("chars"))
+
+    start = F.struct(number.cast("bigint").alias("left"), zero.alias("chars"))
+    return F.coalesce(F.aggregate(sizes, start, take, lambda state: state["chars"]), zero)
+
+
 def line_changes_ordered(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> DataFrame:
     """Lines compared in order by a longest common subsequence: a moved line is deleted and added.
 
@@ -89,13 +111,14 @@ def _texts(blobs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
 
 def _digests(texts: DataFrame) -> DataFrame:
-    """``hash, key, n, chars``: distinct lines of each blob by the digest of the line without white space."""
+    """``hash, key, n, sizes``: distinct lines of each blob by the digest of the line without ASCII white space."""
     lines = texts.select("hash", F.explode(F.split("text", "\n")).alias("line"))
     chars: Column = F.char_length(F.btrim("line", F.lit(PY_WHITESPACE))).cast("bigint")
     bare = F.regexp_replace("line", r"\s+", "")
     keyed = lines.select("hash", F.unhex(F.sha1(F.encode(bare, "UTF-8"))).alias("key"), chars.alias("chars"))
-    grouped = keyed.where(F.col("chars") > 0).groupBy("hash", "key")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
+    sized = keyed.where(F.col("chars") > 0).groupBy("hash", "key", "chars").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.array_sort(F.collect_list(F.struct("chars", "n"))).alias("sizes")
+    return sized.groupBy("hash", "key").agg(F.sum("n").alias("n"), sizes)
 
 
 def _per_file(diff: DataFrame, counts: DataFrame, reverse: bool) -> DataFrame:
@@ -130,7 +153,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _counted_lines(text: str | None) -> list[tuple[str, int]]:
     lines = ((line, line.strip()) for line in (text or "").split("\n"))
-    return [("".join(line.split()), len(trimmed)) for line, trimmed in lines if trimmed]
+    return [(line.translate(_WITHOUT_SPACE), len(trimmed)) for line, trimmed in lines if trimmed]
 
 
 def _unmatched(base: list[str], target: list[str]) -> tuple[list[int], list[int]]:

@@ -6,29 +6,32 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A key is hot when it holds at least this many rows and is among the most frequent ones. Every key that holds
-# 1 / HOT_KEYS of the rows or more is among them, as no more than HOT_KEYS keys can.
+from ..scratch import materialize
+
+# A key is hot from this many rows on; its rows are spread so that a task gets about ROWS_PER_TASK of them.
 HOT_FLOOR = 100_000
-HOT_KEYS = 256
-# Number of tasks a hot key is spread over.
-SALTS = 64
+ROWS_PER_TASK = 50_000
+# Parts that rows with a NULL key, which join nothing, are dealt to.
+NULL_PARTS = 64
 # Largest table sent to every executor, in rows of a few short columns; such a row takes well under 128 bytes in memory.
 BROADCAST_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
-    """The hot keys of a table, from one aggregation of its key columns; at most ``HOT_KEYS`` of any size of table."""
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The hot keys of a table with the number of parts for each (``_parts``), from one aggregation of its key columns."""
     return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows")
 
 
-def hot_counts(counts: DataFrame, keys: Sequence[str], rows: str) -> list[Row]:
-    """The same from a table that already holds the number of rows per key."""
-    frequent = counts.where(F.col(rows) >= HOT_FLOOR).orderBy(F.col(rows).desc()).limit(HOT_KEYS)
-    return frequent.select(*keys).collect()
+def hot_counts(counts: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
+    """The same from a table that already holds the number of rows per key.
+
+    A stored table: there is one hot key per ``HOT_FLOOR`` rows at most, but no fixed number of them.
+    """
+    parts = F.ceil(F.col(rows) / F.lit(ROWS_PER_TASK)).cast("int").alias("_parts")
+    return materialize(counts.where(F.col(rows) >= HOT_FLOOR).select(*keys, parts), "hot-keys")
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -37,28 +40,29 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
-def _marked(df: DataFrame, hot: list[Row], keys: Sequence[str]) -> DataFrame:
-    """Table with ``_hot``, true for the hot keys."""
-    schema = T.StructType([df.schema[k] for k in keys])
-    known = [row for row in hot if None not in row]
-    listed = df.sparkSession.createDataFrame(known, schema).withColumn("_hot", F.lit(True))
-    return df.join(F.broadcast(listed), list(keys), "left")
+def _marked(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Table with ``_parts``, NULL but for the hot keys; their list is broadcast while it is known to be short."""
+    listed = hot.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
+    if listed.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    return df.join(listed, list(keys), "left")
 
 
-def _salted(df: DataFrame, hot: list[Row], keys: Sequence[str], spread: Sequence[str], salt: str) -> DataFrame:
-    """Rows of a hot key numbered 0..SALTS-1 by their own values, so a retried task numbers them the same way.
+def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str], salt: str) -> DataFrame:
+    """Rows of a hot key numbered from 0 to its parts by their own values, so a retried task numbers them the same way.
 
     Rows with a NULL key join nothing; they are numbered too, so that an outer join does not gather them in one task.
     """
     lonely = reduce(or_, [F.col(k).isNull() for k in keys])
-    number = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS)).cast("int")
-    return _marked(df, hot, keys).withColumn(salt, F.when(F.col("_hot") | lonely, number).otherwise(0)).drop("_hot")
+    parts = F.when(lonely, F.lit(NULL_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
+    number = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), parts).cast("int")
+    return _marked(df, hot, keys).withColumn(salt, number).drop("_parts")
 
 
-def _copied(df: DataFrame, hot: list[Row], keys: Sequence[str], salt: str) -> DataFrame:
-    """Rows of a hot key once per salt."""
-    salts: Column = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return _marked(df, hot, keys).withColumn(salt, F.explode(salts)).drop("_hot")
+def _copied(df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: str) -> DataFrame:
+    """Rows of a hot key once per part."""
+    salts: Column = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    return _marked(df, hot, keys).withColumn(salt, F.explode(salts)).drop("_parts")
 
 
 def spread_join(
@@ -68,7 +72,7 @@ def spread_join(
     spread: Sequence[str],
     how: str = "inner",
     spread_right: Sequence[str] = (),
-    hot: list[Row] | None = None,
+    hot: DataFrame | None = None,
     most: int | None = None,
     most_right: int | None = None,
 ) -> DataFrame:
@@ -86,17 +90,17 @@ def spread_join(
         raise ValueError(f"join type {how!r} cannot be spread")
     if spread_right and how != "inner":
         raise ValueError("both sides can be spread in an inner join only")
-    if hot is None:
-        hot = [] if most is not None and most < HOT_FLOOR else hot_keys(left, keys)
-    hot_right: list[Row] = []
+    if hot is None and (most is None or most >= HOT_FLOOR):
+        hot = hot_keys(left, keys)
+    hot_right = None
     if spread_right and (most_right is None or most_right >= HOT_FLOOR):
         hot_right = hot_keys(right, keys)
     on = list(keys)
-    if hot:
+    if hot is not None and not hot.isEmpty():
         left = _salted(left, hot, keys, spread, "_left_salt")
         right = _copied(right, hot, keys, "_left_salt")
         on.append("_left_salt")
-    if hot_right:
+    if hot_right is not None and not hot_right.isEmpty():
         right = _salted(right, hot_right, keys, spread_right, "_right_salt")
         left = _copied(left, hot_right, keys, "_right_salt")
         on.append("_right_salt")

@@ -14,9 +14,10 @@ from ..functions.paths import ALL_LABEL, DEFAULT_EXCLUDE, DEFAULT_INCLUDE, DEFAU
 from ..operators import history
 from ..operators.analysis import analyze, file_snapshots
 from ..operators.analyzers import DEFAULT_ANALYZERS, AnalyzerRule, BoundAnalyzer, bind_analyzers
-from ..operators.lineage import branch_tip, commit_in_branch, resolve_ref
+from ..operators.lineage import branch_tip, commit_in_branch, of_repository, resolve_ref
 from ..operators.stats import RunTables, Statistic, registered_statistics
 from ..operators.trees import diff_commits, diff_sides, snapshot_files, tree_diff
+from ..scratch import materialize
 from ..sinks.files import write_csv, write_manifest
 from ..sources.tables import RepoTables
 
@@ -62,8 +63,9 @@ class Results:
 def snapshot_tables(
     lake: RepoTables, commits: DataFrame | Sequence[str], settings: Settings
 ) -> tuple[DataFrame, DataFrame]:
-    """Files and analysis rows of any number of commits."""
-    files = snapshot_files(lake.tree_entries, commits, settings.include, settings.exclude, settings.stacks)
+    """Files and analysis rows of any number of commits. The files are stored, as several steps read them."""
+    found = snapshot_files(lake.tree_entries, commits, settings.include, settings.exclude, settings.stacks)
+    files = materialize(found, "files")
     return files, analyze(files, lake.blobs, settings.bound()).select(*schemas.ANALYSIS_RESULTS.names)
 
 
@@ -72,13 +74,22 @@ def diff_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Diff rows and the analysis rows of both their sides, for any number of commit pairs.
 
-    Columns of ``pairs`` beyond the two hashes are kept in both tables.
+    Columns of ``pairs`` beyond the two hashes are kept in both tables. The diff is stored, so that the tree entries are read
+    once for all that is made of it.
     """
-    diff = tree_diff(lake.tree_entries, pairs, settings.include, settings.exclude, settings.stacks)
+    found = tree_diff(lake.tree_entries, pairs, settings.include, settings.exclude, settings.stacks)
+    diff = materialize(found, "diff")
     sides = diff_sides(diff)
     return diff, analyze(sides, lake.blobs, settings.bound()).drop("side")
 
 
+def in_repository(lake: RepoTables, repository: str | None) -> RepoTables:
+    """The lake with the commits and branches of one repository; trees, parents and contents are found by hash."""
+    if repository is None:
+        return lake
+    return replace(lake, commits=of_repository(lake.commits, repository), refs=of_repository(lake.refs, repository))
+
+
 def snapshot_job(
     lake: RepoTables,
     commit: str | None = None,
@@ -86,12 +97,19 @@ def snapshot_job(
     settings: Settings = Settings(),
     mode: str = "snap",
     keep_texts: bool = False,
+    repository: str | None = None,
 ) -> Results:
-    """Snapshot of one commit, by default the latest of the branch, by default the current branch."""
+    """Snapshot of one commit, by default the latest of the branch, by default the current branch.
+
+    ``repository`` names the one that is meant where the lake holds several.
+    """
+    lake = in_repository(lake, repository)
     if branch is None:
-        heads = lake.refs.where("is_head").select("name").limit(1).collect()
+        heads = lake.refs.where("is_head").select("repository", "name").distinct().limit(2).collect()
         if not heads:
             raise ValueError("there is no current branch")
+        if len(heads) > 1:
+            raise ValueError("there are several current branches; name a branch or a repository")
         branch = heads[0].name
     tip = branch_tip(lake.refs, branch)
     commit_hash = tip if commit is None else resolve_ref(lake.refs, lake.commits, commit)
@@ -115,10 +133,14 @@ def snapshot_job(
 
 
 def history_job(
-    lake: RepoTables, commit: str | None = None, branch: str | None = None, settings: Settings = Settings()
+    lake: RepoTables,
+    commit: str | None = None,
+    branch: str | None = None,
+    settings: Settings = Settings(),
+    repository: str | None = None,
 ) -> Results:
     """A snapshot under the history mode."""
-    return snapshot_job(lake, commit, branch, settings, mode="hist")
+    return snapshot_job(lake, commit, branch, settings, mode="hist", repository=repository)
 
 
 def diff_job(
@@ -129,8 +151,10 @@ def diff_job(
     settings: Settings = Settings(),
     mode: str = "diff",
     branches: tuple[str, str] | None = None,
+    repository: str | None = None,
 ) -> Results:
     """Diff of two commits given by branch name, hash or short hash; both sides are analyzed."""
+    lake = in_repository(lake, repository)
     base_hash = resolve_ref(lake.refs, lake.commits, base)
     target_hash = resolve_ref(lake.refs, lake.commits, target)
     base_branch, target_branch = branches or (branch, branch)
@@ -148,11 +172,14 @@ def diff_job(
     )
 
 
-def diff_branch_job(lake: RepoTables, base: str, target: str, settings: Settings = Settings()) -> Results:
+def diff_branch_job(
+    lake: RepoTables, base: str, target: str, settings: Settings = Settings(), repository: str | None = None
+) -> Results:
     """Diff of the tips of two branches."""
     for branch in (base, target):
-        branch_tip(lake.refs, branch)
-    return diff_job(lake, base, target, settings=settings, mode="diffb", branches=(base, target))
+        branch_tip(lake.refs, branch, repository)
+    branches = (base, target)
+    return diff_job(lake, base, target, settings=settings, mode="diffb", branches=branches, repository=repository)
 
 
 Producer = Callable[..., Mapping[str, object]]

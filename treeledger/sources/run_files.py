@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +16,9 @@ from .. import schemas
 RUN = ["repo", "run"]
 
 
-def _path_part(pattern: str, group: int) -> Column:
+def _path_part(pattern: str, group: int, path: str = "_metadata.file_path") -> Column:
     # file paths are URL-encoded except for the plus sign
-    path = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    path = F.replace(F.col(path), F.lit("+"), F.lit("%2B"))
     return F.url_decode(F.regexp_extract(path, pattern, group))
 
 
@@ -28,24 +30,62 @@ def read_run_csv(
     Quoted line breaks are read as data, which makes each file one task's work; files of ``write_csv`` are bounded. For
     tables known to hold no line breaks ``multi_line=False`` splits large files. ``skip_unreadable`` passes over corrupt
     files.
+
+    Columns are found by the names in each file's own header, whatever their order. Absent ones are NULL; others than the
+    standard ones follow as text. The files are read once for their first lines, and once for every different header.
     """
-    schema = schemas.RUN_TABLES[table]
-    reader = spark.read.schema(schema).options(
-        header=True,
-        multiLine=multi_line,
-        quote='"',
-        escape='"',
-        mode="PERMISSIVE",
-        ignoreCorruptFiles=skip_unreadable,
-    )
+    pattern = f"{base}/*/runs/*/data/{table}.csv"
     try:
-        rows = reader.csv(f"{base}/*/runs/*/data/{table}.csv")
+        lines = spark.read.options(ignoreCorruptFiles=skip_unreadable).text(pattern)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    pattern = rf"/([^/]+)/runs/([^/]+)/data/{table}\.csv"
-    return rows.select(_path_part(pattern, 1).alias("repo"), _path_part(pattern, 2).alias("run"), *schema.names)
+    headers = _headers(lines)
+    layouts = [row[0] for row in headers.select("header").distinct().collect()]
+    standard = schemas.RUN_TABLES[table]
+    parts = []
+    for header in layouts or [",".join(standard.names)]:
+        reader = spark.read.schema(_layout(header, standard)).options(
+            header=True,
+            multiLine=multi_line,
+            quote='"',
+            escape='"',
+            mode="PERMISSIVE",
+            ignoreCorruptFiles=skip_unreadable,
+        )
+        rows = reader.csv(pattern).withColumn("_path", F.col("_metadata.file_path"))
+        if len(layouts) > 1:
+            rows = rows.join(headers.where(F.col("header") == header).select("_path"), "_path", "left_semi")
+        parts.append(rows)
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    absent = [f for f in standard if f.name not in rows.columns]
+    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else rows
+    named = rf"/([^/]+)/runs/([^/]+)/data/{table}\.csv"
+    repo, run = (_path_part(named, k, "_path") for k in (1, 2))
+    further = sorted(set(rows.columns) - {*standard.names, *RUN, "_path"})
+    return rows.select(repo.alias("repo"), run.alias("run"), *standard.names, *[F.col(f"`{c}`") for c in further])
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """``_path, header``: the first line of every file."""
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    first = placed.where("block = 0").groupBy("_path").agg(F.min_by("value", "place").alias("header"))
+    return first.select("_path", F.regexp_replace("header", "^\ufeff", "").alias("header"))
+
+
+def _layout(header: str, standard: T.StructType) -> T.StructType:
+    """The columns that a header names, in its order: standard ones with their types, any others as text."""
+    kinds = {f.name: f.dataType for f in standard}
+    names: list[str] = []
+    for place, name in enumerate(next(csv.reader([header]), [])):
+        names.append(name if name and name not in names else f"_column{place}")
+    return T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in names])
 
 
 def read_run_parquet(spark: SparkSession, base: str, table: str) -> DataFrame | None:

@@ -872,29 +872,35 @@ def code_volume_levels(spark, sf):
 # -- line changes --------------------------------------------------------------------------------------------------
 
 
-@case(
+# Lines of both sides by their characters without ASCII white space; of those with equal characters the longest of a side stay.
+SQL_LINE_CHANGES = (
     "SELECT 'c0' AS base_commit_hash, 'c1' AS target_commit_hash, d.path AS file_path, "
     + ", ".join(
-        f"CAST(coalesce(sum(greatest({a} - {b}, 0){c}), 0) AS BIGINT) AS {name}"
-        for a, b, c, name in (
-            ("t", "b", "", "added_lines"),
-            ("b", "t", "", "deleted_lines"),
-            ("t", "b", " * n", "added_chars"),
-            ("b", "t", " * n", "deleted_chars"),
+        f"CAST(coalesce({what} FILTER (side = {side} AND place <= own - other), 0) AS BIGINT) AS {name}"
+        for what, side, name in (
+            ("count(*)", 1, "added_lines"),
+            ("count(*)", 0, "deleted_lines"),
+            ("sum(n)", 1, "added_chars"),
+            ("sum(n)", 0, "deleted_chars"),
         )
     )
-    + " FROM d LEFT JOIN (SELECT path, regexp_replace(line, '\\s', '', 'g') AS key, sum(b) AS b, sum(t) AS t,"
-    " max(length(trim(line, ' ' || chr(9) || chr(13)))) AS n FROM ("
-    "  SELECT path, unnest(string_split(coalesce(base_content, ''), chr(10))) AS line, 1 AS b, 0 AS t FROM d UNION ALL"
-    "  SELECT path, unnest(string_split(coalesce(target_content, ''), chr(10))), 0, 1 FROM d) l"
-    " WHERE regexp_replace(line, '\\s', '', 'g') <> '' GROUP BY ALL) k ON k.path = d.path GROUP BY d.path",
-    (FILES, DIFF),
+    + " FROM d LEFT JOIN (SELECT path, side, n, row_number() OVER (PARTITION BY path, key, side ORDER BY n) AS place,"
+    " count(*) OVER (PARTITION BY path, key, side) AS own,"
+    " count(*) OVER (PARTITION BY path, key) - count(*) OVER (PARTITION BY path, key, side) AS other FROM ("
+    "  SELECT path, side, regexp_replace(line, '\\s', '', 'g') AS key, length(trim(line, ' ' || chr(9) || chr(13))) AS n"
+    "  FROM (SELECT path, unnest(string_split(coalesce(base_content, ''), chr(10))) AS line, 0 AS side FROM d UNION ALL"
+    "   SELECT path, unnest(string_split(coalesce(target_content, ''), chr(10))), 1 FROM d) l) m"
+    "  WHERE key <> '') k ON k.path = d.path GROUP BY d.path"
 )
+
+
+@case(SQL_LINE_CHANGES, (FILES, DIFF))
 def line_changes(spark, sf):
     return lines.line_changes(diff(spark, sf), blobs(spark, sf))
 
 
-@case()
+# Every changed file of these commits has lines added at its end, or is whole on one side, so order makes no difference.
+@case(SQL_LINE_CHANGES, (FILES, DIFF))
 def line_changes_ordered(spark, sf):
     return lines.line_changes_ordered(diff(spark, sf), blobs(spark, sf))
 
