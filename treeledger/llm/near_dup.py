@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.scratch import materialize
+
 from .common import components, mix, row_batches, sliding_hash, stage, word_hashes
 
 SHINGLE_WORDS = 5
@@ -20,8 +22,9 @@ SIMILARITY_PERCENT = 75
 # the depths that occur, so that 16 trees miss one in 65,000.
 TOKENS = 64
 TREES = 16
-# Nodes of up to this many documents are compared exhaustively.
-SMALL_NODE = 16
+# Nodes of up to this many documents are compared exhaustively, by minwise tokens, and about so many documents by one task.
+SMALL_NODE = 1024
+DOCS_PER_TASK = 20_000
 # A node branches by one token, and one node in this many by a second one: 4/3 tokens on average, the inverse of the
 # threshold, so that the expected number of nodes that a similar pair shares does not fall with the depth.
 SECOND_TOKEN_EVERY = 3
@@ -29,7 +32,7 @@ SECOND_TOKEN_EVERY = 3
 # fewer than 30 about once in 10 million pairs.
 LEAST_AGREEMENT = 30
 # Levels of a tree between two confirmations of links.
-LEVELS_PER_ROUND = 6
+LEVELS_PER_ROUND = 3
 NO_ID = -(2**63)
 
 
@@ -138,11 +141,32 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return judged.where(100 * F.col("common") >= SIMILARITY_PERCENT * F.col("either")).select("a", "b")
 
 
-def _node_facts(members: DataFrame) -> DataFrame:
-    """Per node: its documents, its smallest id, and the smallest and largest component in it."""
-    return members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("part").alias("least"), F.max("part").alias("most")
-    )
+def _across(open_nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """The promising pairs of different components in small nodes, every two documents of a node compared."""
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "id"], kind="stable")
+        tokens = np.stack(group["tokens"])
+        ids, parts, sizes = (group[c].to_numpy() for c in ("id", "part", "n_shingles"))
+        nodes = group["node"].to_numpy()
+        cuts = np.append(np.nonzero(np.append(True, nodes[1:] != nodes[:-1]))[0], len(nodes)).tolist()
+        found = []
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            own = np.ascontiguousarray(tokens[begin:end].T)
+            agreement = np.zeros((end - begin, end - begin), np.uint8)
+            for row in own:
+                agreement += row[:, None] == row[None, :]
+            small, large = (pick(sizes[begin:end, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
+            near = (agreement >= LEAST_AGREEMENT) & (100 * small >= SIMILARITY_PERCENT * large)
+            near &= parts[begin:end, None] != parts[None, begin:end]
+            first, second = np.nonzero(np.triu(near, 1))
+            found.append(np.stack([ids[begin + first], ids[begin + second]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    tasks = open_nodes.count() // DOCS_PER_TASK + 1
+    dealt = open_nodes.join(known, "id").withColumn("task", F.pmod("node", F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -150,42 +174,43 @@ def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     Every tree sends all documents to nodes by one minwise token. First, every document is compared with the smallest id
     that it shares a node with, the one with which it agrees in most tokens. After that a node is finished once its documents are
-    in one component, however many they are: comparing them further could not change the result. Other nodes branch again
-    by chosen tokens until they are small, and are then compared exhaustively across components; larger ones compare with their
-    smallest id on the way. Links are confirmed on full sets every few levels, and what is still open goes on.
+    in one component, however many they are: comparing them further could not change the result. Other nodes are compared
+    exhaustively across components if they are small; larger ones are compared with their smallest id and branch again by
+    chosen tokens. Links are confirmed on full sets every few levels, and what is still open goes on.
     """
     tokens = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
     first = known.select("id", tokens).select(F.xxhash64("tree", "token").alias("node"), "id")
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
     members = stage(first.join(shared, "node").select("node", "id", "pivot"), "nodes")
     near = _promising(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), known)
-    best = stage(near.groupBy("b").agg(F.max_by("a", "agreement").alias("a")), "best-pivots")
+    best = materialize(near.groupBy("b").agg(F.max_by("a", "agreement").alias("a")), "best-pivots")
     links = stage(_confirmed(best, rows), "links")
 
     state = members.select("node", "id")
     while True:
         parts = components(links, "parts").select(F.col("node").alias("id"), F.col("root"))
-        state = state.select("node", "id").join(parts, "id", "left")
-        state = stage(state.select("node", "id", F.coalesce("root", "id").alias("part")), "nodes")
+        parted = state.select("node", "id").join(parts, "id", "left")
+        state = parted.select("node", "id", F.coalesce("root", "id").alias("part"))
         asked = []
-        for _ in range(LEVELS_PER_ROUND):
-            facts = _node_facts(state).where("least <> most")
-            open_nodes = stage(state.join(facts, "node").select("node", "id", "part", "size", "pivot"), "open-nodes")
-            small = open_nodes.where(F.col("size") <= SMALL_NODE).select("node", "id", "part")
-            other = small.select("node", F.col("id").alias("other"), F.col("part").alias("other_part"))
-            across = small.join(other, "node").where("id < other AND part <> other_part")
-            asked.append(across.select(F.col("id").alias("a"), F.col("other").alias("b")))
-            large = open_nodes.where(F.col("size") > SMALL_NODE)
-            lead = large.where("id = pivot").select("node", F.col("part").alias("pivot_part")).distinct()
-            led = large.join(lead, "node").where("part <> pivot_part AND id <> pivot")
-            asked.append(led.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        for level in range(1, LEVELS_PER_ROUND + 1):
+            facts = state.groupBy("node").agg(
+                F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("part").alias("least"), F.max("part").alias("most")
+            )
+            kept = state.join(facts.where("least <> most"), "node")
+            kept = materialize(kept.select("node", "id", "part", "size", "pivot"), "open-nodes")
+            small, large = kept.where(F.col("size") <= SMALL_NODE), kept.where(F.col("size") > SMALL_NODE)
+            asked.append(_across(small.select("node", "id", "part"), known))
+            state = large
             if large.isEmpty():
-                state = large
                 break
-            state = stage(_branched(large, known), "nodes")
-        pairs = reduce(DataFrame.union, asked)
-        done = links.select("a", "b")
-        pairs = stage(_promising(pairs, known).select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
+            lead = large.where("id = pivot").select("node", F.col("part").alias("pivot_part")).distinct()
+            led = large.join(lead, "node").where("part <> pivot_part AND id <> pivot")
+            asked.append(_promising(led.select(F.col("pivot").alias("a"), F.col("id").alias("b")), known).select("a", "b"))
+            state = _branched(large, known)
+            if level == LEVELS_PER_ROUND:
+                state = materialize(state, "nodes")
+        pairs = reduce(DataFrame.union, asked).distinct().join(links, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "pairs")
         if not pairs.isEmpty():
             links = stage(links.union(_confirmed(pairs, rows)).distinct(), "links")
         if state.isEmpty():
@@ -218,7 +243,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = stage(_described(rows), "described")
     full = described.where("n_shingles > 0")
     classes = full.groupBy("high", "low").agg(F.min("id").alias("class"))
-    firsts = described.join(classes.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    # Equal sets have equal tokens, so any document of a class can give them.
+    firsts = full.groupBy("high", "low").agg(
+        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
+    )
     known = stage(firsts.select("id", "n_shingles", "tokens"), "known")
     links = similar_links(rows, known)
     roots = components(links, "components").select(F.col("node").alias("class"), "root")
