@@ -163,7 +163,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.drop("n_lines", "n_deleted", "partners", "_id", "deleted")
     rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     found = stage(line_deletions(docs), "line-deletions")
-    joined = rows.join(found, "_id", "left")
+    # The texts are shuffled at any size: what is found grows with them, and is not for sending to every task.
+    joined = rows.join(found.hint("merge"), "_id", "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     partners = F.transform(F.coalesce("partners", F.array().cast("array<long>")), lambda p: F.when(p != NO_ID, p))
     kept = joined.withColumns(
