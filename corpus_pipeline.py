@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near-duplicates the document of smallest id stays, once; of rows that repeat an id one stays."""
     kept = stage(near_dup.near_duplicates(docs).where("kept").select("doc_id"), "kept-documents")
-    unique = kept.distinct()
+    unique = kept.distinct().hint("merge")
     found = docs.alias("d").join(unique.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
         return found.select(docs.columns)

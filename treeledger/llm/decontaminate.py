@@ -163,6 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = F.col("coverage") >= LEAST_COVERAGE
     best = found.groupBy("_id").agg(F.min(order).alias("best"), F.sum(enough.cast("int")).alias("n_items"))
     best = stage(best.select("_id", (-F.col("best.order")).alias("coverage"), F.col("best.item_id").alias("item_id"), "n_items"), "coverage")
-    out = rows.join(best, "_id", "left").drop("_id")
+    # Shuffled at any size: what is found grows with the documents, and is not for sending to every task.
+    out = rows.join(best.hint("merge"), "_id", "left").drop("_id")
     out = out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("n_items", F.coalesce("n_items", F.lit(0)))
     return out.withColumn("contaminated", F.col("coverage") >= LEAST_COVERAGE)
