@@ -13,7 +13,7 @@ from treeledger import schemas
 from treeledger.functions import content as content_functions
 from treeledger.functions import paths
 from treeledger.operators import analysis, history, lineage, lines, stats, trees
-from treeledger.operators.analyzers import JAVA_CLASS_PATTERN, RegexMatchCountAnalyzer, bind_analyzers
+from treeledger.operators.analyzers import JAVA_CLASS_PATTERN, AnalyzerRule, RegexMatchCountAnalyzer, bind_analyzers
 from treeledger.plans import jobs
 from treeledger.scratch import fresh_dir
 from treeledger.sinks import files as sinks
@@ -386,6 +386,26 @@ def expand_analyzers(spark, sf):
     return rows.select("commit_hash", "path", "analyzer_type")
 
 
+VOLUME = (
+    "sized AS (SELECT commit_hash, stack AS tech_stack, length(content) AS chars FROM s WHERE stack IS NOT NULL)"
+)
+
+# More rules than a machine word has bits: every third one on all stacks, on XML, on Java.
+MANY_RULES = [AnalyzerRule(f"Chars{i}", "FileCharCountAnalyzer", (("All", "XML", "Java")[i % 3],)) for i in range(70)]
+
+
+@case(
+    "SELECT commit_hash, concat('Chars', i) AS analyzer_type, count(*) AS files, CAST(sum(chars) AS BIGINT) AS total "
+    "FROM sized, range(70) r(i) WHERE i % 3 = 0 OR (i % 3 = 1 AND tech_stack = 'XML') OR (i % 3 = 2 AND tech_stack = 'Java') "
+    "GROUP BY ALL",
+    (FILES, SNAPSHOT, VOLUME),
+)
+def many_analyzers(spark, sf):
+    rows = analysis.analyze(snapshot(spark, sf), blobs(spark, sf), bind_analyzers(MANY_RULES)[0])
+    sums = F.count(F.lit(1)).alias("files"), F.sum("count").alias("total")
+    return rows.groupBy("commit_hash", "analyzer_type").agg(*sums)
+
+
 PATTERNS = [r"\bclass\s+(\w+)", r"[a-z]{12,}", r"([0-9]+)[.:]([0-9]+)"]
 
 
@@ -841,11 +861,6 @@ def char_count_distribution(spark, sf):
     return stats.char_count_distribution(run_tables(spark, sf)).withColumnRenamed("range", "size_range")
 
 
-VOLUME = (
-    "sized AS (SELECT commit_hash, stack AS tech_stack, length(content) AS chars FROM s WHERE stack IS NOT NULL)"
-)
-
-
 @case(
     "SELECT commit_hash, tech_stack, CAST(sum(chars) AS DOUBLE) AS total_char_count, count(*) AS file_count FROM sized "
     "GROUP BY ALL",
@@ -924,6 +939,27 @@ def csv_round_trip(spark, sf):
     return back.select("repo", "run", "hash", "message", "author_name", committed.alias("committed"))
 
 
+@case(
+    "SELECT 'lake' AS repo, CASE WHEN branch = 'click' THEN 'plain' ELSE 'permuted' END AS run, "
+    "CASE WHEN length(author_name) % 2 = 0 THEN 'A' ELSE 'M' END AS diff_change_type, count(*) AS files, "
+    "count(DISTINCT CASE WHEN branch <> 'click' THEN author_name END) AS authors FROM commits GROUP BY ALL",
+    (COMMITS,),
+)
+def read_reordered_csv(spark, sf):
+    """Two runs whose tables name their columns in different orders; one of them has an author column."""
+    base = fresh_dir(spark, "reordered")
+    commits = commit_graph(spark, sf, "commits")
+    kind = F.when(F.length("author_name") % 2 == 0, "A").otherwise("M").alias("diff_change_type")
+    target, path = F.col("hash").alias("target_commit_hash"), F.concat_ws("/", "branch", "hash").alias("target_path")
+    plain, click = [kind, target, path], F.col("branch") == "click"
+    permuted = [F.col("author_name").alias("author"), path, kind, target]
+    sinks.write_csv(commits.where(click).select(*plain), f"{base}/lake/runs/plain/data/diff_results.csv")
+    sinks.write_csv(commits.where(~click).select(*permuted), f"{base}/lake/runs/permuted/data/diff_results.csv")
+    back = run_files.read_run_csv(spark, base, "diff_results").where("target_path LIKE concat('%/', target_commit_hash)")
+    sums = F.count(F.lit(1)).alias("files"), F.countDistinct("author").alias("authors")
+    return back.groupBy("repo", "run", "diff_change_type").agg(*sums)
+
+
 @case("SELECT repo, run, path, commit_hash, analyzer_type, count AS value FROM analysis_results", RUN_PARTS)
 def parquet_round_trip(spark, sf):
     base = fresh_dir(spark, "parquet")
