@@ -304,7 +304,7 @@ def test_registry_and_user_analyzers(spark):
     assert not missing and type(found[0].analyzer).__name__ == "Decoder"
     parsed = analyzers.parse_analyzer_rules([{"name": "N", "class": "C", "tech_stacks": ["All"]}])
     assert parsed == (AnalyzerRule("N", "C", ("All",)),)
-    assert WordCount().validate_result(1, {}) and not WordCount().validate_result(1, None)
+    assert WordCount().validate_result(1, {}) and WordCount().validate_result(1, None) and not WordCount().validate_result("1", {})
 
 
 FILES = [

@@ -55,8 +55,8 @@ class Analyzer:
         return result["count"], result["content"]
 
     def validate_result(self, count: object, result: object) -> bool:
-        """An integer count with a dictionary detail."""
-        return isinstance(count, int) and isinstance(result, dict)
+        """Whether a result is a whole number with a dictionary as detail, or with none."""
+        return type(count) is int and (result is None or isinstance(result, dict))
 
 
 def _detail_json(detail: dict | None) -> str | None:
@@ -68,6 +68,8 @@ def _python_udf(analyzer: Analyzer):
         counts, details = [], []
         for text in texts:
             count, detail = (None, None) if text is None else analyzer.analyze(text)
+            if text is not None and not analyzer.validate_result(count, detail):
+                raise TypeError(f"{type(analyzer).__name__} gave {count!r} with {detail!r}")
             counts.append(count)
             details.append(_detail_json(detail))
         return pd.DataFrame(
@@ -119,14 +121,9 @@ class RegexMatchCountAnalyzer(Analyzer):
             detail = {JAVA_CLASS_PATTERN: {"count": 1, "matches": [groups]}}
             return {"name": name, "content": content, "expected_count": 1, "expected_result": detail}
 
-        derived = "MyClass extends BaseClass implements Interface1, Interface2"
         return [
-            case("class", "\n  public class MyClass {\n    private int x;\n  }\n", ["MyClass", "", ""]),
-            case(
-                "derived class",
-                f"\n  public class {derived} {{\n    private String name;\n  }}\n",
-                ["MyClass", "BaseClass", "Interface1, Interface2 "],
-            ),
+            case("plain", "package shop;\npublic class Basket {\n}", ["Basket", "", ""]),
+            case("with parents", "public class Pear extends Fruit implements Edible, Sweet {", ["Pear", "Fruit", "Edible, Sweet "]),
         ]
 
     def analyze(self, text: str) -> tuple[int, dict | None]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..scratch import materialize
 
 # Names of the database tables, children first.
 DATABASE_TABLES = {
@@ -88,12 +89,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
-def check_unique(df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None) -> None:
-    """Raise when a key occurs twice in the batch or is already in the target table."""
+def key_clashes(df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
+    """Keys that occur twice in the batch or are already in the target table."""
     clashes = duplicate_keys(df, keys).select(*keys)
     if existing is not None:
         clashes = clashes.unionByName(df.select(*keys).join(existing.select(*keys), list(keys), "left_semi"))
-    sample = clashes.limit(5).collect()
+    return clashes.distinct()
+
+
+def check_unique(df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None) -> None:
+    """Raise when a key occurs twice in the batch or is already in the target table."""
+    sample = key_clashes(df, keys, existing).limit(5).collect()
     if sample:
         raise ValueError(f"rows exist already for {', '.join(map(str, (tuple(r) for r in sample)))}")
 
@@ -122,10 +128,13 @@ def reset_tables(spark: SparkSession, database: str = "default") -> None:
 
 
 def append_table(df: DataFrame, name: str, database: str = "default") -> None:
-    """Append to a result table; its key must not repeat. Commits already stored are passed over instead."""
+    """Append to a result table; its key must not repeat. Commits already stored are passed over instead.
+
+    The rows are stored first, so that what is checked is what is appended, and is worked out once.
+    """
     spark = df.sparkSession
     existing = spark.table(f"{database}.{name}")
-    rows = df.select(*existing.columns)
+    rows = materialize(df.select(*existing.columns), "append")
     keys = {
         "git_commit_file": schemas.KEYS["commit_files"],
         "git_diff_result": schemas.KEYS["diff_results"],

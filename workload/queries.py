@@ -13,7 +13,14 @@ from treeledger import schemas
 from treeledger.functions import content as content_functions
 from treeledger.functions import paths
 from treeledger.operators import analysis, history, lineage, lines, stats, trees
-from treeledger.operators.analyzers import JAVA_CLASS_PATTERN, AnalyzerRule, RegexMatchCountAnalyzer, bind_analyzers
+from treeledger.operators.analyzers import (
+    JAVA_CLASS_PATTERN,
+    Analyzer,
+    AnalyzerRule,
+    RegexMatchCountAnalyzer,
+    bind_analyzers,
+    register_analyzer,
+)
 from treeledger.plans import jobs
 from treeledger.scratch import fresh_dir
 from treeledger.sinks import files as sinks
@@ -406,6 +413,26 @@ def many_analyzers(spark, sf):
     return rows.groupBy("commit_hash", "analyzer_type").agg(*sums)
 
 
+class CapitalCountAnalyzer(Analyzer):
+    """Number of capital letters A to Z, as a user's own analyzer in plain Python."""
+
+    def analyze(self, text):
+        return sum("A" <= c <= "Z" for c in text), None
+
+
+@case(
+    "SELECT commit_hash, stack AS tech_stack, count(*) AS files, "
+    "CAST(sum(length(regexp_replace(content, '[^A-Z]', '', 'g'))) AS BIGINT) AS capitals FROM s WHERE stack IS NOT NULL GROUP BY ALL",
+    (FILES, SNAPSHOT),
+)
+def registered_analyzer(spark, sf):
+    register_analyzer("CapitalCountAnalyzer", CapitalCountAnalyzer)
+    files = snapshot(spark, sf)
+    bound = bind_analyzers([AnalyzerRule("Capitals", "CapitalCountAnalyzer", ("All",))])[0]
+    rows = analysis.analyze(files, blobs(spark, sf), bound).join(files, ["commit_hash", "path"])
+    return rows.groupBy("commit_hash", "tech_stack").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("capitals"))
+
+
 PATTERNS = [r"\bclass\s+(\w+)", r"[a-z]{12,}", r"([0-9]+)[.:]([0-9]+)"]
 
 
@@ -995,6 +1022,71 @@ def unique_check(spark, sf):
     return sinks.duplicate_keys(lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@case(
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3 AND l_quantity > 25 "
+    "UNION SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL "
+    "HAVING count(*) > 1 OR l_linenumber = 1"
+)
+def clashes_with_stored(spark, sf):
+    """A batch whose first lines occur twice, against a table that holds the lines of large quantity."""
+    lineitem = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    batch = lineitem.where("l_linenumber <= 3").unionAll(lineitem.where("l_linenumber = 1"))
+    stored = lineitem.where("l_quantity > 25")
+    return sinks.key_clashes(batch, ["l_orderkey", "l_linenumber"], stored)
+
+
+@case("SELECT hash, branch, author_name FROM commits", (COMMITS,))
+def csv_append(spark, sf):
+    """One CSV in two appends; one with other columns is refused."""
+    path = f"{fresh_dir(spark, 'append')}/lake/runs/all/data/commits.csv"
+    commits = commit_graph(spark, sf, "commits")
+    first = F.col("branch").isin("view", "click")
+    sinks.write_csv(commits.where(first), path, append=True)
+    sinks.write_csv(commits.where(~first), path, append=True)
+    try:
+        sinks.write_csv(commits.select("hash", "branch"), path, append=True)
+    except ValueError:
+        base = path.removesuffix("/lake/runs/all/data/commits.csv")
+        return run_files.read_run_csv(spark, base, "commits").select("hash", "branch", "author_name")
+    raise AssertionError("an append with other columns went through")
+
+
+@case(
+    "SELECT path AS target_path, 'M' AS diff_change_type, b.hash AS base_file_hash, t.hash AS target_file_hash "
+    "FROM (SELECT * FROM f WHERE commit_hash = 'c0') b JOIN (SELECT * FROM f WHERE commit_hash = 'c1') t USING (path) "
+    "WHERE b.hash <> t.hash OR path LIKE '%.sh'",
+    F_PARTS,
+)
+def tree_diff_modes(spark, sf):
+    """Scripts become executable between the commits: a change of mode alone is a modification."""
+    executable = (F.col("commit_hash") == "c1") & F.col("path").endswith(".sh")
+    mode = F.when(executable, "100755").otherwise(F.col("mode"))
+    rows = trees.tree_diff(tree_entries(spark, sf).withColumn("mode", mode), ("c0", "c1"))
+    kept = rows.where("diff_change_type NOT IN ('A', 'D')")
+    return kept.select("target_path", "diff_change_type", "base_file_hash", "target_file_hash")
+
+
+class MessageLengthStatistic(stats.Statistic):
+    """A user's own statistic: characters of the commit messages of every run."""
+
+    name = "message_length"
+    needs = ("commits",)
+
+    def single(self, tables):
+        return tables.commits.groupBy("repo", "run").agg(F.sum(F.char_length("message")).alias("value"))
+
+
+@case("SELECT 'lake' AS repo, branch AS run, CAST(sum(length(message)) AS BIGINT) AS value FROM commits GROUP BY ALL", (COMMITS,))
+def registered_statistic(spark, sf):
+    before = stats.registered_statistics()
+    stats.register_statistic(MessageLengthStatistic())
+    commits = commit_graph(spark, sf, "commits").withColumns({"repo": F.lit("lake"), "run": F.col("branch")})
+    runs = history.with_labels(commits.select("repo", "run", F.lit("snapshot").alias("run_type"), F.lit("").alias("ended_at")).distinct())
+    tables = stats.RunTables(runs=runs, commits=commits, commit_files=None, diff_results=None, analysis_results=None)
+    new = {name: s for name, s in stats.registered_statistics().items() if name not in before or name == "message_length"}
+    return jobs.statistics_job(tables, statistics=new)["message_length"]
+
+
 @case(
     "SELECT repo, run, table_name, any_value(n) AS row_count, CASE WHEN any_value(n) IS NULL THEN 'missing' ELSE 'loaded' END AS status "
     "FROM (SELECT repo, run, unnest(['commits', 'commit_files', 'diff_results', 'analysis_results']) AS table_name "
