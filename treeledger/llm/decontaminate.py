@@ -18,7 +18,7 @@ LEAST_MATCH = 5
 # Share of an item's words that tiles must cover for a document to be contaminated by it.
 LEAST_COVERAGE = 0.5
 # Distinct word sequences of the benchmark up to which they are sent to every task; beyond, they are joined.
-MOST_SENT = 4_000_000
+MOST_SENT = 300_000
 NO_ID = -(2**63)
 _WORDS = re.compile(r"[^\W_]+")
 

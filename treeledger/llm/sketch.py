@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 
 from .common import row_batches
 
-# A sketch is merged in blocks of this many cells (a power of two), each by one task.
-BLOCK_BITS = 28
 # Items that a task counts before it sends its part of the sketch.
 HELD_ITEMS = 2_000_000
 
@@ -38,9 +36,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel())
 
 
-def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes) -> DataFrame:
+def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes, block_bits: int) -> DataFrame:
     """Cells of the merged sketch that count at least two items, for every chunk those it touches.
 
+    The sketch has 2 ** ``bits`` cells and is merged in blocks of 2 ** ``block_bits``, each by one task.
+
     ``docs`` has ``chunk`` and ``text``; ``hashes`` gives the items of a list of texts: the number of the text, and a 64-bit hash.
 
     Tasks send their sketch as the cells they touch, by block and chunk, together with the cells they count twice or more; a
@@ -48,8 +48,8 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes) -> D
     entry per task. A task sends at most one row per item. Returns (``chunk``, ``block``, ``cells``).
     """
     shift = np.uint64(64 - bits)
-    block_bits = np.uint64(BLOCK_BITS)
-    mask = np.uint64((1 << BLOCK_BITS) - 1)
+    upper = np.uint64(block_bits)
+    mask = np.uint64((1 << block_bits) - 1)
 
     def part(keys: list[np.ndarray]) -> pd.DataFrame:
         merged = np.concatenate(keys)
@@ -58,7 +58,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes) -> D
         begins, ends = _cut(merged)
         cells, twice = merged[begins], ends - begins > 1
         del merged
-        target = cells >> block_bits
+        target = cells >> upper
         begins, ends = _cut(target)
         rows = []
         for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
@@ -79,8 +79,8 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes) -> D
             for begin, end in row_batches(texts):
                 owner, values = hashes(texts[begin:end])
                 cell = values >> shift
-                target = (cell >> block_bits) * np.uint64(chunks) + chunk[begin:end][owner]
-                held.append((target << block_bits) | (cell & mask))
+                target = (cell >> upper) * np.uint64(chunks) + chunk[begin:end][owner]
+                held.append((target << upper) | (cell & mask))
                 size += len(values)
                 if size > HELD_ITEMS:
                     yield part(held)
@@ -110,10 +110,10 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes) -> D
 class RepeatedCells:
     """The repeated cells that a chunk got as its answers; tells for hashes whether their cell is one of them."""
 
-    def __init__(self, answers: pd.DataFrame, bits: int):
+    def __init__(self, answers: pd.DataFrame, bits: int, block_bits: int):
         given = answers[answers["cells"].notna()]
         cells = [
-            (np.uint64(block) << np.uint64(BLOCK_BITS)) | _unpacked(data)
+            (np.uint64(block) << np.uint64(block_bits)) | _unpacked(data)
             for block, data in zip(given["block"], given["cells"], strict=True)
         ]
         self.cells = np.unique(np.concatenate(cells)) if cells else np.empty(0, np.uint64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_batches, sliding_hash, stage, word_hashes
-from .sketch import BLOCK_BITS, RepeatedCells, repeated_cells
+from .sketch import RepeatedCells, repeated_cells
 
 WINDOW = 20
 # Text of one chunk of documents, in bytes. The chunks are what answers about windows are sent back to.
@@ -18,6 +18,8 @@ CHUNK_BYTES = 8_000_000
 # Cells of the sketch per byte of text, about 60 per window: a window that occurs once is taken for a repeated one in less
 # than 2 % of the cases. One wide row does better here than several narrow ones, as tasks send only the cells they touch.
 CELLS_PER_BYTE = 10
+# Cells of the sketch that one task merges (a power of two).
+BLOCK_BITS = 28
 # Stands for a null id inside the operator, and so comes before every other id.
 NO_ID = -(2**63)
 
@@ -38,7 +40,7 @@ def word_windows(texts: list[str], width: int) -> tuple[list[list[bytes]], np.nd
 
 def _candidates(texts: list[str], answers: pd.DataFrame, bits: int, width: int):
     """Batches of texts with their windows whose cell is repeated: first text, words, and of each window its text, start, hash."""
-    repeated = RepeatedCells(answers, bits)
+    repeated = RepeatedCells(answers, bits, BLOCK_BITS)
     for begin, end in row_batches(texts):
         words, owner, start, high, low = word_windows(texts[begin:end], width)
         keep = repeated.hold(high)
@@ -71,7 +73,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         _, owner, _, high, _ = word_windows(texts, width)
         return owner, high
 
-    answers = stage(repeated_cells(rows, chunks, bits, hashes), "repeated-cells")
+    answers = stage(repeated_cells(rows, chunks, bits, hashes, BLOCK_BITS), "repeated-cells")
 
     def send(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The first window of every hash among the chunk's candidates."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, row_batches, stage
-from .sketch import BLOCK_BITS, RepeatedCells, repeated_cells
+from .sketch import RepeatedCells, repeated_cells
 
 WINDOW = 100
 GRAM = 32
@@ -26,6 +26,8 @@ CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 3_000_000
 # Cells of the sketch per byte of text; about one byte in 35 is the place of a representative.
 CELLS_PER_BYTE = 2
+# Cells of the sketch that one task merges (a power of two).
+BLOCK_BITS = 25
 # Stands for a null id inside the operator, and so comes before every other id.
 NO_ID = -(2**63)
 
@@ -114,17 +116,16 @@ def triple(names: np.ndarray, step: int) -> np.ndarray:
 def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of the rising window starts have an equal window at an earlier start; all windows lie inside ``data``.
 
-    Suffixes are sampled by the difference cover {1, 2} modulo 3. Sampled places are named by the rank of their triples of bytes,
-    then of their triples of names, and so on, until a name stands for the order of 81 bytes; two names and the bytes that
-    are missing then order suffixes by exactly as many bytes as are asked for. The remaining suffixes are merged through the sampled ones after
-    them: with places 1 modulo 3 by a byte and the suffix after it, with places 2 by two bytes and the suffix after those.
-    Adjacent suffixes with equal prefixes are windows that repeat.
+    Suffixes are sampled by the difference cover {1, 2} modulo 3. Sampled places are named by the rank of two triples of bytes,
+    then of their triples of names, and so on, until a name stands for the order of 54 bytes; two names, and the bytes that
+    are missing, then order suffixes by exactly as many bytes as are asked for. The remaining suffixes are merged through the
+    sampled ones after them: with places 1 modulo 3 by a byte and the suffix after it, with places 2 by two bytes and the
+    suffix after those. Adjacent suffixes with equal prefixes are windows that repeat.
     """
     assert window == 100, "the names below stand for 98, 99 and 100 bytes"
     size = len(data)
-    text = np.concatenate([data.astype(np.int64), np.zeros(window + 3, np.int64)])
+    text = np.concatenate([data.astype(np.int64), np.zeros(window + 6, np.int64)])
     # Sampled places of one remainder follow each other, so a step of three bytes is a step to the next sampled place.
-    names = {}
     parts = [np.arange(r, size, 3) for r in (1, 2)]
     at = np.concatenate(parts)
     cut = len(parts[0])
@@ -133,35 +134,39 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int = WINDOW)
         gap = np.zeros(2 * step, np.int64)  # keeps the second remainder out of the first one's triples
         return np.delete(triple(np.concatenate([value[:cut], gap, value[cut:]]), step), np.arange(cut, cut + 2 * step))
 
-    value = names_of((text[at] << 16) | (text[at + 1] << 8) | text[at + 2])
-    for step in (1, 3, 9):  # names of 9, 27 and 81 bytes
+    packed = text[at]
+    for k in range(1, 6):
+        packed = (packed << 8) | text[at + k]
+    value = names_of(packed)
+    for step in (2, 6):  # names of 18 and 54 bytes
         value = split_triple(value, step)
-    names = np.zeros(size + window + 3, np.int64)
+    names = np.zeros(size + window + 6, np.int64)
     names[at] = value
     bits = max(1, int(value.max()).bit_length()) if len(value) else 1
 
-    def of_99(places: np.ndarray) -> np.ndarray:
-        return (names[places] << bits) | names[places + 18]
-
-    def of_98(places: np.ndarray) -> np.ndarray:
-        return (names[places] << bits) | names[places + 15]
-
-    def later(places: np.ndarray, *keys: np.ndarray) -> None:
-        """Mark places whose keys equal those of an earlier one: neighbours once sorted by the keys, in place order."""
-        order = np.lexsort(keys[::-1])
-        same = np.ones(max(0, len(order) - 1), bool)
-        for key in keys:
-            same &= key[order[1:]] == key[order[:-1]]
-        marked[places[order[1:][same]]] = True
+    def ranks(places: np.ndarray, step: int) -> np.ndarray:
+        """Order of the suffixes by 54 + ``step`` bytes."""
+        return names_of((names[places] << bits) | names[places + step])
 
     marked = np.zeros(size, bool)
-    sampled, remainder = starts[starts % 3 > 0], starts % 3
-    later(sampled, of_99(sampled), text[sampled + 99])
-    merged = starts[remainder != 2]
-    later(merged, of_99(merged + 1), text[merged])
-    merged = starts[remainder != 1]
-    extra = (text[merged] << 24) | (text[merged + 1] << 16) | (text[merged + 98] << 8) | text[merged + 99]
-    later(merged, of_98(merged + 2), extra)
+
+    def later(places: np.ndarray, keys: np.ndarray) -> None:
+        """Mark places whose key equals that of an earlier one: neighbours once sorted."""
+        order = np.argsort(keys)
+        begins = np.nonzero(np.append(True, np.diff(keys[order]) != 0))[0]
+        first = np.repeat(np.minimum.reduceat(places[order], begins), np.diff(np.append(begins, len(order))))
+        marked[places[order][places[order] != first]] = True
+
+    sampled, with_first, with_second = starts[starts % 3 > 0], starts[starts % 3 != 2], starts[starts % 3 != 1]
+    if len(sampled):
+        later(sampled, (ranks(sampled, 45) << 8) | text[sampled + 99])
+    if len(with_first):
+        later(with_first, (ranks(with_first + 1, 45) << 8) | text[with_first])
+    if len(with_second):
+        key = ranks(with_second + 2, 42)
+        for k in (0, 1, 98, 99):
+            key = (key << 8) | text[with_second + k]
+        later(with_second, key)
     return marked[starts]
 
 
@@ -208,12 +213,12 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     chunk_of = F.pmod(F.xxhash64("_id"), F.lit(chunks))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(chunk_of.alias("chunk"), "_id", "text")
-    answers = stage(repeated_cells(rows, chunks, bits, chosen_grams), "repeated-grams")
+    answers = stage(repeated_cells(rows, chunks, bits, chosen_grams, BLOCK_BITS), "repeated-grams")
 
     def send(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_id", kind="stable")
         texts, ids = group["text"].tolist(), group["_id"].to_numpy()
-        repeated = RepeatedCells(told, bits)
+        repeated = RepeatedCells(told, bits, BLOCK_BITS)
         sent: set[bytes] = set()
         out = []
         for begin, end in row_batches(texts):
@@ -237,7 +242,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     def remove(key: tuple, group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         texts, ids = group["text"].tolist(), group["_id"].tolist()
-        repeated = RepeatedCells(told, bits)
+        repeated = RepeatedCells(told, bits, BLOCK_BITS)
         kept = told[told["starts"].notna()]
         runs = {i: (s, c) for i, s, c in zip(kept["_id"], kept["starts"], kept["counts"], strict=True)}
         out = []
