@@ -92,7 +92,7 @@ def test_every_repeated_string_shares_a_chosen_gram():
     texts = [r[1] or "" for r in rows]
     owner, grams = suffix_dedup.chosen_grams(texts)
     counted = dict(zip(*np.unique(grams, return_counts=True)))
-    data, begins, ends, of, least = suffix_dedup.representatives(texts)
+    data, begins, ends, of, least, _ = suffix_dedup.representatives(texts)
     pieces = {}
     for k in np.nonzero(of >= 0)[0].tolist():
         pieces.setdefault(data[k : k + 100].tobytes(), []).append(least[k])

@@ -53,49 +53,58 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - size : width - size + len(values) - width + 1])
 
 
-def representatives(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as one array of bytes, where each begins and ends, and for every window its text (-1: across texts) and representative."""
+def representatives(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Texts as one array of bytes, where each begins and ends, for every window its text (-1: across texts) and representative,
+    and the hash of every gram."""
     coded = [text.encode() for text in texts]
     sizes = np.array([len(c) for c in coded], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(coded), np.uint8)
     if len(data) < WINDOW:
-        return data, ends - sizes, ends, np.empty(0, np.int64), np.empty(0, np.uint64)
-    least = sliding(gram_hashes(data), WINDOW - GRAM + 1, np.minimum)
+        return data, ends - sizes, ends, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    grams = gram_hashes(data)
+    least = sliding(grams, WINDOW - GRAM + 1, np.minimum)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
     owner = np.where(np.arange(len(least)) + WINDOW <= ends[owner], owner, -1)
-    return data, ends - sizes, ends, owner, least
+    return data, ends - sizes, ends, owner, least, grams
 
 
 def chosen_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Every place that represents a window: its text and its hash. A place counts once, whatever the number of its windows."""
-    data, _, _, owner, least = representatives(texts)
+    _, begins, _, owner, least, grams = representatives(texts)
     if not len(least):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = gram_hashes(data)
     span = WINDOW - GRAM
     # A gram represents a window when it equals the largest minimum of the windows around it; only windows inside a text count.
     inside = np.where(owner >= 0, least, np.uint64(0))
     padded = np.concatenate([np.zeros(span, np.uint64), inside, np.zeros(span, np.uint64)])
     largest = sliding(padded, span + 1, np.maximum)
     places = np.nonzero((grams == largest) & (largest > 0))[0]
-    texts_of = np.searchsorted(np.cumsum([len(t.encode()) for t in texts]), places, "right")
-    return texts_of, grams[places]
+    # Empty texts begin where the next one does; the last that begins there holds the place.
+    return np.searchsorted(begins, places, "right") - 1, grams[places]
 
 
 def stretches(texts: list[str], repeated: RepeatedCells):
-    """Runs of windows with one representative that may be repeated: bytes, text begins and ends, and text, first window, number
-    of windows and representative of each run."""
-    data, begins, ends, owner, least = representatives(texts)
+    """Runs of windows with one representative that may be repeated: bytes, text begins and ends, and of each run its text, first
+    window, number of windows, representative, and whether that may occur in the run more than once."""
+    data, begins, ends, owner, least, grams = representatives(texts)
     if not len(least):
         nothing = np.empty(0, np.int64)
-        return data, begins, ends, nothing, nothing, nothing, np.empty(0, np.uint64)
+        return data, begins, ends, nothing, nothing, nothing, np.empty(0, np.uint64), nothing
     change = np.append(True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))
     first = np.nonzero(change)[0]
     count = np.diff(np.append(first, len(least)))
     keep = (owner[first] >= 0) & repeated.hold(least[first])
     first, count = first[keep], count[keep]
-    return data, begins, ends, owner[first], first, count, least[first]
+    # A place represents up to span + 1 windows, so a longer run has several.
+    span = WINDOW - GRAM
+    near = np.arange(2 * span + 1)
+    twice = count > span + 1
+    for a in range(0, len(first), 4096):
+        some = slice(a, a + 4096)
+        same = grams[np.minimum(first[some, None] + near, len(grams) - 1)] == least[first[some], None]
+        twice[some] |= (same & (near < count[some, None] + span)).sum(1) > 1
+    return data, begins, ends, owner[first], first, count, least[first], twice
 
 
 def names_of(keys: np.ndarray) -> np.ndarray:
@@ -171,30 +180,35 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int = WINDOW)
 
 
 def sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
-    """The windows of a bucket's stretches that no earlier window equals: document, first window and number of windows of each run."""
+    """The windows of a bucket's stretches that no earlier window equals: document, first window and number of windows of each run.
+
+    Equal stretches are sorted once. A stretch that is the only one of its representative, and has that once, holds no window
+    that repeats, and is not sorted at all.
+    """
     group = group.sort_values(["_id", "start"], kind="stable")
     different: dict[bytes, int] = {}
     for number, text in enumerate(group["text"]):
         different.setdefault(bytes(text), number)
     rows = np.fromiter(different.values(), np.int64, len(different))
-    ids, begins = group["_id"].to_numpy()[rows], group["start"].to_numpy()[rows]
+    ids, begins, grams, twice = (group[c].to_numpy()[rows] for c in ("_id", "start", "gram", "twice"))
     sizes = np.array([len(text) for text in different], np.int64)
-    data = np.frombuffer(b"".join(different), np.uint8)
+    _, which, each = np.unique(grams, return_inverse=True, return_counts=True)
+    doubtful = (each[which] > 1) | twice.astype(bool)
+    plain = ~doubtful
+    alone = pd.DataFrame({"_id": ids[plain], "start": begins[plain], "count": sizes[plain] - (WINDOW - 1)})
+    if plain.all():
+        return alone
+    data = np.frombuffer(b"".join(text for text, asked in zip(different, doubtful.tolist(), strict=True) if asked), np.uint8)
+    ids, begins, sizes = ids[doubtful], begins[doubtful], sizes[doubtful]
     counts = sizes - (WINDOW - 1)
     shift = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(rows)), counts)
+    number = np.repeat(np.arange(len(sizes)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     first = ~repeated_windows(data, shift[number] + inside)
     number, inside = number[first], inside[first]
-    run = np.append(True, (number[1:] != number[:-1]) | (inside[1:] != inside[:-1] + 1)) if len(number) else np.empty(0, bool)
-    begin = np.nonzero(run)[0]
-    return pd.DataFrame(
-        {
-            "_id": ids[number[begin]],
-            "start": begins[number[begin]] + inside[begin],
-            "count": np.diff(np.append(begin, len(number))) if len(begin) else np.empty(0, np.int64),
-        }
-    )
+    begin = np.nonzero(np.append(True, (number[1:] != number[:-1]) | (inside[1:] != inside[:-1] + 1)))[0]
+    runs = {"_id": ids[number[begin]], "start": begins[number[begin]] + inside[begin], "count": np.diff(np.append(begin, len(number)))}
+    return pd.concat([alone, pd.DataFrame(runs)], ignore_index=True)
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -222,20 +236,24 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         sent: set[bytes] = set()
         out = []
         for begin, end in row_batches(texts):
-            data, begins, _, owner, first, count, hashes = stretches(texts[begin:end], repeated)
+            data, begins, _, owner, first, count, hashes, twice = stretches(texts[begin:end], repeated)
             view = data.tobytes()
-            bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+            grams = hashes.view(np.int64)
             for k, (text, a, n) in enumerate(zip(owner.tolist(), first.tolist(), count.tolist(), strict=True)):
                 piece = view[a : a + n + WINDOW - 1]
                 mark = hashlib.blake2b(piece, digest_size=16).digest()
                 if mark not in sent:
                     sent.add(mark)
-                    out.append((bucket[k], ids[begin + text], a - begins[text], piece))
-        return pd.DataFrame(out, columns=["bucket", "_id", "start", "text"]).astype({"bucket": "int64", "_id": "int64", "start": "int64"})
+                    out.append((grams[k], ids[begin + text], a - begins[text], piece, bool(twice[k])))
+        made = pd.DataFrame(out, columns=["gram", "_id", "start", "text", "twice"])
+        return made.astype({"gram": "int64", "_id": "int64", "start": "int64", "twice": "bool"})
 
     by_chunk = rows.groupBy("chunk")
-    sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(send, "bucket long, _id long, start long, text binary")
-    firsts = sent.groupBy("bucket").applyInPandas(sort_bucket, "_id long, start long, count long")
+    sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(
+        send, "gram long, _id long, start long, text binary, twice boolean"
+    )
+    bucket_of = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
+    firsts = sent.groupBy(bucket_of).applyInPandas(sort_bucket, "_id long, start long, count long")
     spared = firsts.groupBy("_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     spared = spared.select(chunk_of.alias("chunk"), "_id", F.col("runs.start").alias("starts"), F.col("runs.count").alias("counts"))
     spared = stage(spared, "first-windows")
@@ -247,7 +265,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         runs = {i: (s, c) for i, s, c in zip(kept["_id"], kept["starts"], kept["counts"], strict=True)}
         out = []
         for begin, end in row_batches(texts):
-            data, begins, ends, owner, first, count, _ = stretches(texts[begin:end], repeated)
+            data, begins, ends, owner, first, count, _, _ = stretches(texts[begin:end], repeated)
             # Windows that start at a byte: +1 at the start of a run of windows, -1 after it; runs of first windows are taken out.
             steps = np.zeros(len(data) + 1, np.int64)
             steps[first] += 1
