@@ -20,9 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(language_id.training_rows(docs.where(~language_id.held_out())))
     if not model.languages:
         return docs
-    found = language_id.predict(docs.withColumn("_text", F.col("text")), model)
-    kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return kept.withColumns({"lang": F.col("lang_pred"), "text": F.col("_text")}).select(docs.columns)
+    found = language_id.predict(docs, model, keep_text=True)
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

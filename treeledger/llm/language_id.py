@@ -205,9 +205,11 @@ def training_rows(docs: DataFrame, limit: int = TRAINING_DOCS) -> DataFrame:
     return known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> DataFrame:
     """Label every document: its columns with ``lang_pred``, ``score``, ``n_words`` and ``spans`` instead of ``text``.
 
+    With ``keep_text`` the text stays as well, a null one as an empty one.
+
     ``lang_pred`` is the language that holds most letters, ties to the first by name, and ``score`` its share of the letters; spans
     are runs of words of one language (language, first word, number of words). A text that is null or has no letter is ``und``
     with score 0 and no span, and so is every text when the model knows no language. Rows are independent of each other: repeated
@@ -235,14 +237,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     runs = np.diff(np.append(turns, len(path)))
                     spans = list(zip(names[path[turns]], turns.tolist(), runs.tolist(), strict=True))
                     rows.append((names[top], float(share[top] / share.sum()), len(path), spans))
-                made = batch.iloc[begin:end].drop(columns="text")
+                made = batch.iloc[begin:end].drop(columns=[] if keep_text else ["text"])
                 for k, name in enumerate(("lang_pred", "score", "n_words", "spans")):
                     made[name] = [row[k] for row in rows]
                 yield made
 
     added = "lang_pred string, score double, n_words int, spans array<struct<lang: string, first_word: int, n_words: int>>"
     rows = docs.drop("lang_pred", "score", "n_words", "spans").withColumn("text", F.coalesce("text", F.lit("")))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text")
     return rows.mapInPandas(label, f"{kept}, {added}" if kept else added)
 
 
