@@ -22,9 +22,13 @@ SIMILARITY_PERCENT = 75
 # the depths that occur, so that 16 trees miss one in 65,000.
 TOKENS = 64
 TREES = 16
-# Nodes of up to this many documents are compared exhaustively, by minwise tokens, and about so many documents by one task.
-SMALL_NODE = 1024
+# A node is compared exhaustively, by minwise tokens, when it has up to this many documents and pairs to compare. Documents of
+# its largest component are compared with the others only, so a group of copies with a few strangers is small.
+SMALL_NODE = 32_768
+SMALL_WORK = 4_000_000
+# Documents and pairs that one task compares, about.
 DOCS_PER_TASK = 20_000
+WORK_PER_TASK = 50_000_000
 # A node branches by one token, and one node in this many by a second one: 4/3 tokens on average, the inverse of the
 # threshold, so that the expected number of nodes that a similar pair shares does not fall with the depth.
 SECOND_TOKEN_EVERY = 3
@@ -150,22 +154,27 @@ def _across(open_nodes: DataFrame, known: DataFrame) -> DataFrame:
         ids, parts, sizes = (group[c].to_numpy() for c in ("id", "part", "n_shingles"))
         nodes = group["node"].to_numpy()
         cuts = np.append(np.nonzero(np.append(True, nodes[1:] != nodes[:-1]))[0], len(nodes)).tolist()
-        found = []
+        found = [np.empty((0, 2), np.int64)]
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            own = np.ascontiguousarray(tokens[begin:end].T)
-            agreement = np.zeros((end - begin, end - begin), np.uint8)
-            for row in own:
-                agreement += row[:, None] == row[None, :]
-            small, large = (pick(sizes[begin:end, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
-            near = (agreement >= LEAST_AGREEMENT) & (100 * small >= SIMILARITY_PERCENT * large)
-            near &= parts[begin:end, None] != parts[None, begin:end]
-            first, second = np.nonzero(np.triu(near, 1))
-            found.append(np.stack([ids[begin + first], ids[begin + second]], 1))
+            _, part, each = np.unique(parts[begin:end], return_inverse=True, return_counts=True)
+            others = begin + np.nonzero(part != each.argmax())[0]
+            every = np.ascontiguousarray(tokens[begin:end].T)
+            for k in range(0, len(others), 256):
+                some = others[k : k + 256]
+                agreement = np.zeros((len(some), end - begin), np.uint8)
+                for own, row in zip(tokens[some].T, every, strict=True):
+                    agreement += own[:, None] == row[None, :]
+                small, large = (pick(sizes[some, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
+                near = (agreement >= LEAST_AGREEMENT) & (100 * small >= SIMILARITY_PERCENT * large)
+                near &= parts[some, None] != parts[None, begin:end]
+                first, second = np.nonzero(near)
+                found.append(np.sort(np.stack([ids[some[first]], ids[begin + second]], 1), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    tasks = open_nodes.count() // DOCS_PER_TASK + 1
-    dealt = open_nodes.join(known, "id").withColumn("task", F.pmod("node", F.lit(tasks)))
+    sums = open_nodes.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.expr("work / size")).alias("work")).first()
+    tasks = sums["docs"] // DOCS_PER_TASK + int((sums["work"] or 0) // WORK_PER_TASK) + 1
+    dealt = open_nodes.select("node", "id", "part").join(known, "id").withColumn("task", F.pmod("node", F.lit(tasks)))
     return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
@@ -193,13 +202,16 @@ def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
         state = parted.select("node", "id", F.coalesce("root", "id").alias("part"))
         asked = []
         for level in range(1, LEVELS_PER_ROUND + 1):
-            facts = state.groupBy("node").agg(
-                F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("part").alias("least"), F.max("part").alias("most")
+            per_part = state.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+            facts = per_part.groupBy("node").agg(
+                F.sum("n").alias("size"), F.min("least").alias("pivot"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("parts")
             )
-            kept = state.join(facts.where("least <> most"), "node")
-            kept = materialize(kept.select("node", "id", "part", "size", "pivot"), "open-nodes")
-            small, large = kept.where(F.col("size") <= SMALL_NODE), kept.where(F.col("size") > SMALL_NODE)
-            asked.append(_across(small.select("node", "id", "part"), known))
+            work = (F.col("size") * (F.col("size") - F.col("largest"))).alias("work")
+            facts = facts.where("parts > 1").select("node", "size", "pivot", work)
+            kept = materialize(state.join(facts, "node").select("node", "id", "part", "size", "pivot", "work"), "open-nodes")
+            is_small = (F.col("size") <= SMALL_NODE) & (F.col("work") <= SMALL_WORK)
+            small, large = kept.where(is_small), kept.where(~is_small)
+            asked.append(_across(small, known))
             state = large
             if large.isEmpty():
                 break
