@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +36,8 @@ SECOND_TOKEN_EVERY = 3
 # Pairs that agree in fewer minwise tokens are not compared: a pair at the threshold agrees in 48 of 64 on average, and in
 # fewer than 30 about once in 10 million pairs.
 LEAST_AGREEMENT = 30
+# Rounds in which a document of a small node is compared on full sets only with the one that agrees with it in most tokens.
+BEST_ROUNDS = 2
 # Levels of a tree between two confirmations of links.
 LEVELS_PER_ROUND = 3
 NO_ID = -(2**63)
@@ -145,8 +148,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return judged.where(100 * F.col("common") >= SIMILARITY_PERCENT * F.col("either")).select("a", "b")
 
 
-def _across(open_nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """The promising pairs of different components in small nodes, every two documents of a node compared."""
+def _across(open_nodes: DataFrame, known: DataFrame, best_only: bool) -> DataFrame:
+    """The promising pairs of different components in small nodes, every two documents of a node compared.
+
+    With ``best_only`` a document is paired with the one in another component that agrees with it in most tokens.
+    """
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["node", "id"], kind="stable")
@@ -167,7 +173,12 @@ def _across(open_nodes: DataFrame, known: DataFrame) -> DataFrame:
                 small, large = (pick(sizes[some, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
                 near = (agreement >= LEAST_AGREEMENT) & (100 * small >= SIMILARITY_PERCENT * large)
                 near &= parts[some, None] != parts[None, begin:end]
-                first, second = np.nonzero(near)
+                if best_only:
+                    score = np.where(near, agreement, 0)
+                    first = np.nonzero(score.any(1))[0]
+                    second = score[first].argmax(1)
+                else:
+                    first, second = np.nonzero(near)
                 found.append(np.sort(np.stack([ids[some[first]], ids[begin + second]], 1), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -196,7 +207,8 @@ def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     links = stage(_confirmed(best, rows), "links")
 
     state = members.select("node", "id")
-    while True:
+    for number in itertools.count():
+        best_only = number < BEST_ROUNDS
         parts = components(links, "parts").select(F.col("node").alias("id"), F.col("root"))
         parted = state.select("node", "id").join(parts, "id", "left")
         state = parted.select("node", "id", F.coalesce("root", "id").alias("part"))
@@ -211,13 +223,15 @@ def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
             kept = materialize(state.join(facts, "node").select("node", "id", "part", "size", "pivot", "work"), "open-nodes")
             is_small = (F.col("size") <= SMALL_NODE) & (F.col("work") <= SMALL_WORK)
             small, large = kept.where(is_small), kept.where(~is_small)
-            asked.append(_across(small, known))
+            asked.append(_across(small, known, best_only))
             state = large
             if large.isEmpty():
                 break
             lead = large.where("id = pivot").select("node", F.col("part").alias("pivot_part")).distinct()
             led = large.join(lead, "node").where("part <> pivot_part AND id <> pivot")
             asked.append(_promising(led.select(F.col("pivot").alias("a"), F.col("id").alias("b")), known).select("a", "b"))
+            if best_only:
+                break
             state = _branched(large, known)
             if level == LEVELS_PER_ROUND:
                 state = materialize(state, "nodes")
@@ -225,7 +239,9 @@ def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
         pairs = stage(pairs, "pairs")
         if not pairs.isEmpty():
             links = stage(links.union(_confirmed(pairs, rows)).distinct(), "links")
-        if state.isEmpty():
+        if best_only:
+            state = members.select("node", "id")
+        elif state.isEmpty():
             return links
 
 
