@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has leave the text; a document of which nothing but white space is left goes."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, every_line=True)
     left = (F.col("n_deleted") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     return found.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

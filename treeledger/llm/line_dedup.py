@@ -16,6 +16,7 @@ from .common import stage
 # Lines of fewer characters neither make documents candidates nor count towards the size of a block.
 LEAST_LINE = 12
 # A line is rare when at most this many documents have it. The rarest shared line of a document counts as rare in any case.
+# Plays no part where every shared line makes a pair.
 RARE = 50
 # An aligned block is deleted when it has this many lines that count, or this many characters in such lines.
 BLOCK_LINES = 2
@@ -101,11 +102,12 @@ def common_blocks(left: list[int], right: list[int], sizes: list[int]) -> list[i
     return deleted
 
 
-def line_deletions(docs: DataFrame) -> DataFrame:
+def line_deletions(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """For every document that loses lines: its internal ``_id``, the sorted line numbers (``deleted``), and ``partners``.
 
     Every shared line points from the documents that have it to the first of them, so a line of any number of documents makes
-    one candidate pair per document. Pairs come from rare lines only, and from a document's rarest shared line.
+    one candidate pair per document. With ``every_line`` all shared lines make pairs; without it only rare lines and a
+    document's rarest shared line do, and a common passage stays where something rarer is shared as well.
     """
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")
 
@@ -122,8 +124,10 @@ def line_deletions(docs: DataFrame) -> DataFrame:
     held = stage(held, "line-keys")
     facts = held.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_id").alias("first")).where("df > 1")
     shared = stage(held.join(facts, "key").where("first < _id").select("_id", "first", "df"), "shared-lines")
-    rarest = shared.groupBy("_id").agg(F.min("df").alias("rarest"))
-    wanted = shared.join(rarest, "_id").where((F.col("df") <= RARE) | (F.col("df") == F.col("rarest")))
+    wanted = shared
+    if not every_line:
+        rarest = shared.groupBy("_id").agg(F.min("df").alias("rarest"))
+        wanted = shared.join(rarest, "_id").where((F.col("df") <= RARE) | (F.col("df") == F.col("rarest")))
     wanted = wanted.select("_id", "first").distinct()
     later = lines.select("_id", F.col("keys").alias("later_keys"), "sizes")
     earlier = lines.select(F.col("_id").alias("first"), F.col("keys").alias("earlier_keys"))
@@ -150,7 +154,7 @@ def without_lines(text: Column, deleted: Column) -> Column:
     return F.when(deleted.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """The documents without the blocks of lines that an earlier document has in the same order.
 
     Earlier is the smaller id. Keeps every column; ``text`` loses the deleted lines, ``n_lines`` (of the input), ``n_deleted`` and
@@ -158,11 +162,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     alignments are judged on the input. Lines are compared without white space around them; a null text stays null and has
     no lines, an empty one has one empty line. Ids are whole numbers and name documents: rows that repeat an id are taken for
     repetitions of one document and get the same result each; a null id counts as an id before all others, and shows as null
-    among partners. An empty table gives no row.
+    among partners. An empty table gives no row. ``every_line`` is that of ``line_deletions``.
     """
     rows = docs.drop("n_lines", "n_deleted", "partners", "_id", "deleted")
     rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    found = stage(line_deletions(docs), "line-deletions")
+    found = stage(line_deletions(docs, every_line), "line-deletions")
     # The texts are shuffled at any size: what is found grows with them, and is not for sending to every task.
     joined = rows.join(found.hint("merge"), "_id", "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))

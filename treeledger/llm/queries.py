@@ -38,7 +38,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "partners", kept)
+    return line_dedup.dedup_lines(docs, every_line=True).select("doc_id", "n_lines", "n_deleted", "partners", kept)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
