@@ -4,6 +4,7 @@ Suffixes are sorted where repetitions can be. Every window of ``WINDOW`` bytes i
 depends on its bytes alone: equal windows have equal representatives, so windows of a representative that occurs once in
 all documents (by a count-min sketch, which never counts too little) cannot repeat and are left out. The others go, as
 stretches of text, to the bucket of their representative; equal windows meet there, and every bucket sorts its suffixes.
+A representative with more stretches than one bucket should hold has none: its windows are grouped one by one.
 """
 
 from __future__ import annotations
@@ -211,6 +212,34 @@ def sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([alone, pd.DataFrame(runs)], ignore_index=True)
 
 
+def first_windows(sent: DataFrame) -> DataFrame:
+    """The windows of stretches that no earlier window equals, each by itself: ``_id``, ``start`` and ``count`` (1).
+
+    For representatives of any number of stretches: windows are grouped by a 128-bit hash and reduced to the first before they
+    meet, so neither many different windows nor many equal ones gather in one task.
+    """
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                some = batch.iloc[a : a + 1024]
+                counts = [len(text) - WINDOW + 1 for text in some["text"]]
+                marks = [
+                    hashlib.blake2b(text[k : k + WINDOW], digest_size=16).digest()
+                    for text, n in zip(map(bytes, some["text"]), counts, strict=True)
+                    for k in range(n)
+                ]
+                inside = [k for n in counts for k in range(n)]
+                starts = np.repeat(some["start"].to_numpy(), counts) + np.array(inside, np.int64)
+                halves = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                ids = np.repeat(some["_id"].to_numpy(), counts)
+                yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "_id": ids, "start": starts})
+
+    windows = sent.select("_id", "start", "text").mapInPandas(describe, "high long, low long, _id long, start long")
+    firsts = windows.groupBy("high", "low").agg(F.min(F.struct("_id", "start")).alias("at"))
+    return firsts.select("at._id", "at.start", F.lit(1).cast("long").alias("count"))
+
+
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """Remove from every text, as UTF-8, the bytes covered by a string of ``WINDOW`` bytes that also starts earlier.
 
@@ -252,8 +281,13 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(
         send, "gram long, _id long, start long, text binary, twice boolean"
     )
+    sent = stage(sent, "stretches")
+    # Representatives with more bytes of stretches than a bucket is meant for; there are at most as many as buckets of text sent.
+    hot = sent.groupBy("gram").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > BUCKET_BYTES).select("gram")
+    hot = F.broadcast(stage(hot, "hot-grams"))
     bucket_of = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
-    firsts = sent.groupBy(bucket_of).applyInPandas(sort_bucket, "_id long, start long, count long")
+    sorted_firsts = sent.join(hot, "gram", "left_anti").groupBy(bucket_of).applyInPandas(sort_bucket, "_id long, start long, count long")
+    firsts = sorted_firsts.union(first_windows(sent.join(hot, "gram", "left_semi")))
     spared = firsts.groupBy("_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     spared = spared.select(chunk_of.alias("chunk"), "_id", F.col("runs.start").alias("starts"), F.col("runs.count").alias("counts"))
     spared = stage(spared, "first-windows")
