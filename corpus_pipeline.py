@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences."""
-    return packing.pack(docs, vocabulary_path())
+    return packing.pack(docs, vocabulary_path(), added_tokens=True)
 
 
 STAGES = [

@@ -30,35 +30,41 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 @functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str):
-    """The encoder of a byte-level vocabulary file, one per worker. Names of special tokens in a text are ordinary text."""
+    """The encoder of a byte-level vocabulary file, one per worker, which knows the added tokens of the file."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        names: dict[str, int] = json.load(file)["model"]["vocab"]
+        stored = json.load(file)
+    names: dict[str, int] = stored["model"]["vocab"]
+    added = {token["content"]: token["id"] for token in stored["added_tokens"]}
+    if any(token[rule] for token in stored["added_tokens"] for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens with rules on the text around them")
     # The file names bytes by characters: printable ones by themselves, the others from U+0100 on. Ids are merge ranks.
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in name): number for name, number in names.items()}
-    return tiktoken.Encoding("byte_bpe", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Every document as pieces of at most ``capacity`` tokens: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
     A document is its token ids and a closing id. Only one longer than ``capacity`` is cut: into full pieces, after a first
-    piece that holds the remainder. A null text is an empty one and gives the closing id alone.
+    piece that holds the remainder. A null text is an empty one and gives the closing id alone. With ``added_tokens`` the names
+    of the vocabulary's added tokens in a text get their ids, as ``tokenizers`` gives them; without it they are ordinary text.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(vocabulary)
+        encode = functools.partial(tokenizer.encode, allowed_special="all") if added_tokens else tokenizer.encode_ordinary
         for batch in batches:
             texts = batch["text"].tolist()
             ids = batch["doc_id"]
             for begin, end in row_batches(texts):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k in range(begin, end):
-                    data = array("I", tokenizer.encode_ordinary(texts[k]) + [END_OF_TEXT]).tobytes()
+                    data = array("I", encode(texts[k]) + [END_OF_TEXT]).tobytes()
                     total = len(data) // 4
                     at, size = 0, total % capacity or min(total, capacity)
                     number = 0
@@ -210,15 +216,15 @@ def _best_fit(left: np.ndarray, capacity: int) -> Plan:
     return [(tuple(content), count) for groups in room for content, count in groups]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as the plan finds.
 
     Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``: offsets within a sequence leave no gap. Every row is a
     document of its own: repeated rows are packed repeatedly, a null id stays null, an empty table gives no row, other
     columns are not read. Only the histogram of lengths, at most ``capacity`` rows, comes to the driver, and only the plan,
-    whose size depends on ``capacity`` alone, goes back.
+    whose size depends on ``capacity`` alone, goes back. ``added_tokens`` is that of ``pieces``.
     """
-    cut = stage(pieces(docs, vocabulary, capacity), "pieces")
+    cut = stage(pieces(docs, vocabulary, capacity, added_tokens), "pieces")
     found = cut.groupBy("length").count().collect()
     histogram = np.zeros(capacity + 1, np.int64)
     for row in found:
