@@ -48,6 +48,9 @@ ASIDE_WORDS = frozenset(
 # A page header, unlike the header of an article, is not part of the main text.
 HEADER_WORDS = frozenset(["header", "topbar"])
 MAIN_TAGS = ("article", "main")
+# Elements that are text themselves: only a class that names an advertisement takes them out.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising promo promotion sponsor sponsored".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -61,11 +64,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
-    """A run of text between block boundaries: its text, how much of it is links, and the path of the element around it."""
+    """A run of text between block boundaries: its text, how much of it is links, and the path of the element around it, as
+    steps and as numbers of the page's elements."""
 
     text: str
     links: int
     path: tuple[str, ...]
+    numbers: tuple[int, ...] = ()
 
 
 @dataclass
@@ -73,6 +78,8 @@ class _Reader:
     blocks: list[Block] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
+    opened: int = 0
     outside: int = -1  # depth of the element that is not main text, if one is open
     linked: int = 0
     held: list[str] = field(default_factory=list)
@@ -82,8 +89,9 @@ class _Reader:
         if self.held:
             text = " ".join(html.unescape("".join(self.held)).split())
             if text:
-                path = tuple(s for s, t in zip(self.steps, self.tags, strict=True) if t in BLOCK)
-                self.blocks.append(Block(text, self.held_links, path))
+                around = [k for k, t in enumerate(self.tags) if t in BLOCK]
+                path = tuple(self.steps[k] for k in around)
+                self.blocks.append(Block(text, self.held_links, path, tuple(self.numbers[k] for k in around)))
             self.held = []
         self.held_links = 0
 
@@ -98,7 +106,7 @@ class _Reader:
         if any(tag in BLOCK for tag in self.tags[depth:]):
             self.flush()
         self.linked -= self.tags[depth:].count("a")
-        del self.tags[depth:], self.steps[depth:]
+        del self.tags[depth:], self.steps[depth:], self.numbers[depth:]
         if self.outside >= depth:
             self.outside = -1
 
@@ -119,13 +127,19 @@ class _Reader:
             self.text(" ")
         if tag in VOID:
             return
+        inside_main = any(t in self.tags for t in MAIN_TAGS)
         step, words = tag, set()
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             classes = sorted({re.sub(r"\d+", "", c.lower()) for c in found.get("class", "").split()} - {""})
             step = ".".join([tag, *classes])
-            words = set(_NAME.findall(_CAMEL.sub(" ", " ".join(found.values())).lower()))
-        inside_main = any(t in self.tags for t in MAIN_TAGS)
+            if tag in TEXT_TAGS:
+                words = ADVERT_WORDS.intersection(classes)
+            elif inside_main:
+                # Ids are made from headings here, and classes of several words may be about the subject.
+                words = {*classes, *found.get("role", "").lower().split()}
+            else:
+                words = set(_NAME.findall(_CAMEL.sub(" ", " ".join(found.values())).lower()))
         is_aside = tag in ASIDE_TAGS or (tag not in ("html", "body", *MAIN_TAGS) and bool(words & ASIDE_WORDS))
         is_aside |= not inside_main and (tag == "header" or (tag not in ("html", "body") and bool(words & HEADER_WORDS)))
         is_aside |= tag in MAIN_TAGS and bool(words & {"comment", "comments"})
@@ -135,6 +149,8 @@ class _Reader:
             self.outside = len(self.tags)
         self.tags.append(tag)
         self.steps.append(step)
+        self.numbers.append(self.opened)
+        self.opened += 1
         self.linked += tag == "a"
 
     def end(self, tag: str) -> None:
@@ -185,16 +201,42 @@ def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     return path if tag in ("div", "section", "td", "body", "center") or len(path) < 2 else path[:-1]
 
 
+def _repeated(blocks: list[Block]) -> set[int]:
+    """Numbers of the elements beside which their parent has another one of the same step that holds text."""
+    seen: dict[tuple[int, str], int] = {}
+    known: set[int] = set()
+    out: set[int] = set()
+    for block in blocks:
+        for depth in range(len(block.numbers) - 1, 0, -1):
+            number = block.numbers[depth]
+            if number in known:
+                break
+            known.add(number)
+            first = seen.setdefault((block.numbers[depth - 1], block.path[depth]), number)
+            if first != number:
+                out.update((first, number))
+    return out
+
+
 def score_containers(blocks: list[Block]) -> dict[str, float]:
-    """How much text, less links, every container of a page holds; a parent gets a share of what its children hold."""
+    """How much text, less links, every container of a page holds; a parent gets a share of what its children hold.
+
+    Containers of which a parent has several are pieces of the text, like paragraphs, and stand for the parent.
+    """
     scores: dict[str, float] = defaultdict(float)
+    repeated = _repeated(blocks)
     for block in blocks:
         value = len(block.text) - LINK_PRICE * block.links
         path = _container(block.path)
+        size = len(path)
+        while size > 1 and path[-1].split(".")[0] not in MAIN_TAGS and block.numbers[size - 1] in repeated:
+            size -= 1
         if path:
-            scores[">".join(path)] += value
-        if len(path) > 1:
-            scores[">".join(path[:-1])] += PARENT_SHARE * value
+            scores[">".join(path[:size])] += value
+        if len(path) > 1 and size < len(path):
+            scores[">".join(path[:size])] += PARENT_SHARE * value
+        elif len(block.path) > 1:
+            scores[">".join(block.path[:-1])] += PARENT_SHARE * value
     return {path: score for path, score in scores.items() if score > 0}
 
 
