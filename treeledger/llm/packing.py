@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ CAPACITY = 1024
 END_OF_TEXT = 2
 # Fixed value: the pattern by which byte-level vocabularies of this family cut a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# From this length on a run of white space is left to the slower encoder.
+LONG_SPACE = 50_000
+_SPACES = re.compile(r"\s{64,}")
 # Parts of the fitted repeat counts that are tried; the plan with the fewest sequences is taken.
 FITTED_SHARES = (1.0, 0.9, 0.6, 0.3, 0.0)
 # Rows that one task numbers at once.
@@ -47,6 +51,23 @@ def load_tokenizer(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@functools.lru_cache(maxsize=4)
+def load_reference(path: str, added_tokens: bool):
+    """The same encoder as its own library builds it: slower, with no limit on runs of white space."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not added_tokens
+    return tokenizer
+
+
+def encode_plain(tokenizer, path: str, text: str, added_tokens: bool = False) -> list[int]:
+    """The ids of a text. A text with a very long run of white space, which the fast encoder's pattern cannot take, goes to the slow one."""
+    if len(text) >= LONG_SPACE and any(run.end() - run.start() >= LONG_SPACE for run in _SPACES.finditer(text)):
+        return load_reference(path, added_tokens).encode(text, add_special_tokens=False).ids
+    return tokenizer.encode(text, allowed_special="all") if added_tokens else tokenizer.encode_ordinary(text)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Every document as pieces of at most ``capacity`` tokens: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
@@ -57,14 +78,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added_tok
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(vocabulary)
-        encode = functools.partial(tokenizer.encode, allowed_special="all") if added_tokens else tokenizer.encode_ordinary
         for batch in batches:
             texts = batch["text"].tolist()
             ids = batch["doc_id"]
             for begin, end in row_batches(texts):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k in range(begin, end):
-                    data = array("I", encode(texts[k]) + [END_OF_TEXT]).tobytes()
+                    data = array("I", encode_plain(tokenizer, vocabulary, texts[k], added_tokens) + [END_OF_TEXT]).tobytes()
                     total = len(data) // 4
                     at, size = 0, total % capacity or min(total, capacity)
                     number = 0

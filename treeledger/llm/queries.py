@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, language_id, line_dedup, near_dup, packing, substring_dedup, suffix_dedup, toxicity
+from . import (
+    ann,
+    decontaminate,
+    html_text,
+    language_id,
+    lexical,
+    line_dedup,
+    near_dup,
+    packing,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_alignment,
+    toxicity,
+)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +34,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_vocabulary_path() -> str:
+    """The public piece vocabulary of the alignment contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(language_id.training_rows(docs.where(~language_id.held_out())))
@@ -69,6 +90,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read_table(spark, sf_dir, "documents"), vocabulary_path(), piece_vocabulary_path())
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -82,6 +115,9 @@ QUERIES: dict[str, Query] = {
         op8_near_dedup,
         op9_nearest_neighbours,
         op10_substring_dedup,
+        op11_sharding,
+        op12_lexical_search,
+        op13_token_alignment,
     )
 }
 
