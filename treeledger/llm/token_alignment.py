@@ -190,11 +190,13 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         size = characters = 0
         bitmaps: list[np.ndarray] = []
 
-        def ended() -> pd.DataFrame:
+        def ended() -> Iterator[pd.DataFrame]:
             bits = merged(bitmaps)
+            if not len(bits):
+                return
             pairs, n_docs, n_links = counted(bits)
             columns = {"chunk": chunk, "a": pairs // len(bytes_b.tokens), "b": pairs % len(bytes_b.tokens)}
-            return pd.DataFrame(columns | {"n_docs": n_docs, "count": n_links, "planes": packed(bits)[1]})
+            yield pd.DataFrame(columns | {"n_docs": n_docs, "count": n_links, "planes": packed(bits)[1]})
 
         for batch in batches:
             texts = batch["text"].tolist()
@@ -203,7 +205,7 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     some = texts[begin : min(last, begin + (1 << CHUNK_BITS))]
                     added = sum(map(len, some))
                     if size and (size + len(some) > 1 << CHUNK_BITS or characters + added > CHUNK_CHARACTERS):
-                        yield ended()
+                        yield from ended()
                         chunk, size, characters, bitmaps = chunk + 1, 0, 0, []
                     found, aligned = encode(some, path_a, path_b)
                     left, right = aligned.links()
@@ -223,7 +225,7 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     yield pd.DataFrame(rows | out | {"groups_sha256": digests})
                     size, characters = size + len(some), characters + added
         if size:
-            yield ended()
+            yield from ended()
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for made in align(batches):
