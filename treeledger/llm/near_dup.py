@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,21 +22,29 @@ SIMILARITY_PERCENT = 75
 # the depths that occur, so that 16 trees miss one in 65,000.
 TOKENS = 64
 TREES = 16
-# A node is compared exhaustively, by minwise tokens, when it has up to this many documents and pairs to compare. Documents of
+# One-byte minwise tokens of the finer sketch, which only documents get that have a promising partner by the 64 tokens.
+FINE_TOKENS = 256
+# A node is compared exhaustively when it has up to this many documents, pairs to compare and shingles. Documents of
 # its largest component are compared with the others only, so a group of copies with a few strangers is small.
 SMALL_NODE = 32_768
-SMALL_WORK = 4_000_000
-# Documents and pairs that one task compares, about.
+SMALL_WORK = 16_000_000
+SMALL_SHINGLES = 16_000_000
+# Documents, pairs and shingles that one task compares, about.
 DOCS_PER_TASK = 20_000
 WORK_PER_TASK = 50_000_000
+SHINGLES_PER_TASK = 8_000_000
 # A node branches by one token, and one node in this many by a second one: 4/3 tokens on average, the inverse of the
 # threshold, so that the expected number of nodes that a similar pair shares does not fall with the depth.
 SECOND_TOKEN_EVERY = 3
 # Pairs that agree in fewer minwise tokens are not compared: a pair at the threshold agrees in 48 of 64 on average, and in
-# fewer than 30 about once in 10 million pairs.
+# fewer than 30 about once in 10 million pairs; in 192 of the 256 finer ones, and in fewer than 157 as seldom.
 LEAST_AGREEMENT = 30
-# Rounds in which a document of a small node is compared on full sets only with the one that agrees with it in most tokens.
-BEST_ROUNDS = 2
+LEAST_FINE_AGREEMENT = 157
+# Rounds in which a document is judged with the one that agrees with it in most tokens, by each of the two sketches.
+BEST_ROUNDS = 1
+FINE_ROUNDS = 2
+# Nodes of a document, the largest ones, with whose smallest id it is compared first.
+PIVOTS = 4
 # Levels of a tree between two confirmations of links.
 LEVELS_PER_ROUND = 3
 NO_ID = -(2**63)
@@ -148,101 +155,234 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return judged.where(100 * F.col("common") >= SIMILARITY_PERCENT * F.col("either")).select("a", "b")
 
 
-def _across(open_nodes: DataFrame, known: DataFrame, best_only: bool) -> DataFrame:
-    """The promising pairs of different components in small nodes, every two documents of a node compared.
+def _fine_sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The finer sketch of the documents whose ids are wanted: the low bytes of ``FINE_TOKENS`` minwise tokens."""
 
-    With ``best_only`` a document is paired with the one in another component that agrees with it in most tokens.
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for begin, end in row_batches(texts):
+                sets = shingle_sets(texts[begin:end])
+                full = [k for k, s in enumerate(sets) if len(s)]
+                if full:
+                    tokens = signatures([sets[k] for k in full], FINE_TOKENS).astype(np.uint8)
+                    ids = batch["id"].iloc[begin:end].iloc[full].array
+                    yield pd.DataFrame({"id": ids, "sketch": [row.tobytes() for row in tokens]})
+
+    found = rows.join(wanted, "id", "left_semi").where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return found.mapInPandas(build, "id long, sketch binary").dropDuplicates(["id"])
+
+
+def _nodes_in(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Where each node begins and ends in rows sorted by node."""
+    nodes = group["node"].to_numpy()
+    cuts = np.append(np.nonzero(np.append(True, nodes[1:] != nodes[:-1]))[0], len(nodes)).tolist()
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """Rows of small nodes with the ``task`` that compares the node."""
+    sums = nodes.agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.expr("work / size")).alias("work"), F.sum("n_shingles").alias("shingles")
+    ).first()
+    work, shingles = int((sums["work"] or 0) // WORK_PER_TASK), int((sums["shingles"] or 0) // SHINGLES_PER_TASK)
+    tasks = sums["docs"] // DOCS_PER_TASK + work + shingles + 1
+    return nodes.withColumn("task", F.pmod("node", F.lit(tasks)))
+
+
+def _best_partners(small: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """Of small nodes the documents with a promising partner in another component (``node``, ``id``), and the ``partner`` of most
+    ``agreement``. Every two documents of different components are compared by the sketches of ``known``, and a node gives at most
+    its documents. A document without such a partner has nothing more to look for in that node.
     """
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["node", "id"], kind="stable")
-        tokens = np.stack(group["tokens"])
-        ids, parts, sizes = (group[c].to_numpy() for c in ("id", "part", "n_shingles"))
-        nodes = group["node"].to_numpy()
-        cuts = np.append(np.nonzero(np.append(True, nodes[1:] != nodes[:-1]))[0], len(nodes)).tolist()
-        found = [np.empty((0, 2), np.int64)]
-        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        sketches = group["sketch"]
+        tokens = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(group), -1) if isinstance(sketches.iloc[0], bytes) else np.stack(sketches)
+        ids, parts, sizes, nodes = (group[c].to_numpy() for c in ("id", "part", "n_shingles", "node"))
+        score, partner = np.zeros(len(group), np.int32), np.zeros(len(group), np.int64)
+        for begin, end in _nodes_in(group):
             _, part, each = np.unique(parts[begin:end], return_inverse=True, return_counts=True)
             others = begin + np.nonzero(part != each.argmax())[0]
             every = np.ascontiguousarray(tokens[begin:end].T)
             for k in range(0, len(others), 256):
                 some = others[k : k + 256]
-                agreement = np.zeros((len(some), end - begin), np.uint8)
+                agreement = np.zeros((len(some), end - begin), np.uint16)
                 for own, row in zip(tokens[some].T, every, strict=True):
                     agreement += own[:, None] == row[None, :]
-                small, large = (pick(sizes[some, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
-                near = (agreement >= LEAST_AGREEMENT) & (100 * small >= SIMILARITY_PERCENT * large)
+                small_size, large_size = (pick(sizes[some, None], sizes[None, begin:end]) for pick in (np.minimum, np.maximum))
+                near = (agreement >= least) & (100 * small_size >= SIMILARITY_PERCENT * large_size)
                 near &= parts[some, None] != parts[None, begin:end]
-                if best_only:
-                    score = np.where(near, agreement, 0)
-                    first = np.nonzero(score.any(1))[0]
-                    second = score[first].argmax(1)
-                else:
-                    first, second = np.nonzero(near)
-                found.append(np.sort(np.stack([ids[some[first]], ids[begin + second]], 1), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    sums = open_nodes.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.expr("work / size")).alias("work")).first()
-    tasks = sums["docs"] // DOCS_PER_TASK + int((sums["work"] or 0) // WORK_PER_TASK) + 1
-    dealt = open_nodes.select("node", "id", "part").join(known, "id").withColumn("task", F.pmod("node", F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
+                agreement[~near] = 0
+                # Both documents of a pair: those of the largest component are rows nowhere.
+                for rows, top, first in (
+                    (some, agreement.max(1), begin + agreement.argmax(1)),
+                    (np.arange(begin, end), agreement.max(0), some[agreement.argmax(0)]),
+                ):
+                    better = top > score[rows]
+                    score[rows[better]], partner[rows[better]] = top[better], ids[first[better]]
+        found = score > 0
+        return pd.DataFrame({"node": nodes[found], "id": ids[found], "partner": partner[found], "agreement": score[found]})
+
+    dealt = _dealt(small).join(known, "id")
+    return dealt.groupBy("task").applyInPandas(compare, "node long, id long, partner long, agreement int")
+
+
+def _linked_inside(small: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between components of small nodes, found on full sets: a spanning forest of each node's links.
+
+    Intersections are counted through the lists of documents that hold a shingle, so every two documents of different
+    components are judged; a node gives fewer links than it has documents.
+    """
+
+    def judge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "id"], kind="stable")
+        ids, parts, shingles = group["id"].to_numpy(), group["part"].to_numpy(), group["shingles"].tolist()
+        found: list[tuple[int, int]] = []
+        for begin, end in _nodes_in(group):
+            sets_here = shingles[begin:end]
+            sizes = np.array([len(s) for s in sets_here])
+            flat, owner = np.concatenate(sets_here), np.repeat(np.arange(end - begin), sizes)
+            order = np.argsort(flat, kind="stable")
+            owner, (_, starts, place) = owner[order], np.unique(flat[order], return_index=True, return_inverse=True)
+            which = np.empty(len(flat), np.int64)
+            which[order] = place
+            counts = np.diff(np.append(starts, len(flat)))
+            begins = np.cumsum(sizes) - sizes
+            # Components inside the node, by the place of a member.
+            _, root, each = np.unique(parts[begin:end], return_inverse=True, return_counts=True)
+            for doc in np.nonzero(root != each.argmax())[0]:
+                own = which[begins[doc] : begins[doc] + sizes[doc]]
+                first, number = starts[own], counts[own]
+                ends = np.cumsum(number)
+                lists = owner[np.arange(ends[-1]) + np.repeat(first - (ends - number), number)]
+                common = np.bincount(lists, minlength=end - begin)
+                similar = (100 * common >= SIMILARITY_PERCENT * (sizes + sizes[doc] - common)) & (root != root[doc])
+                for other in np.nonzero(similar)[0]:
+                    if root[other] != root[doc]:
+                        root[root == root[other]] = root[doc]
+                        found.append((min(ids[begin + doc], ids[begin + other]), max(ids[begin + doc], ids[begin + other])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    dealt = _dealt(small).select("task", "node", "id", "part").join(sets, "id")
+    return dealt.groupBy("task").applyInPandas(judge, "a long, b long")
+
+
+def _with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents of nodes (``node``, ``id``, ``n_shingles``) with their component so far, where a node has several."""
+    parts = components(links, "parts").select(F.col("node").alias("id"), F.col("root"))
+    parted = nodes.select("node", "id", "n_shingles").join(parts, "id", "left")
+    return _open(parted.select("node", "id", "n_shingles", F.coalesce("root", "id").alias("part")))
+
+
+def _open(parted: DataFrame) -> DataFrame:
+    """The nodes of several components, with ``size``, ``pivot`` (the smallest id), ``work`` (the pairs to compare), ``shingles``, and
+    ``mark``, which nodes of the same documents have in common."""
+    parted = materialize(parted, "parted")
+    per_part = parted.groupBy("node", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("mark")
+    )
+    facts = per_part.groupBy("node").agg(
+        F.sum("n").alias("size"),
+        F.min("least").alias("pivot"),
+        F.max("n").alias("largest"),
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("shingles").alias("shingles"),
+        F.bit_xor("mark").alias("mark"),
+    )
+    work = (F.col("size") * (F.col("size") - F.col("largest"))).alias("work")
+    facts = facts.where("parts > 1").select("node", "size", "pivot", work, "shingles", "mark")
+    return materialize(parted.join(facts, "node"), "open-nodes")
+
+
+def _once(nodes: DataFrame) -> DataFrame:
+    """Of small nodes with the same documents, as trees often have them, one: the others would compare the same pairs."""
+    marks = nodes.where("id = pivot").groupBy("size", "pivot", "mark").agg(F.min("node").alias("node")).select("node")
+    return nodes.join(marks, "node", "left_semi")
+
+
+def _is_small() -> Column:
+    return (F.col("size") <= SMALL_NODE) & (F.col("work") <= SMALL_WORK) & (F.col("shingles") <= SMALL_SHINGLES)
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of every document (``b``) the pair of most ``agreement``, each pair once."""
+    best = pairs.groupBy("b").agg(F.max_by(F.col("a"), F.struct("agreement", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Links between documents with different sets, enough of them to connect whatever similar pairs connect.
 
-    Every tree sends all documents to nodes by one minwise token. First, every document is compared with the smallest id
-    that it shares a node with, the one with which it agrees in most tokens. After that a node is finished once its documents are
-    in one component, however many they are: comparing them further could not change the result. Other nodes are compared
-    exhaustively across components if they are small; larger ones are compared with their smallest id and branch again by
-    chosen tokens. Links are confirmed on full sets every few levels, and what is still open goes on.
+    Every tree sends all documents to nodes by one minwise token. A document is first compared with the smallest ids of its
+    largest nodes. After that a node is finished once its documents are in one component, however many they are: comparing
+    them further could not change the result. Small nodes are compared exhaustively across components, in three steps of
+    rising cost, each of which keeps the documents with a promising partner in another component only: by minwise tokens, by
+    the finer sketch, and on full sets. The first two judge one pair for each document; the last returns links only. Larger nodes
+    are compared with their smallest id and branch again by chosen tokens until they are small. So no step puts out
+    more rows than there are documents in nodes.
     """
     tokens = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
-    first = known.select("id", tokens).select(F.xxhash64("tree", "token").alias("node"), "id")
+    first = known.select("id", "n_shingles", tokens).select(F.xxhash64("tree", "token").alias("node"), "id", "n_shingles")
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = stage(first.join(shared, "node").select("node", "id", "pivot"), "nodes")
-    near = _promising(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), known)
-    best = materialize(near.groupBy("b").agg(F.max_by("a", "agreement").alias("a")), "best-pivots")
-    links = stage(_confirmed(best, rows), "links")
-
-    state = members.select("node", "id")
-    for number in itertools.count():
-        best_only = number < BEST_ROUNDS
-        parts = components(links, "parts").select(F.col("node").alias("id"), F.col("root"))
-        parted = state.select("node", "id").join(parts, "id", "left")
-        state = parted.select("node", "id", F.coalesce("root", "id").alias("part"))
-        asked = []
+    members = stage(first.join(shared, "node").select("node", "id", "n_shingles", "size", "pivot"), "nodes")
+    largest = members.where("id <> pivot").groupBy("id").agg(F.collect_set(F.struct((-F.col("size")).alias("order"), "pivot")).alias("nodes"))
+    largest = largest.select("id", F.explode(F.slice(F.array_sort("nodes"), 1, PIVOTS)).alias("n"))
+    near = _promising(largest.select(F.col("n.pivot").alias("a"), F.col("id").alias("b")), known)
+    links = stage(_confirmed(materialize(_one_each(near), "best-pivots"), rows), "links")
+
+    coarse = known.select("id", F.col("tokens").alias("sketch"))
+    state = members
+    while True:
+        state = _with_parts(state, links)
+        parts: list[DataFrame] = []
+        small_nodes: list[DataFrame] = []
         for level in range(1, LEVELS_PER_ROUND + 1):
-            per_part = state.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-            facts = per_part.groupBy("node").agg(
-                F.sum("n").alias("size"), F.min("least").alias("pivot"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("parts")
-            )
-            work = (F.col("size") * (F.col("size") - F.col("largest"))).alias("work")
-            facts = facts.where("parts > 1").select("node", "size", "pivot", work)
-            kept = materialize(state.join(facts, "node").select("node", "id", "part", "size", "pivot", "work"), "open-nodes")
-            is_small = (F.col("size") <= SMALL_NODE) & (F.col("work") <= SMALL_WORK)
-            small, large = kept.where(is_small), kept.where(~is_small)
-            asked.append(_across(small, known, best_only))
-            state = large
-            if large.isEmpty():
-                break
-            lead = large.where("id = pivot").select("node", F.col("part").alias("pivot_part")).distinct()
-            led = large.join(lead, "node").where("part <> pivot_part AND id <> pivot")
-            asked.append(_promising(led.select(F.col("pivot").alias("a"), F.col("id").alias("b")), known).select("a", "b"))
-            if best_only:
+            small_nodes.append(state.where(_is_small()))
+            state = state.where(~_is_small())
+            if state.isEmpty():
                 break
-            state = _branched(large, known)
-            if level == LEVELS_PER_ROUND:
-                state = materialize(state, "nodes")
-        pairs = reduce(DataFrame.union, asked).distinct().join(links, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if not pairs.isEmpty():
-            links = stage(links.union(_confirmed(pairs, rows)).distinct(), "links")
-        if best_only:
-            state = members.select("node", "id")
-        elif state.isEmpty():
+            lead = state.where("id = pivot").select("node", F.col("part").alias("pivot_part")).distinct()
+            led = state.join(lead, "node").where("part <> pivot_part AND id <> pivot")
+            parts.append(led.groupBy("id").agg(F.max_by("pivot", "size").alias("a")).select("a", F.col("id").alias("b")))
+            state = _open(materialize(_branched(state, known), "nodes"))
+        nodes = reduce(DataFrame.unionByName, small_nodes)
+        if parts:
+            near = _promising(reduce(DataFrame.union, parts).distinct(), known)
+            links = _more(links, materialize(_one_each(near), "pivot-pairs"), rows)
+            nodes = _with_parts(nodes, links)
+        links = _compared(materialize(_once(nodes), "small-nodes"), links, rows, coarse)
+        if state.isEmpty():
+            return links
+
+
+def _more(links: DataFrame, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links and those among the pairs."""
+    if pairs.isEmpty():
+        return links
+    return stage(links.union(_confirmed(pairs, rows)).distinct(), "links")
+
+
+def _compared(nodes: DataFrame, links: DataFrame, rows: DataFrame, coarse: DataFrame) -> DataFrame:
+    """The links, and those between components of small nodes."""
+    for number in range(BEST_ROUNDS + FINE_ROUNDS):
+        if nodes.isEmpty():
             return links
+        if number < BEST_ROUNDS:
+            sketches, least = coarse, LEAST_AGREEMENT
+        else:
+            if number == BEST_ROUNDS:
+                fine = stage(_fine_sketches(rows, nodes.select("id").distinct()), "sketches")
+            sketches, least = fine, LEAST_FINE_AGREEMENT
+        found = materialize(_best_partners(nodes, sketches, least), "partners")
+        pairs = materialize(_one_each(found.select(F.col("partner").alias("a"), F.col("id").alias("b"), "agreement")), "pairs")
+        links = _more(links, pairs, rows)
+        nodes = _with_parts(nodes.join(found.select("node", "id"), ["node", "id"], "left_semi"), links)
+    if nodes.isEmpty():
+        return links
+    sets = stage(_sets_of(rows, nodes.select("id").distinct()), "sets")
+    return stage(links.union(_linked_inside(nodes, sets)).distinct(), "links")
 
 
 def _branched(nodes: DataFrame, known: DataFrame) -> DataFrame:
@@ -255,7 +395,7 @@ def _branched(nodes: DataFrame, known: DataFrame) -> DataFrame:
     chosen = F.when(second, F.array(choice(0), choice(1))).otherwise(F.array(choice(0)))
     sent = nodes.withColumn("choice", F.explode(chosen)).join(known.select("id", "tokens"), "id")
     child = F.xxhash64("node", "choice", F.col("tokens")[F.col("choice")])
-    return sent.select(child.alias("node"), "id", "part").distinct()
+    return sent.select(child.alias("node"), "id", "n_shingles", "part").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
