@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.operators.skew import BROADCAST_ROWS
 from treeledger.scratch import materialize
 
 from .common import components, mix, row_batches, sliding_hash, stage, word_hashes
@@ -113,6 +114,14 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(describe, "id long, n_shingles long, high long, low long, tokens array<int>")
 
 
+def _wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose ids are wanted. While the ids are counted to be few, texts stay where they are scanned."""
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "id", "left_semi")
+
+
 def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The full sets of the documents whose ids are wanted."""
 
@@ -123,7 +132,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts[begin:end])]
                 yield pd.DataFrame({"id": batch["id"].iloc[begin:end].array, "shingles": sets})
 
-    found = rows.join(wanted, "id", "left_semi").mapInPandas(build, "id long, shingles array<long>")
+    found = _wanted(rows, wanted).mapInPandas(build, "id long, shingles array<long>")
     return found.dropDuplicates(["id"])
 
 
