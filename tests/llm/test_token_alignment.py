@@ -84,6 +84,7 @@ def test_bitmaps():
     rng = np.random.default_rng(3)
     size = 1 << token_alignment.CHUNK_BITS
     times = {(int(p), int(d)): int(t) for p, d, t in zip(rng.integers(0, 40, 9000), rng.integers(0, size, 9000), rng.geometric(0.3, 9000), strict=True)}
+    times |= {(97, d): 1 for d in range(size // 16)} | {(96, d): 1 for d in range(size // 16 - 1)}
     times |= {(99, d): 1 for d in range(0, size, 2)} | {(98, 5): 1_000_000}
     keys = sorted(times)
     pairs, places = np.array(keys, np.int64).T

@@ -149,7 +149,8 @@ def counted(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def packed(bits: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Of every pair its planes as bytes: the sorted places of 16 bits each, or one bit for every place where that is shorter."""
+    """Of every pair its planes as bytes: the sorted places of 16 bits each, or one bit for every place where that is not longer;
+    only the latter has as many bytes as a chunk has bits."""
     keys, begins = np.unique(bits >> CHUNK_BITS, return_index=True)
     places = (bits & ((1 << CHUNK_BITS) - 1)).astype("<u2")
     data = places.tobytes()
@@ -160,7 +161,7 @@ def packed(bits: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
     for k, (own, plane) in enumerate(zip(owner, (keys & 63).tolist(), strict=True)):
         x, y = cuts[k], cuts[k + 1]
         content = data[2 * x : 2 * y]
-        if y - x > 1 << (CHUNK_BITS - 4):
+        if y - x >= 1 << (CHUNK_BITS - 4):
             row = np.zeros(1 << CHUNK_BITS, bool)
             row[places[x:y]] = True
             content = np.packbits(row).tobytes()
