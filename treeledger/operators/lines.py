@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from ..functions.content import has_text, snapshot_text
 from ..functions.paths import PY_WHITESPACE
 from ..scratch import materialize
 from . import skew
+from .edits import hunks
 from .skew import hot_keys, spread_join
 
 _PAIR = ["base_file_hash", "target_file_hash"]
@@ -83,13 +83,8 @@ def line_changes_ordered(diff: DataFrame, blobs: DataFrame, reverse: bool = Fals
     Both texts of one changed file meet in one row; nothing larger does.
     """
     diff, stored = _stored(diff)
-    pairs = stored
-    for name in _PAIR:
-        other = [c for c in pairs.columns if c != name]
-        texts = _texts(blobs, stored, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
-        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]))
     schema = ", ".join([*(f"{c} string" for c in _PAIR), *(f"{c} bigint" for c in _COUNTS)])
-    counts = pairs.select(*_PAIR, *[f"{c}_text" for c in _PAIR]).mapInPandas(_compare, schema)
+    counts = _both_texts(stored, blobs).mapInPandas(_compare, schema)
     return _per_file(diff, counts, reverse)
 
 
@@ -158,47 +153,71 @@ def _counted_lines(text: str | None) -> list[tuple[str, int]]:
 
 def _unmatched(base: list[str], target: list[str]) -> tuple[list[int], list[int]]:
     """Positions outside a longest common subsequence."""
-    ids = {key: i for i, key in enumerate(dict.fromkeys(base + target))}
-    a, b = np.array([ids[k] for k in base], dtype=np.int64), np.array([ids[k] for k in target], dtype=np.int64)
-    # a line that is on one side only can never match
-    kept_a, kept_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-    matches = _common(a[kept_a], b[kept_b])
-    matched_a = {int(kept_a[i]) for i, _ in matches}
-    matched_b = {int(kept_b[j]) for _, j in matches}
-    return [i for i in range(len(a)) if i not in matched_a], [j for j in range(len(b)) if j not in matched_b]
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by halving, in memory linear in the texts."""
-    pairs = []
-    work = [(0, len(a), 0, len(b))]
-    while work:
-        a0, a1, b0, b1 = work.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            pairs.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            pairs.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        if a1 - a0 == 1:
-            hits = np.flatnonzero(b[b0:b1] == a[a0])
-            if len(hits):
-                pairs.append((a0, b0 + int(hits[0])))
-            continue
-        middle = (a0 + a1) // 2
-        ahead = _lengths(a[a0:middle], b[b0:b1])
-        behind = _lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
-        split = b0 + int(np.argmax(ahead + behind))
-        work += [(a0, middle, b0, split), (middle, a1, split, b1)]
-    return pairs
-
-
-def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of a longest common subsequence of ``a`` with every prefix of ``b``."""
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for value in a:
-        longer = np.maximum(row[1:], row[:-1] + (b == value))
-        row[1:] = np.maximum.accumulate(longer)
-    return row
+    changed = hunks(base, target)
+    deleted = [i for begin, size, _, _ in changed for i in range(begin, begin + size)]
+    return deleted, [j for _, _, begin, size in changed for j in range(begin, begin + size)]
+
+
+_HUNK = "base_start: bigint, base_lines: bigint, target_start: bigint, target_lines: bigint, deleted_chars: bigint, added_chars: bigint"
+HUNK_KEYS = ["base_commit_hash", "target_commit_hash", "base_path", "target_path"]
+
+
+def diff_hunks(diff: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The hunks of every changed file of a diff: its keys, ``hunk`` from 1, where each side's lines begin and how many there
+    are, and the characters of the deleted and the added lines (line breaks not counted).
+
+    Lines are compared in order and exactly, by a shortest edit script. An empty side begins with the line that it stands
+    after (0: at the front), as in a diff without context. An absent side, or one without text, has no lines. The two texts of one
+    changed file meet in one row, nothing larger does; every pair of blobs is compared once.
+    """
+    diff = materialize(diff.select(*HUNK_KEYS, *_PAIR), "diff")
+    pairs = materialize(diff.select(*_PAIR).distinct(), "pairs")
+    schema = ", ".join([*(f"{c} string" for c in _PAIR), f"hunks array<struct<{_HUNK}>>"])
+    found = _both_texts(pairs, blobs).mapInPandas(_hunks_of, schema)
+    joined = spread_join(diff, materialize(found, "hunks"), _PAIR, HUNK_KEYS, most=diff.count())
+    each = joined.select(*HUNK_KEYS, F.posexplode("hunks").alias("at", "found"))
+    return each.select(*HUNK_KEYS, (F.col("at") + 1).alias("hunk"), "found.*")
+
+
+def with_hunk_counts(diff: DataFrame, found: DataFrame) -> DataFrame:
+    """The diff with ``hunk_line_count`` and ``hunk_char_count`` of each file: its deleted and added lines, and their characters."""
+    counts = found.groupBy(*HUNK_KEYS).agg(
+        F.sum(F.col("base_lines") + F.col("target_lines")).cast("int").alias("_lines"),
+        F.sum(F.col("deleted_chars") + F.col("added_chars")).cast("int").alias("_chars"),
+    )
+    joined = diff.join(counts, HUNK_KEYS, "left")
+    filled = {"hunk_line_count": F.coalesce("_lines", F.lit(0)), "hunk_char_count": F.coalesce("_chars", F.lit(0))}
+    return joined.withColumns(filled).select(*diff.columns)
+
+
+def _both_texts(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Pairs of blobs with the text of both, null where there is none."""
+    stored = pairs
+    for name in _PAIR:
+        other = [c for c in pairs.columns if c != name]
+        texts = _texts(blobs, stored, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
+        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]))
+    return pairs.select(*_PAIR, *[f"{c}_text" for c in _PAIR])
+
+
+def _lines_of(text: str | None) -> list[str]:
+    """Lines of a text; a line break ends a line and begins none."""
+    if not text:
+        return []
+    return text.removesuffix("\n").split("\n")
+
+
+def _hunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for base_text, target_text in zip(batch[f"{_PAIR[0]}_text"], batch[f"{_PAIR[1]}_text"], strict=True):
+            base, target = _lines_of(base_text), _lines_of(target_text)
+            rows = []
+            for at, size, other, other_size in hunks(base, target):
+                chars = (sum(map(len, side[k : k + n])) for side, k, n in ((base, at, size), (target, other, other_size)))
+                rows.append((at + (size > 0), size, other + (other_size > 0), other_size, *chars))
+            found.append([dict(zip(_HUNK_NAMES, row, strict=True)) for row in rows])
+        yield batch[_PAIR].assign(hunks=pd.Series(found, index=batch.index, dtype=object))
+
+
+_HUNK_NAMES = [field.split(":")[0].strip() for field in _HUNK.split(",")]

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.content import ZERO_HASH
 from ..functions.paths import ALL_LABEL, DEFAULT_EXCLUDE, DEFAULT_INCLUDE, DEFAULT_STACKS, StackRule
 from ..operators import history
 from ..operators.analysis import analyze, file_snapshots
 from ..operators.analyzers import DEFAULT_ANALYZERS, AnalyzerRule, BoundAnalyzer, bind_analyzers
 from ..operators.lineage import branch_tip, commit_in_branch, of_repository, resolve_ref
+from ..operators.lines import diff_hunks, with_hunk_counts
+from ..operators.skew import spread_join
 from ..operators.stats import RunTables, Statistic, registered_statistics
 from ..operators.trees import diff_commits, diff_sides, snapshot_files, tree_diff
 from ..scratch import materialize
@@ -83,6 +86,33 @@ def diff_tables(
     return diff, analyze(sides, lake.blobs, settings.bound()).drop("side")
 
 
+@dataclass(frozen=True)
+class HistoryTables:
+    """What every commit changed: ``diff_results`` with hunk counts, and the hunks."""
+
+    diff_results: DataFrame
+    hunks: DataFrame
+
+
+def history_tables(lake: RepoTables, settings: Settings = Settings()) -> HistoryTables:
+    """Every commit of the lake against its first parent, a commit without parents against the empty tree (the zero hash).
+
+    All commits are one diff: the tree entries are scanned and shuffled once, and each pair of blobs is compared once,
+    however often history repeats it.
+    """
+    first = lake.commit_parents
+    if "ordinal" in first.columns:
+        first = first.groupBy("child").agg(F.min_by("parent", "ordinal").alias("parent"))
+    commits = lake.commits.select("hash").distinct()
+    parents = spread_join(commits, first.select(F.col("child").alias("hash"), "parent"), ["hash"], ["hash"], "left", most=1)
+    base = F.coalesce("parent", F.lit(ZERO_HASH)).alias("base_commit_hash")
+    pairs = materialize(parents.select(base, F.col("hash").alias("target_commit_hash")), "commit-pairs")
+    found = tree_diff(lake.tree_entries, pairs, settings.include, settings.exclude, settings.stacks)
+    diff = materialize(found, "diff")
+    hunks = materialize(diff_hunks(diff, lake.blobs), "hunks")
+    return HistoryTables(with_hunk_counts(diff, hunks), hunks)
+
+
 def in_repository(lake: RepoTables, repository: str | None) -> RepoTables:
     """The lake with the commits and branches of one repository; trees, parents and contents are found by hash."""
     if repository is None:

@@ -75,6 +75,65 @@ refs AS (
  FROM events GROUP BY event_type)
 """
 
+# Texts with edits in mid-file, as Spark says it; the counterpart below says which lines stay. Lines are numbered, so no two are
+# equal: some are deleted, replaced or inserted, and in some documents one moves to the end.
+EDITED = r"""
+numbered AS (
+ SELECT doc_id, transform(split(coalesce(text, ''), '\n'), (t, i) -> concat(i, ':', t, '.')) AS base FROM documents),
+turned AS (
+ SELECT doc_id, base, flatten(transform(base, (t, i) -> concat(
+   CASE WHEN i % 7 = 3 OR (i = 2 AND doc_id % 3 = 0 AND size(base) >= 12) THEN array()
+        WHEN i % 5 = 1 THEN array(concat('new ', i)) ELSE array(t) END,
+   CASE WHEN i % 11 = 4 THEN array(concat('x ', i), concat('yy ', i)) ELSE array() END))) AS target
+ FROM numbered),
+texts AS (
+ SELECT 'v0' AS commit_hash, doc_id, array_join(base, '
+') AS content FROM turned
+ UNION ALL
+ SELECT 'v1', doc_id, array_join(CASE WHEN doc_id % 3 = 0 AND size(base) >= 12 THEN concat(target, array(base[2])) ELSE target END, '
+')
+ FROM turned),
+edited AS (SELECT commit_hash, concat('src/doc', doc_id, '.java') AS path, sha1(content) AS hash, content FROM texts)
+"""
+EDITS_SQL = """
+lines AS (
+ SELECT doc_id, i, concat(i, ':', t, '.') AS line, count(*) OVER (PARTITION BY doc_id) AS n FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents) s),
+marked AS (SELECT *, i = 2 AND doc_id % 3 = 0 AND n >= 12 AS moved FROM lines),
+target_lines AS (
+ SELECT doc_id, i, 0 AS sub, CASE WHEN i % 5 = 1 THEN concat('new ', i) ELSE line END AS line, i % 5 <> 1 AS kept
+ FROM marked WHERE i % 7 <> 3 AND NOT moved
+ UNION ALL SELECT doc_id, i, 1, concat('x ', i), false FROM marked WHERE i % 11 = 4
+ UNION ALL SELECT doc_id, i, 2, concat('yy ', i), false FROM marked WHERE i % 11 = 4
+ UNION ALL SELECT doc_id, n, 3, line, false FROM marked WHERE moved),
+base_sums AS (
+ SELECT doc_id, i + 1 AS p, length(line) AS size, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS chars FROM lines),
+target_sums AS (
+ SELECT doc_id, i, kept, row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) AS t, length(line) AS size,
+        sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i, sub ROWS UNBOUNDED PRECEDING) AS chars FROM target_lines),
+stays AS (
+ SELECT t.doc_id, b.p, t.t, b.chars AS base_chars, t.chars AS target_chars, b.size AS size
+ FROM target_sums t JOIN base_sums b ON b.doc_id = t.doc_id AND b.p = t.i + 1 WHERE t.kept
+ UNION ALL SELECT DISTINCT doc_id, 0, 0, 0, 0, 0 FROM lines
+ UNION ALL SELECT b.doc_id, b.p + 1, m.t + 1, b.chars, m.chars, 0 FROM (
+   SELECT doc_id, max(p) AS p, max(chars) AS chars FROM base_sums GROUP BY doc_id) b JOIN (
+   SELECT doc_id, max(t) AS t, max(chars) AS chars FROM target_sums GROUP BY doc_id) m ON m.doc_id = b.doc_id),
+gaps AS (
+ SELECT doc_id, lag(p) OVER w AS p0, p, lag(t) OVER w AS t0, t,
+        base_chars - size - lag(base_chars) OVER w AS deleted_chars, target_chars - size - lag(target_chars) OVER w AS added_chars
+ FROM stays WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+hunks AS (
+ SELECT 'v0' AS base_commit_hash, 'v1' AS target_commit_hash, concat('src/doc', doc_id, '.java') AS path,
+  row_number() OVER (PARTITION BY doc_id ORDER BY p) AS hunk,
+  CASE WHEN p - p0 > 1 THEN p0 + 1 ELSE p0 END AS base_start, p - p0 - 1 AS base_lines,
+  CASE WHEN t - t0 > 1 THEN t0 + 1 ELSE t0 END AS target_start, t - t0 - 1 AS target_lines,
+  deleted_chars, added_chars
+ FROM gaps WHERE p - p0 > 1 OR t - t0 > 1
+ UNION ALL
+ SELECT repeat('0', 40), 'v0', concat('src/doc', doc_id, '.java'), 1, 0, 0, 1, max(p), 0, max(chars) FROM base_sums GROUP BY doc_id)
+"""
+
 # One run per order, of one project per customer, with run names and end times in every layout met in practice.
 RUNS = """
 runs AS (

@@ -27,7 +27,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, FILES, LAKE, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
+from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,6 +208,17 @@ def second(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def edited_lake(spark: SparkSession, sf: str) -> RepoTables:
+    """One repository of two commits: v0 has all documents, v1, its child, the same with edits in mid-file."""
+    files = derive(spark, sf, (EDITED,), "edited")
+    commits = files.select(F.lit("lake").alias("repository"), F.lit("main").alias("branch"), F.col("commit_hash").alias("hash")).distinct()
+    parents = spark.createDataFrame([("v1", "v0", 0)], schemas.COMMIT_PARENTS)
+    refs = spark.createDataFrame([("lake", "main", "v1", True)], schemas.REFS)
+    entries = files.select("commit_hash", "path", F.lit("100644").alias("mode"), "hash")
+    texts = files.groupBy("hash").agg(F.min(F.encode("content", "UTF-8")).alias("content"))
+    return RepoTables(commits, parents, refs, entries, texts)
+
+
 # -- paths and stacks ----------------------------------------------------------------------------------------------
 
 
@@ -1252,3 +1263,40 @@ def job_statistics(spark, sf):
         rows = found[name].groupBy(F.lit(name).alias("statistic"), "repo", "run").agg(value.cast("bigint").alias("value"))
         table = rows if table is None else table.unionByName(rows)
     return table
+
+
+# -- history with hunks --------------------------------------------------------------------------------------------
+
+
+@case(
+    "SELECT base_commit_hash, target_commit_hash, path, CAST(hunk AS INT) AS hunk, base_start, base_lines, target_start, target_lines, "
+    "CAST(deleted_chars AS BIGINT) AS deleted_chars, CAST(added_chars AS BIGINT) AS added_chars FROM hunks",
+    (EDITS_SQL,),
+)
+def history_hunks(spark, sf):
+    found = jobs.history_tables(edited_lake(spark, sf)).hunks
+    return found.drop("base_path").withColumnRenamed("target_path", "path")
+
+
+@case(
+    "SELECT base_commit_hash, target_commit_hash, path, CASE WHEN target_commit_hash = 'v0' THEN 'A' ELSE 'M' END AS "
+    "diff_change_type, CAST(sum(base_lines + target_lines) AS INT) AS hunk_line_count, CAST(sum(deleted_chars + added_chars) AS INT) AS "
+    "hunk_char_count FROM hunks GROUP BY ALL",
+    (EDITS_SQL,),
+)
+def history_diff(spark, sf):
+    found = jobs.history_tables(edited_lake(spark, sf)).diff_results
+    path = F.col("target_path").alias("path")
+    return found.select("base_commit_hash", "target_commit_hash", path, "diff_change_type", "hunk_line_count", "hunk_char_count")
+
+
+@case(
+    "SELECT path AS file_path, CAST(sum(target_lines) AS BIGINT) AS added_lines, CAST(sum(base_lines) AS BIGINT) AS deleted_lines, "
+    "CAST(sum(added_chars) AS BIGINT) AS added_chars, CAST(sum(deleted_chars) AS BIGINT) AS deleted_chars FROM hunks "
+    "WHERE target_commit_hash = 'v1' GROUP BY path",
+    (EDITS_SQL,),
+)
+def line_changes_in_order(spark, sf):
+    lake = edited_lake(spark, sf)
+    found = trees.tree_diff(lake.tree_entries, ("v0", "v1"))
+    return lines.line_changes_ordered(found, lake.blobs).drop("base_commit_hash", "target_commit_hash")
