@@ -261,7 +261,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     stored = materialize(postings(docs, path_a, path_b), "pair-bitmaps")
     scores = pair_counts(stored).select("a", "b", F.col("count").alias("total"), "best")
-    inverted = stored.where("a IS NOT NULL").select("chunk", "a", "b", "planes").join(scores, ["a", "b"])
+    # The pairs grow with the corpus, so they are never sent to every task.
+    inverted = stored.where("a IS NOT NULL").select("chunk", "a", "b", "planes").join(scores.hint("merge"), ["a", "b"])
     listed = stored.where("a IS NULL").drop("a", "b", "n_docs", "count", "planes")
     together = listed.unionByName(inverted.select("chunk", "total", "best", "planes"), allowMissingColumns=True)
     fields = [f for f in listed.schema if f.name not in ("chunk", "place")]
