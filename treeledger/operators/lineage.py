@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from . import skew
 from .skew import spread_join
 
 
 @dataclass(frozen=True)
 class History:
-    """Commits numbered by integers, their parent links, and first-parent jumps, all as stored tables.
+    """Commits on chains of first parents, as stored tables.
 
-    ``nodes(hash, node)``, ``links(node, parent)``, and ``jumps``: tables ``node, ahead`` of the ancestor 1, 2, 4, 8, …
-    first-parent steps away, until no history is that long.
+    ``nodes(hash, node, chain, position)``: every commit is on one chain, whose commits are each other's first parents;
+    ``position`` is the number of first-parent steps from the root, so all ancestors of a commit on its own chain are those of
+    lower position. ``links(chain, position, parent_chain, parent_position)``: the links that leave a chain, which are those of
+    the chain's first commit and of merges. ``jumps``: tables ``node, ahead`` of the ancestor 1, 2, 4, 8, … first-parent
+    steps away, until no history is that long.
     """
 
     nodes: DataFrame
@@ -27,9 +28,11 @@ class History:
 
 
 def index_history(commit_parents: DataFrame) -> History:
-    """Prepare a commit graph for any number of ``reachable`` calls.
+    """Prepare a commit graph for any number of ``reachable``, ``ancestors`` and ``merge_bases`` calls.
 
-    A fork point is the end of many steps of one length, so every join towards parents is spread.
+    First parents make a forest. A commit's chain goes on to the child with the most commits above it, so a path to the root
+    changes chains at most log2(commits) times. Both the counts and the chains come from doubling steps: after k rounds every
+    commit knows its ancestor 2**k steps away and the number of commits that it is within 2**k steps of.
     """
     hashes = commit_parents.select(F.col("child").alias("hash")).union(commit_parents.select("parent")).distinct()
     nodes = materialize(hashes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -38,14 +41,44 @@ def index_history(commit_parents: DataFrame) -> History:
     order = F.col("ordinal") if "ordinal" in commit_parents.columns else F.col("parent_node")
     both = spread_join(children, parents, ["parent"], ["node"])
     links = materialize(both.select("node", F.col("parent_node").alias("parent"), order.alias("ordinal")), "links")
-    step = materialize(links.groupBy("node").agg(F.min_by("parent", "ordinal").alias("ahead")), "jump")
+
+    first = links.groupBy("node").agg(F.min_by("parent", "ordinal").alias("ahead"))
+    step = nodes.select("node").join(first, "node", "left")
+    step = materialize(step.select("node", "ahead", F.lit(1).cast("bigint").alias("above"), F.when(F.col("ahead").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "jump")
+    size = step.count()
     jumps = []
-    while (size := step.count()) > 0:
-        jumps.append(step)
-        onward = step.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"))
-        doubled = spread_join(step, onward, ["ahead"], ["node"], most=size)
-        step = materialize(doubled.select("node", F.col("further").alias("ahead")), "jump")
-    return History(nodes, links.select("node", "parent"), tuple(jumps))
+    while True:
+        known = step.where("ahead IS NOT NULL")
+        if known.isEmpty():
+            break
+        jumps.append(known.select("node", "ahead"))
+        # Everything within 2**k steps below an ancestor is within 2 * 2**k of it; the ancestor's own steps are added to the depth.
+        gained = known.groupBy(F.col("ahead").alias("node")).agg(F.sum("above").alias("gained"))
+        onward = step.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"), F.col("depth").alias("more"))
+        doubled = spread_join(known, onward, ["ahead"], ["node"], most=size)
+        doubled = doubled.select("node", F.col("further").alias("ahead"), "above", (F.col("depth") + F.col("more")).alias("depth"))
+        done = step.where("ahead IS NULL").select("node", F.lit(None).cast("bigint").alias("ahead"), "above", "depth")
+        total = (F.col("above") + F.coalesce("gained", F.lit(0))).alias("above")
+        step = materialize(doubled.unionByName(done).join(gained, "node", "left").select("node", "ahead", total, "depth"), "jump")
+
+    # The child that continues its parent's chain, and from every commit the way down that chain to its first commit.
+    weighed = first.join(step.select("node", "above"), "node")
+    heavy = weighed.groupBy("ahead").agg(F.max_by("node", F.struct("above", "node")).alias("node"))
+    way = materialize(nodes.select("node").join(heavy, "node", "left").select("node", F.col("node").alias("chain"), "ahead"), "chain-way")
+    while not way.where("ahead IS NOT NULL").isEmpty():
+        # A chain has one commit at each position, so no key of this join is hot.
+        onward = way.select(F.col("node").alias("ahead"), F.col("chain").alias("next_chain"), F.col("ahead").alias("further"))
+        going = way.where("ahead IS NOT NULL").select("node", "ahead").join(onward, "ahead")
+        going = going.select("node", F.col("next_chain").alias("chain"), F.col("further").alias("ahead"))
+        way = materialize(going.unionByName(way.where("ahead IS NULL")), "chain-way")
+    chains = way.select("node", "chain").join(step.select("node", F.col("depth").alias("position")), "node")
+    nodes = materialize(nodes.join(chains, "node"), "nodes")
+
+    own = nodes.select("node", "chain", "position")
+    ends = nodes.select(F.col("node").alias("parent"), F.col("chain").alias("parent_chain"), F.col("position").alias("parent_position"))
+    placed = spread_join(links.join(own, "node"), ends, ["parent"], ["node"])
+    leaving = placed.where("chain <> parent_chain")
+    return History(nodes, materialize(leaving.select("chain", "position", "parent_chain", "parent_position"), "chain-links"), tuple(jumps))
 
 
 def reachable(
@@ -53,52 +86,86 @@ def reachable(
 ) -> DataFrame:
     """All ancestors of every tip, the tip included: ``tip, hash`` for ``tips(hash)``.
 
-    A round follows the first parents of all entry points to the root and then takes the other parents of what it found
-    as new entry points. Taking the longest jumps first, a path of d commits is found by log2(d) joins that touch about
-    2d rows, so the depth of a history costs next to nothing; the number of rounds is that of merges nested in merges.
-    Each round is written out, so neither the plan nor the work to redo after a lost executor grows. ``until`` stops after
-    the round that reaches that commit.
+    What a tip reaches of a chain is everything up to one position. So a round joins the positions that rose in the last one with the
+    links that leave their chains, and keeps the highest position of each tip and chain; commits themselves are joined
+    once, at the end. The number of rounds is that of chains on a path, not of commits. Each round is written out, so neither the
+    plan nor the work to redo after a lost executor grows. ``until`` stops after the round that reaches that commit.
     """
     index = index_history(commit_parents) if index is None else index
     tips = tips.select("hash").distinct()
     # a tip without links is its own only ancestor
     lonely = tips.join(index.nodes, "hash", "left_anti").select(F.col("hash").alias("tip"), "hash")
-    starts = tips.join(index.nodes, "hash").select("hash", F.col("node").alias("tip"), "node")
-    starts = materialize(starts, "tips")
-    entries = starts.select("tip", "node")
-    # a commit occurs once per tip, which bounds the rows of a key in every join below
-    tip_count = entries.count()
-    goal = index.nodes.where(F.col("hash") == until).select("node") if until else None
-    found: list[DataFrame] = []
-    while not entries.isEmpty():
-        paths = entries
-        for jump in reversed(index.jumps):
-            if tip_count >= skew.HOT_FLOOR:
-                paths = materialize(paths, "path")
-            ahead = spread_join(paths, jump, ["node"], ["tip"], "left", most=tip_count)
-            both = F.explode(F.array_compact(F.array("node", "ahead")))
-            paths = ahead.select("tip", both.alias("node")).distinct()
-        new = materialize(_unknown(paths, found), "reach")
-        found.append(new)
-        if goal is not None and not new.join(F.broadcast(goal), "node", "left_semi").isEmpty():
+    reach = reached_chains(index, tips, until)
+    named = spread_join(index.nodes.withColumnRenamed("position", "at"), reach, ["chain"], ["node"], spread_right=["tip"])
+    return named.where("at <= position").select("tip", "hash").unionByName(lonely)
+
+
+def reached_chains(index: History, tips: DataFrame, until: str | None = None) -> DataFrame:
+    """Up to which position every tip reaches every chain: ``tip, chain, position``."""
+    starts = tips.join(index.nodes, "hash").select(F.col("hash").alias("tip"), "chain", "position")
+    goal = index.nodes.where(F.col("hash") == until).select("chain", F.col("position").alias("goal")) if until else None
+    # position: how far the tip reaches; known: how far before the last round.
+    fresh = F.lit(-1).cast("bigint").alias("known")
+    reach = materialize(starts.select("tip", "chain", "position", fresh), "reach")
+    while True:
+        rising = reach.where("position > known")
+        if rising.isEmpty() or (goal is not None and not reach.join(goal, "chain").where("position >= goal").isEmpty()):
             break
-        onward = spread_join(new, index.links, ["node"], ["tip"], most=tip_count)
-        entries = _unknown(onward.select("tip", F.col("parent").alias("node")).distinct(), found)
-        entries = materialize(entries, "entries")
-    rows = reduce(DataFrame.unionByName, found) if found else entries
-    named = spread_join(rows, index.nodes, ["node"], ["tip"], most=tip_count).drop("node")
-    names = starts.select("tip", F.col("hash").alias("tip_hash"))
-    if tip_count <= skew.BROADCAST_ROWS:
-        named = named.join(F.broadcast(names), "tip")
-    else:
-        named = spread_join(materialize(named, "named"), names, ["tip"], ["hash"])
-    return named.select(F.col("tip_hash").alias("tip"), "hash").unionByName(lonely)
+        out = index.links.withColumnRenamed("position", "link_position")
+        crossed = spread_join(rising, out, ["chain"], ["tip"], spread_right=["link_position"])
+        crossed = crossed.where("link_position <= position AND link_position > known")
+        entered = crossed.groupBy("tip", F.col("parent_chain").alias("chain")).agg(F.max("parent_position").alias("position"))
+        old = reach.select("tip", "chain", "position", F.col("position").alias("known"))
+        both = old.unionByName(entered.withColumn("known", F.lit(-1).cast("bigint")))
+        reach = materialize(both.groupBy("tip", "chain").agg(F.max("position").alias("position"), F.max("known").alias("known")), "reach")
+    return reach.select("tip", "chain", "position")
 
 
-def _unknown(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    if not found:
-        return rows
-    return rows.join(reduce(DataFrame.unionByName, found), ["tip", "node"], "left_anti")
+def ancestors(commit_parents: DataFrame, specs: DataFrame, index: History | None = None) -> DataFrame:
+    """The ancestor any number of first-parent steps away: ``hash, steps, ancestor`` for ``specs(hash, steps)``.
+
+    Binary lifting: one join for each bit of the largest number of steps. The ancestor is null beyond the root, for a negative
+    number and for a null one; 0 steps are the commit itself.
+    """
+    index = index_history(commit_parents) if index is None else index
+    specs = materialize(specs.select("hash", F.col("steps").cast("bigint").alias("steps")).distinct(), "specs")
+    count = specs.count()
+    at = spread_join(specs, index.nodes.select("hash", "node"), ["hash"], ["steps"], "left", most=count)
+    left_over = (F.col("steps") < 0) | (F.col("steps") >= F.lit(1 << len(index.jumps)))
+    at = at.withColumn("node", F.when(~left_over, F.col("node")))
+    for bit, jump in enumerate(index.jumps):
+        stepped = spread_join(at, jump, ["node"], ["hash", "steps"], "left", most=count)
+        takes = F.shiftright("steps", bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        at = stepped.select("hash", "steps", F.when(takes, F.col("ahead")).otherwise(F.col("node")).alias("node"))
+    named = index.nodes.select("node", F.col("hash").alias("ancestor"))
+    found = spread_join(at, named, ["node"], ["hash", "steps"], "left", most=count)
+    # A commit without links is not in the graph; it is its own ancestor of no steps.
+    return found.select("hash", "steps", F.when(F.col("steps") == 0, F.col("hash")).otherwise(F.col("ancestor")).alias("ancestor"))
+
+
+def merge_bases(commit_parents: DataFrame, pairs: DataFrame, index: History | None = None) -> DataFrame:
+    """The best common ancestors of pairs of commits: ``a, b, base`` for ``pairs(a, b)``, one row for each base.
+
+    A base is a common ancestor that no other common ancestor reaches. What both reach of a chain is everything up to the lower of two
+    positions, so candidates are the highest common position of each chain; a candidate goes when a link that leaves a chain's common
+    stretch leads to it or beyond it on its chain. A commit counts as its own ancestor.
+    """
+    index = index_history(commit_parents) if index is None else index
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    both = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
+    reach = materialize(reached_chains(index, both), "reach")
+    of_a = pairs.join(reach.withColumnRenamed("tip", "a"), "a")
+    of_b = reach.select(F.col("tip").alias("b"), "chain", F.col("position").alias("other"))
+    common = of_a.join(of_b, ["b", "chain"]).select("a", "b", "chain", F.least("position", "other").alias("position"))
+    common = materialize(common, "common")
+    out = index.links.withColumnRenamed("position", "link_position")
+    left = spread_join(common, out, ["chain"], ["a", "b"], spread_right=["link_position"]).where("link_position <= position")
+    covered = left.groupBy("a", "b", F.col("parent_chain").alias("chain")).agg(F.max("parent_position").alias("covered"))
+    best = common.join(covered, ["a", "b", "chain"], "left").where("covered IS NULL OR covered < position")
+    named = index.nodes.select("chain", "position", F.col("hash").alias("base"))
+    found = best.join(named, ["chain", "position"]).select("a", "b", "base")
+    alone = pairs.where("a = b").join(index.nodes.select(F.col("hash").alias("a")), "a", "left_anti")
+    return found.unionByName(alone.select("a", "b", F.col("a").alias("base")))
 
 
 def commit_in_branch(commit_parents: DataFrame, tip: str, commit_hash: str) -> bool:
