@@ -454,3 +454,91 @@ def test_unmatched_is_a_shortest_edit():
         kept_b = [x for i, x in enumerate(b) if i not in added]
         assert kept_a == kept_b and len(kept_a) == common_length(a, b)
         assert len(kept_a) >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def random_history(seed, size=140):
+    """Parents of commits 0 to size, some with none, most with one, some with two or three; first parents in order."""
+    import random
+
+    rng = random.Random(seed)
+    parents = {}
+    for k in range(1, size):
+        count = rng.choice([0, 1, 1, 1, 1, 2, 2, 3]) if k > 1 else 1
+        near = [max(0, k - rng.randint(1, 1 + rng.choice([2, 2, 30]))) for _ in range(count)]
+        parents[f"n{k}"] = list(dict.fromkeys(f"n{p}" for p in near))
+    return parents
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ancestors_and_merge_bases(spark, seed):
+    parents = random_history(seed)
+    rows = [(child, p, k) for child, ps in parents.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "child string, parent string, ordinal int")
+    index = lineage.index_history(df)
+
+    def closure(commit):
+        found, work = set(), [commit]
+        while work:
+            c = work.pop()
+            if c not in found:
+                found.add(c)
+                work += parents.get(c, [])
+        return found
+
+    linked = {r[0] for r in rows} | {r[1] for r in rows}
+    commits = sorted(linked)[::7]
+    pairs = [(a, b) for a in commits for b in commits]
+    expected = set()
+    for a, b in pairs:
+        common = closure(a) & closure(b)
+        expected |= {(a, b, c) for c in common if not any(c in parents.get(d, []) for d in common)}
+    pairs += [("gone", "gone"), ("gone", commits[0])]
+    found = lineage.merge_bases(df, spark.createDataFrame(pairs, "a string, b string"), index).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == expected | {("gone", "gone", "gone")}
+
+    specs = [(c, n) for c in linked for n in (0, 1, 2, 3, 7, 50, 10**6)] + [("n9", -1), ("n9", None), ("gone", 0), ("gone", 1)]
+    found = lineage.ancestors(df, spark.createDataFrame(specs, "hash string, steps int"), index).collect()
+    assert len(found) == len(specs)
+    for r in found:
+        at = r.hash if r.steps is not None and r.steps >= 0 else None
+        for _ in range(min(r.steps or 0, 1000)):
+            at = parents.get(at, [None])[0] if parents.get(at) else None
+        assert r.ancestor == at, r
+
+
+def test_a_comb_of_merges_takes_few_rounds(spark):
+    """A main line of 600 commits that forks and merges at every other one: chains follow the line, not the forks."""
+    rows = []
+    for k in range(1, 600):
+        rows.append((f"m{k}", f"m{k - 1}", 0))
+        if k % 2 == 0:
+            rows += [(f"s{k}", f"m{k - 2}", 0), (f"m{k}", f"s{k}", 1)]
+    index = lineage.index_history(spark.createDataFrame(rows, "child string, parent string, ordinal int"))
+    chains = {r.hash: (r.chain, r.position) for r in index.nodes.collect()}
+    assert len({chains[f"m{k}"][0] for k in range(600)}) == 1
+    assert [chains[f"m{k}"][1] for k in range(600)] == list(range(600))
+
+
+def test_unfitting_statistic_is_left_out(spark):
+    from treeledger.operators import stats
+    from treeledger.plans import jobs
+
+    class Wants(stats.Statistic):
+        name = "wants"
+        needs = ("commits",)
+
+        def single(self, tables):
+            return tables.commits.select("no_such_column")
+
+    runs = spark.createDataFrame([("r", "20240101-120000", "snapshot", "")], "repo string, run string, run_type string, ended_at string")
+    commits = spark.createDataFrame([("r", "20240101-120000", "c", "ann")], "repo string, run string, hash string, author_name string")
+    from treeledger.operators import history
+
+    tables = stats.RunTables(history.with_labels(runs), commits=commits, commit_files=None, diff_results=None, analysis_results=None)
+    stats.register_statistic(Wants())
+    try:
+        with pytest.warns(UserWarning, match="wants"):
+            assert "wants" not in jobs.statistics_job(tables)
+    finally:
+        stats.unregister_statistic("wants")
+    assert "wants" not in stats.registered_statistics()

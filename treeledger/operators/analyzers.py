@@ -231,6 +231,11 @@ def register_analyzer(name: str, analyzer: type[Analyzer]) -> None:
     _CLASSES[name] = analyzer
 
 
+def unregister_analyzer(name: str) -> None:
+    """Forget a name again; an unknown one is no error. Rules already bound keep their analyzer."""
+    _CLASSES.pop(name, None)
+
+
 def get_analyzer(name: str, params: Mapping[str, Any] | None = None) -> Analyzer:
     """An instance of the class registered under a name."""
     return _CLASSES[name](params)

@@ -361,6 +361,11 @@ def register_statistic(statistic: Statistic) -> None:
     _STATISTICS[statistic.name] = statistic
 
 
+def unregister_statistic(name: str) -> None:
+    """Take a statistic out of the report job again; an unknown name is no error."""
+    _STATISTICS.pop(name, None)
+
+
 def registered_statistics() -> dict[str, Statistic]:
     """Registered statistics by name, in the order of registration."""
     return dict(_STATISTICS)

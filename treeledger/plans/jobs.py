@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,7 +293,8 @@ def statistics_job(
 ) -> dict[str, DataFrame]:
     """Registered statistics over all chosen runs in one go, one table per statistic.
 
-    Trends are taken over runs of one type. A statistic without a trend, or without its input table, is left out.
+    Trends are taken over runs of one type. A statistic without a trend, or without its input table, is left out, and so is, with
+    a warning, one that asks for a column that the tables lack: the report does not end with it.
     """
     chosen = tables.runs if run_type is None else history.select_runs(tables.runs, run_type)
     selected = replace(tables.of_stack(stack), runs=chosen)
@@ -303,7 +306,11 @@ def statistics_job(
     for name, statistic in (registered_statistics() if statistics is None else statistics).items():
         if any(getattr(selected, table) is None for table in statistic.needs):
             continue
-        table = statistic.trend(selected) if trend else statistic.single(selected)
+        try:
+            table = statistic.trend(selected) if trend else statistic.single(selected)
+        except AnalysisException as error:
+            warnings.warn(f"statistic {name!r} left out: {error.getMessage() or error}", stacklevel=2)
+            continue
         if table is not None:
             found[name] = table
     return found

@@ -20,6 +20,7 @@ from treeledger.operators.analyzers import (
     RegexMatchCountAnalyzer,
     bind_analyzers,
     register_analyzer,
+    unregister_analyzer,
 )
 from treeledger.plans import jobs
 from treeledger.scratch import fresh_dir
@@ -438,8 +439,11 @@ class CapitalCountAnalyzer(Analyzer):
 )
 def registered_analyzer(spark, sf):
     register_analyzer("CapitalCountAnalyzer", CapitalCountAnalyzer)
+    try:
+        bound = bind_analyzers([AnalyzerRule("Capitals", "CapitalCountAnalyzer", ("All",))])[0]
+    finally:
+        unregister_analyzer("CapitalCountAnalyzer")
     files = snapshot(spark, sf)
-    bound = bind_analyzers([AnalyzerRule("Capitals", "CapitalCountAnalyzer", ("All",))])[0]
     rows = analysis.analyze(files, blobs(spark, sf), bound).join(files, ["commit_hash", "path"])
     return rows.groupBy("commit_hash", "tech_stack").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("capitals"))
 
@@ -1089,20 +1093,22 @@ class MessageLengthStatistic(stats.Statistic):
 
 @case("SELECT 'lake' AS repo, branch AS run, CAST(sum(length(message)) AS BIGINT) AS value FROM commits GROUP BY ALL", (COMMITS,))
 def registered_statistic(spark, sf):
-    before = stats.registered_statistics()
-    stats.register_statistic(MessageLengthStatistic())
     commits = commit_graph(spark, sf, "commits").withColumns({"repo": F.lit("lake"), "run": F.col("branch")})
     runs = history.with_labels(commits.select("repo", "run", F.lit("snapshot").alias("run_type"), F.lit("").alias("ended_at")).distinct())
     tables = stats.RunTables(runs=runs, commits=commits, commit_files=None, diff_results=None, analysis_results=None)
-    new = {name: s for name, s in stats.registered_statistics().items() if name not in before or name == "message_length"}
-    return jobs.statistics_job(tables, statistics=new)["message_length"]
+    stats.register_statistic(MessageLengthStatistic())
+    try:
+        return jobs.statistics_job(tables)["message_length"]
+    finally:
+        stats.unregister_statistic("message_length")
 
 
 @case(
     "SELECT repo, run, table_name, any_value(n) AS row_count, CASE WHEN any_value(n) IS NULL THEN 'missing' ELSE 'loaded' END AS status "
     "FROM (SELECT repo, run, unnest(['commits', 'commit_files', 'diff_results', 'analysis_results']) AS table_name "
     " FROM (SELECT DISTINCT repo, run FROM run_lines) r) k LEFT JOIN ("
-    " SELECT repo, run, 'commit_files' AS table_name, count(*) AS n FROM commit_files GROUP BY ALL UNION ALL"
+    " SELECT repo, run, 'commits' AS table_name, count(*) AS n FROM run_commits GROUP BY ALL UNION ALL"
+    " SELECT repo, run, 'commit_files', count(*) FROM commit_files GROUP BY ALL UNION ALL"
     " SELECT repo, run, 'diff_results', count(*) FROM diff_results GROUP BY ALL UNION ALL"
     " SELECT repo, run, 'analysis_results', count(*) FROM analysis_results GROUP BY ALL) t USING (repo, run, table_name) "
     "GROUP BY ALL",
@@ -1112,6 +1118,7 @@ def load_report(spark, sf):
     tables = run_tables(spark, sf)
     return run_files.load_report(
         {
+            "commits": tables.commits,
             "commit_files": tables.commit_files,
             "diff_results": tables.diff_results,
             "analysis_results": tables.analysis_results,
@@ -1265,6 +1272,43 @@ def job_statistics(spark, sf):
     return table
 
 
+# -- ancestors and merge bases -------------------------------------------------------------------------------------
+
+
+@case(
+    "SELECT DISTINCT hash, CAST(steps AS BIGINT) AS steps, CASE WHEN found >= 0 THEN sha1(concat('commit ', found)) END AS ancestor FROM ("
+    " SELECT sha1(concat('commit ', event_id)) AS hash, steps, CASE WHEN steps <= event_id % 10 THEN event_id - steps "
+    "  ELSE event_id - event_id % 10 - 10 * (steps - event_id % 10) END AS found FROM ("
+    "  SELECT event_id, unnest([0, event_id % 13, event_id // 7]) AS steps FROM events) s) t",
+)
+def ancestors(spark, sf):
+    number = F.regexp_extract("message", "^change ([0-9]+)", 1).cast("bigint")
+    steps = F.explode(F.array(F.lit(0).cast("bigint"), number % 13, F.floor(number / 7))).alias("steps")
+    specs = commit_graph(spark, sf, "commits").select("hash", steps)
+    return lineage.ancestors(commit_graph(spark, sf, "commit_parents"), specs)
+
+
+ANCESTRY = """
+anc AS (
+ SELECT DISTINCT hash AS tip, hash FROM refs
+ UNION
+ SELECT a.tip, p.parent FROM anc a JOIN commit_parents p ON p.child = a.hash),
+common AS (SELECT x.tip AS a, y.tip AS b, x.hash FROM anc x JOIN anc y ON x.hash = y.hash)
+"""
+
+
+@case(
+    "SELECT a, b, hash AS base FROM common c WHERE NOT EXISTS ("
+    " SELECT 1 FROM commit_parents p JOIN common d ON d.hash = p.child WHERE p.parent = c.hash AND d.a = c.a AND d.b = c.b)",
+    (COMMITS, ANCESTRY),
+    recursive=True,
+)
+def merge_bases(spark, sf):
+    tips = commit_graph(spark, sf, "refs").select("hash").distinct()
+    pairs = tips.withColumnRenamed("hash", "a").join(tips.withColumnRenamed("hash", "b"), F.lit(True))
+    return lineage.merge_bases(commit_graph(spark, sf, "commit_parents"), pairs)
+
+
 # -- history with hunks --------------------------------------------------------------------------------------------
 
 
