@@ -11,15 +11,21 @@ from ..scratch import materialize
 from .skew import spread_join
 
 
+# Joins of rows of a few numbers look for hot keys only beyond so many rows: up to there one task can take them all.
+PLAIN_ROWS = 2_000_000
+# Below every position.
+NOT_REACHED = -(2**62)
+
+
 @dataclass(frozen=True)
 class History:
     """Commits on chains of first parents, as stored tables.
 
-    ``nodes(hash, node, chain, position)``: every commit is on one chain, whose commits are each other's first parents;
-    ``position`` is the number of first-parent steps from the root, so all ancestors of a commit on its own chain are those of
-    lower position. ``links(chain, position, parent_chain, parent_position)``: the links that leave a chain, which are those of
-    the chain's first commit and of merges. ``jumps``: tables ``node, ahead`` of the ancestor 1, 2, 4, 8, … first-parent
-    steps away, until no history is that long.
+    ``nodes(hash, node, chain, position)``: every commit is on one chain, whose commits are each other's first parents. Along a
+    chain ``position`` rises by one from parent to child and ends at 0, so all ancestors of a commit on its own chain are those
+    of lower position. ``links(chain, position, parent_chain, parent_position)``: the links that leave a chain, which are those
+    of the chain's first commit and of merges. ``jumps``: for the k-th power of 4, tables ``node, ahead1, ahead2, ahead3`` of the
+    ancestors once, twice and three times so many first-parent steps away, until no history is that long.
     """
 
     nodes: DataFrame
@@ -27,12 +33,17 @@ class History:
     jumps: tuple[DataFrame, ...]
 
 
+def _largest_key(rows: int) -> int:
+    """A bound on the rows of one key, or 0 where a join of so many short rows needs none."""
+    return rows if rows > PLAIN_ROWS else 0
+
+
 def index_history(commit_parents: DataFrame) -> History:
     """Prepare a commit graph for any number of ``reachable``, ``ancestors`` and ``merge_bases`` calls.
 
-    First parents make a forest. A commit's chain goes on to the child with the most commits above it, so a path to the root
-    changes chains at most log2(commits) times. Both the counts and the chains come from doubling steps: after k rounds every
-    commit knows its ancestor 2**k steps away and the number of commits that it is within 2**k steps of.
+    First parents make a forest. A commit is on the chain of the commit furthest above it, so long lines are not broken where
+    others fork off. After k rounds every commit knows its ancestor 4**k steps away, and the furthest commit less than 4**k
+    steps above it; so a history of depth d takes log4(d) rounds.
     """
     hashes = commit_parents.select(F.col("child").alias("hash")).union(commit_parents.select("parent")).distinct()
     nodes = materialize(hashes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -43,35 +54,32 @@ def index_history(commit_parents: DataFrame) -> History:
     links = materialize(both.select("node", F.col("parent_node").alias("parent"), order.alias("ordinal")), "links")
 
     first = links.groupBy("node").agg(F.min_by("parent", "ordinal").alias("ahead"))
-    step = nodes.select("node").join(first, "node", "left")
-    step = materialize(step.select("node", "ahead", F.lit(1).cast("bigint").alias("above"), F.when(F.col("ahead").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "jump")
+    start = nodes.select("node").join(first, "node", "left")
+    step = materialize(start.select("node", "ahead", F.lit(0).cast("bigint").alias("above"), F.col("node").alias("last")), "jump")
     size = step.count()
-    jumps = []
-    while True:
-        known = step.where("ahead IS NOT NULL")
-        if known.isEmpty():
-            break
-        jumps.append(known.select("node", "ahead"))
-        # Everything within 2**k steps below an ancestor is within 2 * 2**k of it; the ancestor's own steps are added to the depth.
-        gained = known.groupBy(F.col("ahead").alias("node")).agg(F.sum("above").alias("gained"))
-        onward = step.select(F.col("node").alias("ahead"), F.col("ahead").alias("further"), F.col("depth").alias("more"))
-        doubled = spread_join(known, onward, ["ahead"], ["node"], most=size)
-        doubled = doubled.select("node", F.col("further").alias("ahead"), "above", (F.col("depth") + F.col("more")).alias("depth"))
-        done = step.where("ahead IS NULL").select("node", F.lit(None).cast("bigint").alias("ahead"), "above", "depth")
-        total = (F.col("above") + F.coalesce("gained", F.lit(0))).alias("above")
-        step = materialize(doubled.unionByName(done).join(gained, "node", "left").select("node", "ahead", total, "depth"), "jump")
-
-    # The child that continues its parent's chain, and from every commit the way down that chain to its first commit.
-    weighed = first.join(step.select("node", "above"), "node")
-    heavy = weighed.groupBy("ahead").agg(F.max_by("node", F.struct("above", "node")).alias("node"))
-    way = materialize(nodes.select("node").join(heavy, "node", "left").select("node", F.col("node").alias("chain"), "ahead"), "chain-way")
-    while not way.where("ahead IS NOT NULL").isEmpty():
-        # A chain has one commit at each position, so no key of this join is hot.
-        onward = way.select(F.col("node").alias("ahead"), F.col("chain").alias("next_chain"), F.col("ahead").alias("further"))
-        going = way.where("ahead IS NOT NULL").select("node", "ahead").join(onward, "ahead")
-        going = going.select("node", F.col("next_chain").alias("chain"), F.col("further").alias("ahead"))
-        way = materialize(going.unionByName(way.where("ahead IS NULL")), "chain-way")
-    chains = way.select("node", "chain").join(step.select("node", F.col("depth").alias("position")), "node")
+    most = _largest_key(size)
+    jumps: list[DataFrame] = []
+    while not step.where("ahead IS NOT NULL").isEmpty():
+        stride = 4 ** len(jumps)
+        wide = step.where("ahead IS NOT NULL").withColumnRenamed("ahead", "ahead1")
+        for k in (2, 3, 4):
+            # A row already beyond its root looks for a key of its own, so that such rows do not meet in one task.
+            key = F.coalesce(f"ahead{k - 1}", -1 - F.col("node"))
+            onward = step.select(F.col("node").alias("at"), F.col("ahead").alias(f"ahead{k}"))
+            wide = spread_join(wide.withColumn("at", key), onward, ["at"], ["node"], "left", most=most).drop("at")
+        wide = materialize(wide, "jump")
+        jumps.append(wide.select("node", "ahead1", "ahead2", "ahead3"))
+        passed = [
+            F.struct(F.col(f"ahead{k}").alias("node"), F.struct((F.col("above") + k * stride).alias("above"), "last").alias("found"))
+            for k in (1, 2, 3)
+        ]
+        passed = wide.select(F.explode(F.array(*passed)).alias("p")).where("p.node IS NOT NULL")
+        gained = passed.groupBy("p.node").agg(F.max("p.found").alias("gained"))
+        furthest = F.greatest(F.struct("above", "last"), F.col("gained"))
+        onward = wide.select("node", F.col("ahead4").alias("further"))
+        joined = step.join(onward, "node", "left").join(gained, "node", "left").select("node", "further", furthest.alias("f"))
+        step = materialize(joined.select("node", F.col("further").alias("ahead"), "f.above", "f.last"), "jump")
+    chains = step.select("node", F.col("last").alias("chain"), (-F.col("above")).alias("position"))
     nodes = materialize(nodes.join(chains, "node"), "nodes")
 
     own = nodes.select("node", "chain", "position")
@@ -96,7 +104,8 @@ def reachable(
     # a tip without links is its own only ancestor
     lonely = tips.join(index.nodes, "hash", "left_anti").select(F.col("hash").alias("tip"), "hash")
     reach = reached_chains(index, tips, until)
-    named = spread_join(index.nodes.withColumnRenamed("position", "at"), reach, ["chain"], ["node"], spread_right=["tip"])
+    nodes, most, most_right = index.nodes.withColumnRenamed("position", "at"), *map(_largest_key, (index.nodes.count(), reach.count()))
+    named = spread_join(nodes, reach, ["chain"], ["node"], spread_right=["tip"], most=most, most_right=most_right)
     return named.where("at <= position").select("tip", "hash").unionByName(lonely)
 
 
@@ -105,18 +114,21 @@ def reached_chains(index: History, tips: DataFrame, until: str | None = None) ->
     starts = tips.join(index.nodes, "hash").select(F.col("hash").alias("tip"), "chain", "position")
     goal = index.nodes.where(F.col("hash") == until).select("chain", F.col("position").alias("goal")) if until else None
     # position: how far the tip reaches; known: how far before the last round.
-    fresh = F.lit(-1).cast("bigint").alias("known")
+    fresh = F.lit(NOT_REACHED).alias("known")
     reach = materialize(starts.select("tip", "chain", "position", fresh), "reach")
-    while True:
-        rising = reach.where("position > known")
-        if rising.isEmpty() or (goal is not None and not reach.join(goal, "chain").where("position >= goal").isEmpty()):
+    out = index.links.withColumnRenamed("position", "link_position")
+    most_links = _largest_key(index.links.count())
+    while rows := reach.where("position > known").count():
+        if goal is not None and not reach.join(goal, "chain").where("position >= goal").isEmpty():
             break
-        out = index.links.withColumnRenamed("position", "link_position")
-        crossed = spread_join(rising, out, ["chain"], ["tip"], spread_right=["link_position"])
+        rising, most = reach.where("position > known"), _largest_key(rows)
+        crossed = spread_join(
+            rising, out, ["chain"], ["tip"], spread_right=["link_position"], most=most, most_right=most_links
+        )
         crossed = crossed.where("link_position <= position AND link_position > known")
         entered = crossed.groupBy("tip", F.col("parent_chain").alias("chain")).agg(F.max("parent_position").alias("position"))
         old = reach.select("tip", "chain", "position", F.col("position").alias("known"))
-        both = old.unionByName(entered.withColumn("known", F.lit(-1).cast("bigint")))
+        both = old.unionByName(entered.withColumn("known", F.lit(NOT_REACHED)))
         reach = materialize(both.groupBy("tip", "chain").agg(F.max("position").alias("position"), F.max("known").alias("known")), "reach")
     return reach.select("tip", "chain", "position")
 
@@ -124,19 +136,20 @@ def reached_chains(index: History, tips: DataFrame, until: str | None = None) ->
 def ancestors(commit_parents: DataFrame, specs: DataFrame, index: History | None = None) -> DataFrame:
     """The ancestor any number of first-parent steps away: ``hash, steps, ancestor`` for ``specs(hash, steps)``.
 
-    Binary lifting: one join for each bit of the largest number of steps. The ancestor is null beyond the root, for a negative
+    One join for each digit, to base 4, of the largest number of steps. The ancestor is null beyond the root, for a negative
     number and for a null one; 0 steps are the commit itself.
     """
     index = index_history(commit_parents) if index is None else index
     specs = materialize(specs.select("hash", F.col("steps").cast("bigint").alias("steps")).distinct(), "specs")
     count = specs.count()
     at = spread_join(specs, index.nodes.select("hash", "node"), ["hash"], ["steps"], "left", most=count)
-    left_over = (F.col("steps") < 0) | (F.col("steps") >= F.lit(1 << len(index.jumps)))
-    at = at.withColumn("node", F.when(~left_over, F.col("node")))
-    for bit, jump in enumerate(index.jumps):
+    beyond = (F.col("steps") < 0) | (F.col("steps") >= F.lit(4 ** len(index.jumps)))
+    at = at.withColumn("node", F.when(~beyond, F.col("node")))
+    for k, jump in enumerate(index.jumps):
         stepped = spread_join(at, jump, ["node"], ["hash", "steps"], "left", most=count)
-        takes = F.shiftright("steps", bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
-        at = stepped.select("hash", "steps", F.when(takes, F.col("ahead")).otherwise(F.col("node")).alias("node"))
+        digit = F.shiftright("steps", 2 * k).bitwiseAND(F.lit(3).cast("bigint"))
+        moved = F.when(digit == 0, F.col("node")).when(digit == 1, F.col("ahead1")).when(digit == 2, F.col("ahead2"))
+        at = stepped.select("hash", "steps", moved.otherwise(F.col("ahead3")).alias("node"))
     named = index.nodes.select("node", F.col("hash").alias("ancestor"))
     found = spread_join(at, named, ["node"], ["hash", "steps"], "left", most=count)
     # A commit without links is not in the graph; it is its own ancestor of no steps.
