@@ -542,3 +542,24 @@ def test_unfitting_statistic_is_left_out(spark):
     finally:
         stats.unregister_statistic("wants")
     assert "wants" not in stats.registered_statistics()
+
+
+def test_renames(spark):
+    """Each file is in one rename at most; pairs of commits do not mix, and further columns stay."""
+    rows = [("p1", "a", "b", "x/1", "h", "D"), ("p1", "a", "b", "y/1", "h", "A"), ("p1", "a", "b", "y/2", "h", "A")]
+    rows += [("p2", "a", "c", "x/1", "h", "D"), ("p2", "a", "c", "z", "g", "A"), ("p2", "a", "c", "m", "k", "M")]
+    diff = spark.createDataFrame(rows, "project string, base_commit_hash string, target_commit_hash string, path string, hash string, t string")
+    zero = "0" * 40
+    diff = diff.selectExpr(
+        "project", "base_commit_hash", "target_commit_hash", "path AS base_path", "path AS target_path", "t AS diff_change_type",
+        "'s' AS base_tech_stack", "'s' AS target_tech_stack", f"IF(t = 'A', '{zero}', hash) AS base_file_hash",
+        f"IF(t = 'D', '{zero}', hash) AS target_file_hash", "CAST(NULL AS INT) AS hunk_char_count", "CAST(NULL AS INT) AS hunk_line_count",
+    )
+    found = trees.with_renames(diff)
+    assert found.columns == diff.columns
+    out = sorted((r.project, r.diff_change_type, r.base_path, r.target_path) for r in found.collect())
+    kinds = [(p, t) for p, t, _, _ in out]
+    assert kinds == [("p1", "A"), ("p1", "R"), ("p2", "A"), ("p2", "D"), ("p2", "M")]
+    renamed = [x for x in out if x[1] == "R"][0]
+    added = [x for x in out if x[:2] == ("p1", "A")][0]
+    assert renamed[2] == "x/1" and {renamed[3], added[3]} == {"y/1", "y/2"}

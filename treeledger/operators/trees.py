@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.content import ZERO_HASH
 from ..functions.paths import DEFAULT_STACKS, StackRule, extract_stack, path_kept
 from ..scratch import materialize
@@ -117,6 +118,54 @@ def tree_diff(
     )
 
 
+def with_renames(diff: DataFrame) -> DataFrame:
+    """A diff in which a deleted and an added file of one commit pair with the same content are one renamed file (``R``).
+
+    Every deleted file takes part in at most one rename, and so does every added one. Where several files have one content, they
+    are paired by rank: by the first two digits of the path's SHA-1, then by path. Ranks are counted within those digits first, so
+    a content that very many files share is not ranked in one task. Other rows stay as they are.
+    """
+    pair = [c for c in diff.columns if c in ("base_commit_hash", "target_commit_hash") or c not in schemas.DIFF_RESULTS.names]
+    one_sided = diff.where(F.col("diff_change_type").isin("A", "D"))
+    added = F.col("diff_change_type") == "A"
+    rows = one_sided.select(
+        *pair,
+        added.alias("added"),
+        F.when(added, F.col("target_path")).otherwise(F.col("base_path")).alias("path"),
+        F.when(added, F.col("target_tech_stack")).otherwise(F.col("base_tech_stack")).alias("stack"),
+        F.when(added, F.col("target_file_hash")).otherwise(F.col("base_file_hash")).alias("hash"),
+    )
+    group = [*pair, "added", "hash"]
+    rows = materialize(rows.withColumn("digits", F.left(F.sha1("path"), F.lit(2))), "one-sided")
+    counts = rows.groupBy(*group, "digits").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*group).orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "digits", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*group, "digits").orderBy("path")
+    ranked = rows.withColumn("place", F.row_number().over(inside)).join(counts, [*group, "digits"])
+    ranked = materialize(ranked.select(*group, "path", "stack", (F.col("place") + F.col("before")).alias("rank")), "ranked")
+
+    def side(is_added: bool, name: str) -> DataFrame:
+        chosen = ranked.where("added" if is_added else "NOT added")
+        return chosen.select(*pair, "hash", "rank", *[F.col(c).alias(f"{name}_{c}") for c in ("path", "stack")])
+
+    both = side(False, "base").join(side(True, "target"), [*pair, "hash", "rank"], "full_outer")
+    gone, new = F.col("base_path").isNotNull(), F.col("target_path").isNotNull()
+    found = both.select(
+        *pair,
+        F.coalesce("base_path", "target_path").alias("base_path"),
+        F.coalesce("target_path", "base_path").alias("target_path"),
+        F.when(gone & new, "R").when(new, "A").otherwise("D").alias("diff_change_type"),
+        F.when(gone, F.col("base_stack")).otherwise(F.col("target_stack")).alias("base_tech_stack"),
+        F.when(new, F.col("target_stack")).otherwise(F.col("base_stack")).alias("target_tech_stack"),
+        F.when(gone, F.col("hash")).otherwise(F.lit(ZERO_HASH)).alias("base_file_hash"),
+        F.when(new, F.col("hash")).otherwise(F.lit(ZERO_HASH)).alias("target_file_hash"),
+        F.lit(None).cast("int").alias("hunk_char_count"),
+        F.lit(None).cast("int").alias("hunk_line_count"),
+    )
+    rest = diff.where(~F.col("diff_change_type").isin("A", "D") | F.col("diff_change_type").isNull())
+    return rest.unionByName(found.select(*diff.columns))
+
+
 def diff_sides(diff: DataFrame) -> DataFrame:
     """Each diff row as a base file and a target file: ``commit_hash, path, hash, tech_stack``.
 

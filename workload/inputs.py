@@ -75,6 +75,16 @@ refs AS (
  FROM events GROUP BY event_type)
 """
 
+# Two commits between which files move, change and go; copies among the documents share one content.
+MOVED = """
+moved AS (
+ SELECT 'm0' AS commit_hash, concat('src/doc', doc_id, '.java') AS path, sha1(coalesce(text, '')) AS hash FROM documents
+ UNION ALL
+ SELECT 'm1', concat(CASE WHEN doc_id % 5 = 0 THEN 'lib' ELSE 'src' END, '/doc', doc_id, '.java'),
+        sha1(concat(coalesce(text, ''), CASE WHEN doc_id % 11 = 4 THEN '!' ELSE '' END))
+ FROM documents WHERE doc_id % 7 <> 3)
+"""
+
 # Texts with edits in mid-file, as Spark says it; the counterpart below says which lines stay. Lines are numbered, so no two are
 # equal: some are deleted, replaced or inserted, and in some documents one moves to the end.
 EDITED = r"""

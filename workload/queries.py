@@ -28,7 +28,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
+from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1309,6 +1309,29 @@ def merge_bases(spark, sf):
     return lineage.merge_bases(commit_graph(spark, sf, "commit_parents"), pairs)
 
 
+# -- renames -------------------------------------------------------------------------------------------------------
+
+
+@case(
+    f"""SELECT base_path, target_path, diff_change_type, base_file_hash, target_file_hash FROM (
+     SELECT b.path AS base_path, t.path AS target_path, 'M' AS diff_change_type, b.hash AS base_file_hash, t.hash AS target_file_hash
+     FROM moved b JOIN moved t ON b.path = t.path WHERE b.commit_hash = 'm0' AND t.commit_hash = 'm1' AND b.hash <> t.hash
+     UNION ALL
+     SELECT coalesce(d.path, a.path), coalesce(a.path, d.path),
+      CASE WHEN d.path IS NULL THEN 'A' WHEN a.path IS NULL THEN 'D' ELSE 'R' END, coalesce(d.hash, {ZERO}), coalesce(a.hash, {ZERO})
+     FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY left(sha1(path), 2), path) AS k FROM moved m
+           WHERE commit_hash = 'm0' AND path NOT IN (SELECT path FROM moved WHERE commit_hash = 'm1')) d
+     FULL JOIN (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY left(sha1(path), 2), path) AS k FROM moved m
+           WHERE commit_hash = 'm1' AND path NOT IN (SELECT path FROM moved WHERE commit_hash = 'm0')) a
+     ON a.hash = d.hash AND a.k = d.k) x""",
+    (MOVED,),
+)
+def diff_renames(spark, sf):
+    entries = derive(spark, sf, (MOVED,), "moved")
+    found = trees.with_renames(trees.tree_diff(entries, ("m0", "m1")))
+    return found.select("base_path", "target_path", "diff_change_type", "base_file_hash", "target_file_hash")
+
+
 # -- history with hunks --------------------------------------------------------------------------------------------
 
 
