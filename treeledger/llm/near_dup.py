@@ -178,8 +178,8 @@ def _fine_sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     ids = batch["id"].iloc[begin:end].iloc[full].array
                     yield pd.DataFrame({"id": ids, "sketch": [row.tobytes() for row in tokens]})
 
-    found = rows.join(wanted, "id", "left_semi").where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return found.mapInPandas(build, "id long, sketch binary").dropDuplicates(["id"])
+    found = _wanted(rows, wanted).mapInPandas(build, "id long, sketch binary")
+    return found.dropDuplicates(["id"])
 
 
 def _nodes_in(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
