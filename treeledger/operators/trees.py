@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions.content import ZERO_HASH
 from ..functions.paths import DEFAULT_STACKS, StackRule, extract_stack, path_kept
 from ..scratch import materialize
-from .skew import largest_group, spread_join
+from .skew import BROADCAST_ROWS, largest_group, spread_join
 
 
 def flatten_tree(tree_objects: DataFrame, roots: DataFrame) -> DataFrame:
@@ -101,6 +101,11 @@ def tree_diff(
     sides_of_path = joined.groupBy(*pair, "path").agg(
         F.max(F.when(on_base, F.col("entry"))).alias("b"), F.max(F.when(on_target, F.col("entry"))).alias("t")
     )
+    return _changed_files(sides_of_path, pair, stacks)
+
+
+def _changed_files(sides_of_path: DataFrame, pair: Sequence[str], stacks: Sequence[StackRule]) -> DataFrame:
+    """Diff rows of the paths whose entries ``b`` and ``t`` (hash and mode, NULL on an absent side) differ."""
     changed = sides_of_path.where(~F.col("b").eqNullSafe(F.col("t")))
     letter = F.when(F.col("b").isNull(), "A").when(F.col("t").isNull(), "D").otherwise("M")
     stack = extract_stack(F.col("path"), stacks)
@@ -118,40 +123,115 @@ def tree_diff(
     )
 
 
-def with_renames(diff: DataFrame) -> DataFrame:
-    """A diff in which a deleted and an added file of one commit pair with the same content are one renamed file (``R``).
+def nested_tree_diff(
+    tree_objects: DataFrame,
+    pairs: DataFrame,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    stacks: Sequence[StackRule] = DEFAULT_STACKS,
+) -> DataFrame:
+    """The rows of ``tree_diff`` from nested trees, descending only where two subtrees have different hashes.
 
-    Every deleted file takes part in at most one rename, and so does every added one. Where several files have one content, they
-    are paired by rank: by the first two digits of the path's SHA-1, then by path. Ranks are counted within those digits first, so
-    a content that very many files share is not ranked in one task. Other rows stay as they are.
+    ``pairs`` has ``base_commit_hash, target_commit_hash, base_tree_hash, target_tree_hash`` (the roots; further columns are kept
+    in front, a NULL root has no files). Each level is one join of the trees that differ with their entries and one grouping by
+    name, so the rows touched grow with the change and the entries next to it, and equal subtrees need not even be stored. A name
+    that is a file on one side and a folder on the other is a deleted file and added ones, or the other way round. Submodules are
+    left out. A column ``mode`` of ``tree_objects`` is compared for files.
+    """
+    children = tree_objects.where(F.col("type").isin("tree", "blob"))
+    mode = F.col("mode") if "mode" in children.columns else F.lit(None).cast("string")
+    children = children.select("tree_hash", "name", "type", F.struct(F.col("child_hash").alias("hash"), mode.alias("mode")).alias("entry"))
+    pair = [c for c in pairs.columns if c not in ("base_tree_hash", "target_tree_hash")]
+    place = [*pair, "prefix"]
+    level = pairs.withColumn("prefix", F.lit("")).where(~F.col("base_tree_hash").eqNullSafe(F.col("target_tree_hash")))
+    files = []
+    while True:
+        side = F.explode(
+            F.array(
+                F.struct(F.col("base_tree_hash").alias("tree_hash"), F.lit(False).alias("target_side")),
+                F.struct(F.col("target_tree_hash").alias("tree_hash"), F.lit(True).alias("target_side")),
+            )
+        )
+        sides = level.select(*place, side.alias("s")).select(*place, "s.tree_hash", "s.target_side").where("tree_hash IS NOT NULL")
+        sides = materialize(sides, "tree-sides")
+        if sides.isEmpty() and files:
+            return _changed_files(reduce(DataFrame.unionByName, files), pair, stacks)
+        entries = _entries_of(children, sides)
+        joined = spread_join(sides, entries, ["tree_hash"], [*place, "target_side"], spread_right=["name"], most=sides.count())
+        both = joined.groupBy(*place, "name", "type").agg(
+            F.max(F.when(~F.col("target_side"), F.col("entry"))).alias("b"), F.max(F.when(F.col("target_side"), F.col("entry"))).alias("t")
+        )
+        # a folder's own mode says nothing
+        differs = F.when(F.col("type") == "tree", ~F.col("b.hash").eqNullSafe(F.col("t.hash"))).otherwise(~F.col("b").eqNullSafe(F.col("t")))
+        step = both.where(differs).withColumn("path", F.concat("prefix", "name"))
+        step = materialize(step.select(*pair, "path", "type", "b", "t"), "tree-differences")
+        files.append(step.where((F.col("type") == "blob") & path_kept(F.col("path"), include, exclude)).select(*pair, "path", "b", "t"))
+        level = step.where(F.col("type") == "tree").select(
+            *pair,
+            F.concat("path", F.lit("/")).alias("prefix"),
+            F.col("b.hash").alias("base_tree_hash"),
+            F.col("t.hash").alias("target_tree_hash"),
+        )
+
+
+def _entries_of(children: DataFrame, sides: DataFrame) -> DataFrame:
+    """The entries of the trees at hand; while these are counted to be few, entries are chosen where they are scanned."""
+    wanted = sides.select("tree_hash").distinct()
+    if wanted.count() > BROADCAST_ROWS:
+        return children
+    return materialize(children.join(F.broadcast(wanted), "tree_hash", "left_semi"), "tree-children")
+
+
+def pair_columns(diff: DataFrame) -> list[str]:
+    """The two commits, and whatever a diff has beside its own columns."""
+    return [c for c in diff.columns if c in ("base_commit_hash", "target_commit_hash") or c not in schemas.DIFF_RESULTS.names]
+
+
+def one_sided_files(diff: DataFrame) -> DataFrame:
+    """Added and deleted files of a diff: ``pair, added, path, stack, hash``.
+
+    ``pair`` holds the columns of the pair as one value, in which NULL equals NULL when it is joined.
     """
-    pair = [c for c in diff.columns if c in ("base_commit_hash", "target_commit_hash") or c not in schemas.DIFF_RESULTS.names]
-    one_sided = diff.where(F.col("diff_change_type").isin("A", "D"))
     added = F.col("diff_change_type") == "A"
-    rows = one_sided.select(
-        *pair,
+    return diff.where(F.col("diff_change_type").isin("A", "D")).select(
+        F.struct(*pair_columns(diff)).alias("pair"),
         added.alias("added"),
         F.when(added, F.col("target_path")).otherwise(F.col("base_path")).alias("path"),
         F.when(added, F.col("target_tech_stack")).otherwise(F.col("base_tech_stack")).alias("stack"),
         F.when(added, F.col("target_file_hash")).otherwise(F.col("base_file_hash")).alias("hash"),
     )
-    group = [*pair, "added", "hash"]
+
+
+def ranked_files(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Files numbered from 1 within their group (``rank``), by the first two digits of the path's SHA-1, then by path.
+
+    Ranks are counted within those digits first, so a group of very many files is not ranked in one task.
+    """
     rows = materialize(rows.withColumn("digits", F.left(F.sha1("path"), F.lit(2))), "one-sided")
     counts = rows.groupBy(*group, "digits").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(*group).orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*group, "digits", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*group, "digits").orderBy("path")
     ranked = rows.withColumn("place", F.row_number().over(inside)).join(counts, [*group, "digits"])
-    ranked = materialize(ranked.select(*group, "path", "stack", (F.col("place") + F.col("before")).alias("rank")), "ranked")
+    return materialize(ranked.select(*group, "path", "stack", (F.col("place") + F.col("before")).alias("rank")), "ranked")
+
+
+def with_renames(diff: DataFrame) -> DataFrame:
+    """A diff in which a deleted and an added file of one commit pair with the same content are one renamed file (``R``).
+
+    Every deleted file takes part in at most one rename, and so does every added one. Where several files have one content, they
+    are paired by rank (``ranked_files``). Other rows stay as they are.
+    """
+    ranked = ranked_files(one_sided_files(diff), ["pair", "added", "hash"])
 
     def side(is_added: bool, name: str) -> DataFrame:
         chosen = ranked.where("added" if is_added else "NOT added")
-        return chosen.select(*pair, "hash", "rank", *[F.col(c).alias(f"{name}_{c}") for c in ("path", "stack")])
+        return chosen.select("pair", "hash", "rank", *[F.col(c).alias(f"{name}_{c}") for c in ("path", "stack")])
 
-    both = side(False, "base").join(side(True, "target"), [*pair, "hash", "rank"], "full_outer")
+    both = side(False, "base").join(side(True, "target"), ["pair", "hash", "rank"], "full_outer")
     gone, new = F.col("base_path").isNotNull(), F.col("target_path").isNotNull()
     found = both.select(
-        *pair,
+        "pair.*",
         F.coalesce("base_path", "target_path").alias("base_path"),
         F.coalesce("target_path", "base_path").alias("target_path"),
         F.when(gone & new, "R").when(new, "A").otherwise("D").alias("diff_change_type"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from treeledger.scratch import materialize
@@ -243,6 +244,23 @@ tree_objects AS (
 """
 
 
+# Two commits with folders of ten documents within folders of fifty: in most of them nothing changes. Some files change or go, some
+# turn into folders, and benchmark items come in folders of their own.
+NESTS = """
+placed AS (
+ SELECT doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS part, sha1(coalesce(text, '')) AS hash,
+        concat('src/m', CAST(floor(doc_id / 50) AS BIGINT), '/p', CAST(floor(doc_id / 10) AS BIGINT), '/doc', doc_id, '.java') AS path
+ FROM documents),
+nests AS (
+ SELECT 'n0' AS commit_hash, path, hash FROM placed
+ UNION ALL
+ SELECT 'n1', CASE WHEN part % 3 = 1 AND doc_id % 23 = 5 THEN concat(path, '/part.py') ELSE path END,
+        CASE WHEN part % 3 = 1 AND doc_id % 7 = 0 THEN sha1(concat('changed ', doc_id)) ELSE hash END
+ FROM placed WHERE NOT (part % 5 = 2 AND doc_id % 11 = 0)
+ UNION ALL
+ SELECT 'n1', concat('bench/k', item_id % 4, '/item', item_id, '.ipynb'), sha1(coalesce(text, '')) FROM benchmark)
+"""
+
 _schemas: dict[str, StructType] = {}
 
 
@@ -284,6 +302,30 @@ def _fingerprint(spark: SparkSession, folder: str, table: str) -> tuple:
     return tuple(sorted(tuple(row) for row in files.select("path", "length", "modificationTime").collect()))
 
 
+def nested_objects(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tree objects of flat ``commit_hash, path, hash``, equal folders stored once, and each commit's root tree.
+
+    A folder's hash comes from sums over its entries, so folders of any number of files are hashed in parts.
+    """
+    entries = materialize(entries.select("commit_hash", F.split("path", "/").alias("names"), "hash"), "flat-files")
+    deepest = entries.agg(F.max(F.size("names"))).first()[0] or 0
+    made, above = None, None
+    for depth in range(deepest, 0, -1):
+        level = entries.where(F.size("names") == depth).select("commit_hash", "names", F.lit("blob").alias("type"), "hash")
+        level = level if above is None else level.unionByName(above)
+        folder = F.slice("names", 1, depth - 1).alias("folder")
+        level = level.select("commit_hash", folder, F.element_at("names", -1).alias("name"), "type", "hash")
+        level = materialize(level, "nested-level")
+        halves = [F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "name", "type", "hash"))) for seed in (1, 2)]
+        trees = level.groupBy("commit_hash", "folder").agg(F.concat(*halves).alias("tree_hash"))
+        found = level.join(trees, ["commit_hash", "folder"]).select("tree_hash", "name", "type", F.col("hash").alias("child_hash"))
+        made = found if made is None else made.unionByName(found)
+        above = trees.select("commit_hash", F.col("folder").alias("names"), F.lit("tree").alias("type"), F.col("tree_hash").alias("hash"))
+    if made is None:
+        raise ValueError("no files")
+    return materialize(made.distinct(), "tree-objects"), above.select("commit_hash", F.col("hash").alias("tree_hash"))
+
+
 def oracle(parts: tuple[str, ...], query: str, recursive: bool = False) -> str:
     """The counterpart for DuckDB: the same derivations, then the query."""
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {query}" if parts else query

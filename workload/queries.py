@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from treeledger import schemas
 from treeledger.functions import content as content_functions
 from treeledger.functions import paths
-from treeledger.operators import analysis, history, lineage, lines, stats, trees
+from treeledger.operators import analysis, history, lineage, lines, renames, stats, trees
 from treeledger.operators.analyzers import (
     JAVA_CLASS_PATTERN,
     Analyzer,
@@ -28,7 +28,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, ORDER_TREES, RUN_LINES, RUNS, derive, oracle, read_table
+from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, NESTS, ORDER_TREES, RUN_LINES, RUNS, derive, nested_objects, oracle, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1332,6 +1332,60 @@ def diff_renames(spark, sf):
     return found.select("base_path", "target_path", "diff_change_type", "base_file_hash", "target_file_hash")
 
 
+def _edited_and_moved(spark, sf):
+    """The edited texts, of which every third file moves as well, and two commits of their trees."""
+    edited = derive(spark, sf, (EDITED,), "edited")
+    moves = (F.col("commit_hash") == "v1") & (F.pmod(F.xxhash64("path"), F.lit(3)) == 0)
+    path = F.when(moves, F.regexp_replace("path", "^src/", "lib/")).otherwise(F.col("path"))
+    entries = edited.select("commit_hash", path.alias("path"), F.lit("100644").alias("mode"), "hash")
+    blobs = edited.groupBy("hash").agg(F.encode(F.min("content"), "UTF-8").alias("content"))
+    return entries, blobs
+
+
+@case()
+def diff_similar_renames(spark, sf):
+    entries, blobs = _edited_and_moved(spark, sf)
+    found = renames.with_similar_renames(trees.tree_diff(entries, ("v0", "v1")), blobs)
+    return found.select("base_path", "target_path", "diff_change_type", "base_file_hash", "target_file_hash")
+
+
+@case(
+    f"""SELECT coalesce(s.path, a.path) AS base_path, a.path AS target_path, CASE WHEN s.path IS NULL THEN 'A' ELSE 'C' END AS
+     diff_change_type, CASE WHEN s.path IS NULL THEN {ZERO} ELSE a.hash END AS base_file_hash, a.hash AS target_file_hash,
+     {sql_extract_stack('coalesce(s.path, a.path)')} AS base_tech_stack
+    FROM (SELECT * FROM moved m WHERE commit_hash = 'm1' AND path NOT IN (SELECT path FROM moved WHERE commit_hash = 'm0')) a
+    LEFT JOIN (SELECT hash, min(path) AS path FROM moved WHERE commit_hash = 'm0' GROUP BY hash) s ON s.hash = a.hash""",
+    (MOVED,),
+)
+def diff_copies(spark, sf):
+    entries = derive(spark, sf, (MOVED,), "moved")
+    found = renames.with_copies(trees.tree_diff(entries, ("m0", "m1")), entries).where(F.col("diff_change_type").isin("A", "C"))
+    return found.select("base_path", "target_path", "diff_change_type", "base_file_hash", "target_file_hash", "base_tech_stack")
+
+
+# -- nested trees --------------------------------------------------------------------------------------------------
+
+
+@case(
+    "SELECT 'n0' AS base_commit_hash, 'n1' AS target_commit_hash, coalesce(b.path, t.path) AS path, CASE WHEN b.path IS NULL THEN 'A' "
+    f"WHEN t.path IS NULL THEN 'D' ELSE 'M' END AS diff_change_type, {sql_extract_stack('coalesce(b.path, t.path)')} AS tech_stack, "
+    f"coalesce(b.hash, {ZERO}) AS base_file_hash, coalesce(t.hash, {ZERO}) AS target_file_hash "
+    "FROM (SELECT * FROM nests WHERE commit_hash = 'n0') b FULL JOIN (SELECT * FROM nests WHERE commit_hash = 'n1') t ON b.path = t.path "
+    "WHERE b.hash IS DISTINCT FROM t.hash",
+    (NESTS,),
+)
+def nested_tree_diff(spark, sf):
+    objects, roots = nested_objects(derive(spark, sf, (NESTS,), "nests"))
+    ends = {
+        name: roots.where(F.col("commit_hash") == commit).selectExpr(f"commit_hash AS {name}_commit_hash", f"tree_hash AS {name}_tree_hash")
+        for name, commit in (("base", "n0"), ("target", "n1"))
+    }
+    pairs = ends["base"].join(ends["target"], F.lit(True))
+    found = trees.nested_tree_diff(objects, pairs)
+    names = ("base_commit_hash", "target_commit_hash", "base_path", "diff_change_type", "base_tech_stack", "base_file_hash", "target_file_hash")
+    return found.select(*names).withColumnsRenamed({"base_path": "path", "base_tech_stack": "tech_stack"})
+
+
 # -- history with hunks --------------------------------------------------------------------------------------------
 
 
