@@ -67,8 +67,8 @@ _SCRIPT_OF_RANGE = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORDS.findall(text.lower())
+    """Runs of letters, lower-cased; superscripts, fractions and other numbers written as signs count only beside a letter."""
+    return [word for word in _WORDS.findall(text.lower()) if word.isalpha() or any(map(str.isalpha, word))]
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
