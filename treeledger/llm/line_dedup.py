@@ -149,9 +149,14 @@ def line_deletions(docs: DataFrame, every_line: bool = False) -> DataFrame:
 
 def without_lines(text: Column, deleted: Column) -> Column:
     """A text without some of its lines."""
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
-    return F.when(deleted.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+
+    def kept(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
+        return F.array_join(F.transform(numbers, lambda k: F.get(lines, k)), "\n")
+
+    # As a variable of the outer function the lines are split once, not for every line.
+    found = F.get(F.transform(F.array(F.split(text, "\n", -1)), kept), 0)
+    return F.when(deleted.isNull(), text).otherwise(found)
 
 
 def dedup_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
