@@ -23,7 +23,7 @@ from treeledger.operators.analyzers import (
     unregister_analyzer,
 )
 from treeledger.plans import jobs
-from treeledger.scratch import fresh_dir
+from treeledger.scratch import fresh_dir, materialize
 from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
@@ -852,6 +852,39 @@ def unique_authors_trend(spark, sf):
     return stats.unique_authors_trend(run_tables(spark, sf))
 
 
+AUTHORS_OVER = """
+SELECT run_group, count(DISTINCT c.author_name) AS value FROM (
+ SELECT repo, run, unnest([concat('repo ', repo), 'month ' || strftime(trend_ts, '%Y-%m'), 'all']) AS run_group FROM labelled) g
+LEFT JOIN diff_results d ON d.repo = g.repo AND d.run = g.run
+LEFT JOIN run_commits c ON c.repo = d.repo AND c.run = d.run AND c.hash = d.target_commit_hash
+WHERE run_group IS NOT NULL GROUP BY run_group"""
+
+
+def _run_groups(tables):
+    """Every run in the groups of its repository, its month and all runs."""
+    month = F.concat(F.lit("month "), F.date_format("trend_ts", "yyyy-MM"))
+    group = F.explode(F.array(F.concat(F.lit("repo "), "repo"), month, F.lit("all"))).alias("group")
+    return tables.runs.select("repo", "run", group).where(F.col("group").isNotNull())
+
+
+@case(AUTHORS_OVER, STAT_PARTS)
+def unique_authors_over_runs(spark, sf):
+    tables = run_tables(spark, sf)
+    return stats.unique_authors_over(tables, _run_groups(tables)).withColumnRenamed("group", "run_group")
+
+
+@case(AUTHORS_OVER.replace("SELECT run_group, count(DISTINCT c.author_name) AS value", "SELECT run_group, true AS close", 1), STAT_PARTS)
+def unique_authors_by_sketches(spark, sf):
+    """Whether the estimate of each group is within 5 % of the count, three times the standard error, or one author."""
+    tables = run_tables(spark, sf)
+    groups = _run_groups(tables)
+    sketches = materialize(stats.author_sketches(tables), "author-sketches")
+    estimated = stats.unique_authors_estimate(sketches, groups).withColumnRenamed("value", "estimate")
+    both = estimated.join(stats.unique_authors_over(tables, groups), "group")
+    close = F.abs(F.col("estimate") - F.col("value")) <= F.greatest(F.lit(1.0), F.col("value") * 0.05)
+    return both.select(F.col("group").alias("run_group"), close.alias("close"))
+
+
 @case("SELECT repo, run, path, commit_hash, count AS char_count FROM chars", (*STAT_PARTS, CHARS))
 def load_char_counts(spark, sf):
     return stats.load_char_counts(run_tables(spark, sf)).withColumnRenamed("count", "char_count")
