@@ -86,8 +86,12 @@ def _trend(values: DataFrame, runs: DataFrame, columns: Sequence[str]) -> DataFr
 
 def record_count_trend(tables: RunTables) -> DataFrame:
     """Record counts over time; runs without a time or a count are left out."""
-    values = record_count(tables).where(F.col("value").isNotNull())
-    return _trend(values, tables.runs, ["value"]).orderBy("repo", "timestamp", "run")
+    return _record_counts_over_time(record_count(tables), tables.runs)
+
+
+def _record_counts_over_time(values: DataFrame, runs: DataFrame) -> DataFrame:
+    known = values.where(F.col("value").isNotNull())
+    return _trend(known, runs, ["value"]).orderBy("repo", "timestamp", "run")
 
 
 def diff_change_counts(tables: RunTables) -> DataFrame:
@@ -107,8 +111,11 @@ def diff_change_counts(tables: RunTables) -> DataFrame:
 
 def diff_change_trend(tables: RunTables) -> DataFrame:
     """Added, changed and deleted files over time."""
-    names = ["added", "changed", "deleted"]
-    return _trend(diff_change_counts(tables), tables.runs, names).orderBy("repo", "timestamp", "run")
+    return _changes_over_time(diff_change_counts(tables), tables.runs)
+
+
+def _changes_over_time(values: DataFrame, runs: DataFrame) -> DataFrame:
+    return _trend(values, runs, ["added", "changed", "deleted"]).orderBy("repo", "timestamp", "run")
 
 
 def unique_authors(tables: RunTables) -> DataFrame:
@@ -173,7 +180,11 @@ def _every_group(groups: DataFrame, values: DataFrame) -> DataFrame:
 
 def unique_authors_trend(tables: RunTables) -> DataFrame:
     """Distinct authors with the display label of the run, oldest first; runs without a time stay."""
-    labelled = unique_authors(tables).join(tables.runs.select(*RUN, "display_label", "trend_ts"), RUN)
+    return _authors_over_time(unique_authors(tables), tables.runs)
+
+
+def _authors_over_time(values: DataFrame, runs: DataFrame) -> DataFrame:
+    labelled = values.join(runs.select(*RUN, "display_label", "trend_ts"), RUN)
     ordered = labelled.orderBy("repo", F.col("trend_ts").asc_nulls_first(), "run")
     return ordered.select(*RUN, F.col("display_label").alias("label"), "value")
 
@@ -344,6 +355,10 @@ class Statistic:
     def single(self, tables: RunTables) -> DataFrame:
         raise NotImplementedError
 
+    def trend_of(self, values: DataFrame, runs: DataFrame) -> DataFrame | None:
+        """The trend from the rows of ``single``, fresh or stored, and the labelled runs."""
+        return None
+
     def trend(self, tables: RunTables) -> DataFrame | None:
         return None
 
@@ -356,6 +371,9 @@ class RecordCountStatistic(Statistic):
     def single(self, tables: RunTables) -> DataFrame:
         return record_count(tables)
 
+    def trend_of(self, values: DataFrame, runs: DataFrame) -> DataFrame:
+        return _record_counts_over_time(values, runs)
+
     def trend(self, tables: RunTables) -> DataFrame:
         return record_count_trend(tables)
 
@@ -369,6 +387,9 @@ class DiffFileChangeCountStatistic(Statistic):
     def single(self, tables: RunTables) -> DataFrame:
         return diff_change_counts(tables)
 
+    def trend_of(self, values: DataFrame, runs: DataFrame) -> DataFrame:
+        return _changes_over_time(values, runs)
+
     def trend(self, tables: RunTables) -> DataFrame:
         return diff_change_trend(tables)
 
@@ -382,6 +403,9 @@ class UniqueAuthorsStatistic(Statistic):
     def single(self, tables: RunTables) -> DataFrame:
         return unique_authors(tables)
 
+    def trend_of(self, values: DataFrame, runs: DataFrame) -> DataFrame:
+        return _authors_over_time(values, runs)
+
     def trend(self, tables: RunTables) -> DataFrame:
         return unique_authors_trend(tables)
 

@@ -21,6 +21,7 @@ DATABASE_TABLES = {
     "git_commit": schemas.COMMITS,
 }
 
+RUN = ["repo", "run"]
 # Bound on the rows of one output file, so that no reading task gets an unbounded file.
 FILE_ROWS = 1_000_000
 
@@ -75,11 +76,18 @@ def write_csv(df: DataFrame, path: str, append: bool = False, rows_from: DataFra
     return True
 
 
-def write_run_parquet(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_run_parquet(df: DataFrame, path: str, mode: str = "append", buckets: int | None = None) -> None:
     """Rows of many runs, partitioned by repo and run.
 
-    The rebalancing groups rows by run and splits a run that is too large for one task.
+    The rebalancing groups rows by run and splits a run that is too large for one task. Where there are more runs than a
+    folder each is good for, ``buckets`` deals them over so many folders, sorted by repo and run, so that choosing runs skips
+    row groups instead.
     """
+    if buckets is not None:
+        bucket = F.pmod(F.xxhash64("repo", "run"), F.lit(buckets))
+        dealt = df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *RUN)
+        dealt.write.mode(mode).partitionBy("bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+        return
     balanced = df.hint("rebalance", F.col("repo"), F.col("run"))
     balanced.write.mode(mode).partitionBy("repo", "run").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 

@@ -22,7 +22,7 @@ from treeledger.operators.analyzers import (
     register_analyzer,
     unregister_analyzer,
 )
-from treeledger.plans import jobs
+from treeledger.plans import increments, jobs
 from treeledger.scratch import fresh_dir, materialize
 from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
@@ -1039,21 +1039,13 @@ def read_reordered_csv(spark, sf):
 def parquet_round_trip(spark, sf):
     base = fresh_dir(spark, "parquet")
     rows = derive(spark, sf, RUN_PARTS, "analysis_results")
-    by_type = rows.withColumns({"run": F.concat(F.lit("r"), F.left(F.sha1("run"), F.lit(1))), "real_run": F.col("run")})
-    # the run goes through the content column, so that a few large runs are written instead of one per order
-    packed = by_type.withColumns(
-        {"content": F.concat_ws("|", "repo", "real_run"), "repo": F.lit("all")}
-    ).select("repo", "run", *schemas.ANALYSIS_RESULTS.names)
-    sinks.write_run_parquet(packed, f"{base}/analysis_results")
-    back = run_files.read_run_parquet(spark, base, "analysis_results")
-    return back.select(
-        F.split_part("content", F.lit("|"), F.lit(1)).alias("repo"),
-        F.split_part("content", F.lit("|"), F.lit(2)).alias("run"),
-        "path",
-        "commit_hash",
-        "analyzer_type",
-        F.col("count").alias("value"),
+    sinks.write_run_parquet(
+        rows.select("repo", "run", *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ANALYSIS_RESULTS]),
+        f"{base}/analysis_results",
+        buckets=16,
     )
+    back = run_files.read_run_parquet(spark, base, "analysis_results")
+    return back.select("repo", "run", "path", "commit_hash", "analyzer_type", F.col("count").alias("value"))
 
 
 @case("SELECT hash, author_name FROM commits WHERE branch NOT IN ('view', 'click')", (COMMITS,))
@@ -1305,6 +1297,42 @@ def job_statistics(spark, sf):
     return table
 
 
+@case(
+    "SELECT 'record_count' AS statistic, branch AS run, count(*) AS value FROM commits GROUP BY ALL UNION ALL "
+    "SELECT 'unique_authors', branch, count(DISTINCT author_name) FROM commits GROUP BY ALL UNION ALL "
+    "SELECT 'diff_change_counts', branch, count(*) FROM commits GROUP BY ALL",
+    (COMMITS,),
+)
+def statistics_of_new_runs(spark, sf):
+    """Runs come in three steps, each followed by an update of the store: one is added to, one comes last, one step brings nothing."""
+    base, store = fresh_dir(spark, "arriving"), fresh_dir(spark, "statistics")
+    commits = commit_graph(spark, sf, "commits")
+    kind = F.when(F.length("author_name") % 2 == 0, "A").otherwise("M").alias("diff_change_type")
+    rows = commits.select("branch", "hash", kind, F.col("hash").alias("target_commit_hash"), F.col("hash").alias("target_path"), F.col("author_name").alias("author"))
+    early = F.pmod(F.xxhash64("hash"), F.lit(2)) == 0
+    branches = [r.name for r in commit_graph(spark, sf, "refs").select("name").orderBy("name").collect()]
+    last = branches[-1]
+
+    def write(name: str, chosen: Column) -> None:
+        run = f"{base}/lake/runs/{name}"
+        sinks.write_csv(rows.where((F.col("branch") == name) & chosen).drop("branch", "hash"), f"{run}/data/diff_results.csv", append=True)
+        sinks.write_csv(commits.where((F.col("branch") == name) & chosen), f"{run}/data/commits.csv", append=True)
+        sinks.write_manifest(spark.range(1).select(F.lit("diff").alias("run_type")), f"{run}/run.json")
+
+    statistics = {n: s for n, s in stats.registered_statistics().items() if n in ("record_count", "diff_change_counts", "unique_authors")}
+    for name in branches[:-1]:
+        write(name, early if name == branches[0] else F.lit(True))
+    increments.update_statistics(spark, base, store, statistics=statistics)
+    write(branches[0], ~early)
+    write(last, F.lit(True))
+    increments.update_statistics(spark, base, store, statistics=statistics)
+    increments.update_statistics(spark, base, store, statistics=statistics)
+    found = {name: increments.stored_statistic(spark, store, name) for name in statistics}
+    values = {"record_count": F.col("value"), "unique_authors": F.col("value"), "diff_change_counts": F.col("added") + F.col("changed") + F.col("deleted")}
+    parts = [found[n].select(F.lit(n).alias("statistic"), "run", v.cast("bigint").alias("value")) for n, v in values.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # -- ancestors and merge bases -------------------------------------------------------------------------------------
 
 
