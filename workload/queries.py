@@ -28,7 +28,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, NESTS, ORDER_TREES, RUN_LINES, RUNS, derive, nested_objects, oracle, read_table
+from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, NESTS, ORDER_TREES, RUN_LINES, RUN_TABLES, RUNS, derive, nested_objects, oracle, pick, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -172,9 +172,16 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
     return derive(spark, sf, (RUNS,), "runs")
 
 
+def run_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return derive(spark, sf, RUN_PARTS, "run_lines")
+
+
 def run_tables(spark: SparkSession, sf: str) -> stats.RunTables:
+    """The tables of all runs: the manifest and the lines are stored, the rest is picked from the lines as it is read."""
+    rows = run_lines(spark, sf)
+
     def table(name: str) -> DataFrame:
-        return derive(spark, sf, RUN_PARTS, name)
+        return pick(spark, (RUN_TABLES,), name, run_lines=rows)
 
     return stats.RunTables(
         history.with_labels(run_rows(spark, sf)),
@@ -244,13 +251,13 @@ def path_filter(spark, sf):
 
 @case(f"SELECT repo, run, path, {sql_extract_stack('path')} AS tech_stack FROM run_lines", RUN_PARTS)
 def stack_extract(spark, sf):
-    rows = derive(spark, sf, RUN_PARTS, "run_lines")
+    rows = run_lines(spark, sf)
     return rows.select("repo", "run", "path", paths.extract_stack(F.col("path")).alias("tech_stack"))
 
 
 @case(f"SELECT repo, run, path, {sql_report_stack('path')} AS tech_stack FROM run_lines", RUN_PARTS)
 def stack_dashboard(spark, sf):
-    rows = derive(spark, sf, RUN_PARTS, "run_lines")
+    rows = run_lines(spark, sf)
     return rows.select("repo", "run", "path", paths.report_stack(F.col("path")).alias("tech_stack"))
 
 
@@ -283,7 +290,7 @@ def filter_by_stack(spark, sf):
 )
 def normalize_paths(spark, sf):
     line = F.col("line")
-    rows = derive(spark, sf, RUN_PARTS, "run_lines").select(
+    rows = run_lines(spark, sf).select(
         "repo",
         "run",
         F.when(line == 1, F.concat(F.lit("/"), "path", F.lit("/")))
@@ -710,7 +717,7 @@ def run_history(spark, sf):
     STAT_PARTS,
 )
 def run_history_with_data(spark, sf):
-    data = derive(spark, sf, RUN_PARTS, "run_lines")
+    data = run_lines(spark, sf)
     return history.load_history(run_rows(spark, sf), limit=5, with_data=data).select("repo", "run")
 
 
@@ -1038,7 +1045,7 @@ def read_reordered_csv(spark, sf):
 @case("SELECT repo, run, path, commit_hash, analyzer_type, count AS value FROM analysis_results", RUN_PARTS)
 def parquet_round_trip(spark, sf):
     base = fresh_dir(spark, "parquet")
-    rows = derive(spark, sf, RUN_PARTS, "analysis_results")
+    rows = pick(spark, (RUN_TABLES,), "analysis_results", run_lines=run_lines(spark, sf))
     sinks.write_run_parquet(
         rows.select("repo", "run", *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ANALYSIS_RESULTS]),
         f"{base}/analysis_results",
