@@ -20,8 +20,16 @@ NULL_PARTS = 64
 BROADCAST_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The hot keys of a table with the number of parts for each (``_parts``), from one aggregation of its key columns."""
+def hot_keys(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """The hot keys of a table with the number of parts for each (``_parts``), from one aggregation of its key columns.
+
+    ``within`` names some of the keys: only rows of those that are hot by themselves are then grouped by all keys.
+    """
+    if within:
+        large = hot_keys(df, within)
+        if large.isEmpty():
+            return large.select(*[large[k] if k in within else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "_parts")
+        df = df.join(large.select(*within), list(within), "left_semi")
     return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows")
 
 

@@ -902,7 +902,7 @@ def load_char_counts(spark, sf):
 )
 def diff_metadata(spark, sf):
     tables = run_tables(spark, sf)
-    rows = stats.attach_diff_metadata(stats.load_char_counts(tables), tables.diff_results)
+    rows = stats.attach_diff_metadata(stats.load_char_counts(tables), tables.diff_results, stats.hot_paths(tables))
     return stats.largest_per_path(rows).withColumnRenamed("count", "char_count")
 
 
