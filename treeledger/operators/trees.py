@@ -98,7 +98,8 @@ def tree_diff(
             {"base_commit_hash": F.lit(base), "target_commit_hash": F.lit(target)}
         )
         on_base, on_target = F.col("commit_hash") == base, F.col("commit_hash") == target
-    sides_of_path = joined.groupBy(*pair, "path").agg(
+    # A path has one row a side, so nothing is combined before the shuffle: aggregates of structs would sort all rows there.
+    sides_of_path = joined.repartition(*pair, "path").groupBy(*pair, "path").agg(
         F.max(F.when(on_base, F.col("entry"))).alias("b"), F.max(F.when(on_target, F.col("entry"))).alias("t")
     )
     return _changed_files(sides_of_path, pair, stacks)
