@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .skew import spread_join
+from .skew import HOT_FLOOR, hot_keys, spread_join
 
 
 # Joins of rows of a few numbers look for hot keys only beyond so many rows: up to there one task can take them all.
 PLAIN_ROWS = 2_000_000
+# Forests of more commits are made smaller before every commit follows its own links.
+PLAIN_NODES = 200_000
 # Below every position.
 NOT_REACHED = -(2**62)
 
@@ -21,16 +25,58 @@ NOT_REACHED = -(2**62)
 class History:
     """Commits on chains of first parents, as stored tables.
 
-    ``nodes(hash, node, chain, position)``: every commit is on one chain, whose commits are each other's first parents. Along a
+    ``nodes(hash, node, chain, position, bottom, c, e)``: every commit is on one chain, whose commits are each other's first parents. Along a
     chain ``position`` rises by one from parent to child and ends at 0, so all ancestors of a commit on its own chain are those
     of lower position. ``links(chain, position, parent_chain, parent_position)``: the links that leave a chain, which are those
-    of the chain's first commit and of merges. ``jumps``: for the k-th power of 4, tables ``node, ahead1, ahead2, ahead3`` of the
-    ancestors once, twice and three times so many first-parent steps away, until no history is that long.
+    of the chain's first commit and of merges. ``ups(chain, bottom, c, e, s)``: where the first parent of a chain's lowest commit,
+    at ``bottom``, is: on chain ``c`` at position ``e``, ``s`` = 1 step away. Chains that end at a root are not in it. ``nodes`` says
+    the same of every commit's chain.
     """
 
     nodes: DataFrame
     links: DataFrame
-    jumps: tuple[DataFrame, ...]
+    ups: DataFrame
+
+    @cached_property
+    def lifts(self) -> tuple[DataFrame, ...]:
+        """For the k-th power of 4, the chains once, twice and three times so many chains below: ``chain, bottom, c1, e1, s1, …, s3``.
+
+        ``s`` counts the steps from the chain's lowest commit to the one at position ``e`` of that chain. Only chains that others end
+        on are in it: the first chain below its own every commit knows.
+        """
+        ended_on = self.ups.select(F.col("c").alias("chain")).distinct()
+        step, lifts = materialize(self.ups.join(ended_on, "chain", "left_semi"), "ups"), []
+        while not step.isEmpty():
+            most = _largest_key(step.count())
+            wide = step.withColumnsRenamed({"c": "c1", "e": "e1", "s": "s1"})
+            onward = step.withColumnsRenamed({"chain": "at", "bottom": "floor"})
+            for k in (2, 3, 4):
+                # A chain already beyond its root looks for a key of its own, so that such rows do not meet in one task.
+                keyed = wide.withColumn("at", F.coalesce(f"c{k - 1}", -1 - F.col("chain")))
+                joined = spread_join(keyed, onward, ["at"], ["chain"], "left", most=most)
+                steps = F.col(f"s{k - 1}") + F.col(f"e{k - 1}") - F.col("floor") + F.col("s")
+                wide = joined.withColumn("s", steps).withColumnsRenamed({n: f"{n}{k}" for n in "ces"}).drop("at", "floor")
+            wide = materialize(wide, "lift")
+            lifts.append(wide.drop("c4", "e4", "s4"))
+            step = wide.where("c4 IS NOT NULL").select("chain", "bottom", *[F.col(f"{n}4").alias(n) for n in "ces"])
+        return tuple(lifts)
+
+    @cached_property
+    def jumps(self) -> tuple[DataFrame, ...]:
+        """For the k-th power of 4, the ancestors once, twice and three times so many first-parent steps away, until no history is
+        that long: ``node, ahead1, ahead2, ahead3``, made as they are read.
+        """
+        longest = self.nodes.agg(F.max(-F.col("position"))).first()[0] or 0
+        jumps = []
+        while 4 ** len(jumps) <= longest:
+            strides = F.explode(F.array(*[F.lit(k * 4 ** len(jumps)).cast("bigint") for k in (1, 2, 3)]))
+            asked = self.nodes.drop("hash").withColumn("steps", strides)
+            places = climb(self, asked.withColumn("left", F.col("steps")), ["node", "steps"]).drop("chain", "position")
+            ends = self.nodes.select(F.col("node").alias("ahead"), F.col("chain").alias("to_chain"), F.col("position").alias("to_position"))
+            found = places.join(ends, ["to_chain", "to_position"]).groupBy("node")
+            each = [F.max(F.when(F.col("steps") == k * 4 ** len(jumps), F.col("ahead"))).alias(f"ahead{k}") for k in (1, 2, 3)]
+            jumps.append(found.agg(*each))
+        return tuple(jumps)
 
 
 def _largest_key(rows: int) -> int:
@@ -41,52 +87,148 @@ def _largest_key(rows: int) -> int:
 def index_history(commit_parents: DataFrame) -> History:
     """Prepare a commit graph for any number of ``reachable``, ``ancestors`` and ``merge_bases`` calls.
 
-    First parents make a forest. A commit is on the chain of the commit furthest above it, so long lines are not broken where
-    others fork off. After k rounds every commit knows its ancestor 4**k steps away, and the furthest commit less than 4**k
-    steps above it; so a history of depth d takes log4(d) rounds.
+    First parents make a forest. A commit is on the chain of the commit furthest above it (``_furthest_above``), so long lines are not
+    broken where others fork off.
     """
     hashes = commit_parents.select(F.col("child").alias("hash")).union(commit_parents.select("parent")).distinct()
     nodes = materialize(hashes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    hot = hot_keys(commit_parents, ["parent"])
     children = commit_parents.join(nodes.withColumnRenamed("hash", "child"), "child").drop("child")
     parents = nodes.select(F.col("hash").alias("parent"), F.col("node").alias("parent_node"))
     order = F.col("ordinal") if "ordinal" in commit_parents.columns else F.col("parent_node")
-    both = spread_join(children, parents, ["parent"], ["node"])
+    both = spread_join(children, parents, ["parent"], ["node"], hot=hot)
     links = materialize(both.select("node", F.col("parent_node").alias("parent"), order.alias("ordinal")), "links")
 
-    first = links.groupBy("node").agg(F.min_by("parent", "ordinal").alias("ahead"))
-    start = nodes.select("node").join(first, "node", "left")
-    step = materialize(start.select("node", "ahead", F.lit(0).cast("bigint").alias("above"), F.col("node").alias("last")), "jump")
-    size = step.count()
-    most = _largest_key(size)
-    jumps: list[DataFrame] = []
+    first = links.where("ordinal IS NOT NULL").groupBy("node").agg(F.min_by("parent", F.struct("ordinal", "parent")).alias("first"))
+    start = materialize(nodes.select("node").join(first, "node", "left"), "first-parents")
+    chains = _furthest_above(start).select("node", F.col("last").alias("chain"), (-F.col("above")).alias("position"))
+    own = materialize(start.join(chains, "node"), "own-chains")
+
+    ends = own.select(F.col("node").alias("parent"), F.col("chain").alias("parent_chain"), F.col("position").alias("parent_position"))
+    placed = spread_join(links.join(own, "node"), ends, ["parent"], ["node"], hot=hot_keys(links, ["parent"]))
+    leaving = placed.where("chain <> parent_chain").withColumn("first", F.col("parent").eqNullSafe(F.col("first")))
+    leaving = materialize(leaving.select("chain", "position", "parent_chain", "parent_position", "first"), "chain-links")
+    up = [F.col("parent_chain").alias("c"), F.col("parent_position").alias("e"), F.lit(1).cast("bigint").alias("s")]
+    ups = materialize(leaving.where("first").select("chain", F.col("position").alias("bottom"), *up).distinct(), "ups")
+    told = spread_join(own.drop("first"), ups.drop("s"), ["chain"], ["node"], "left")
+    return History(materialize(nodes.join(told, "node"), "nodes"), leaving.drop("first"), ups)
+
+
+def _furthest_above(start: DataFrame) -> DataFrame:
+    """The furthest commit above every commit of a forest ``node, first`` and the steps to it: ``node, above, last``.
+
+    Of commits equally far the one of the highest number counts. A forest of more than ``PLAIN_NODES`` commits is made smaller first.
+    In a round the commits that nothing is above are done and tell their parents; and of the others with a single child, those whose
+    number, hashed, is above those of child and parent are taken out, their child going to their parent. That leaves about two
+    thirds of any long line, so all rounds together shuffle a few times the commits, however long the history. What was taken out is
+    answered by its child, in the reverse order.
+    """
+    one = F.lit(1).cast("bigint")
+    below = start.where("first IS NOT NULL").groupBy(F.col("first").alias("node")).agg(
+        F.count(F.lit(1)).alias("kids"), F.bit_xor("node").alias("kid"), F.bit_xor(one).alias("kid_steps")
+    )
+    # kid and kid_steps: the children's numbers and steps, put together by XOR, which are those of the child where there is one
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("kids", "kid", "kid_steps")]
+    own = [F.lit(0).cast("bigint").alias("above"), F.col("node").alias("last")]
+    forest = start.join(below, "node", "left").select("node", F.col("first").alias("parent"), one.alias("steps"), *own, *counts)
+    forest = materialize(forest, "forest")
+    out: list[tuple[DataFrame, DataFrame]] = []
+    while forest.count() > PLAIN_NODES:
+        smaller = materialize(_contracted(forest, len(out)), "forest")
+        taken = forest.where(_taken(len(out))).select(
+            F.col("node").alias("taken"), F.col("kid").alias("node"), "kid_steps", F.struct("above", "last").alias("own")
+        )
+        out.append((smaller.where("done").select("node", "above", "last"), taken))
+        forest = smaller.where("NOT done").drop("done")
+    known = _doubled(forest)
+    for done, taken in reversed(out):
+        through = taken.join(known, "node").select(
+            F.col("taken").alias("node"), F.greatest("own", F.struct((F.col("above") + F.col("kid_steps")).alias("above"), "last")).alias("f")
+        )
+        known = known.unionByName(done).unionByName(materialize(through.select("node", "f.above", "f.last"), "answered"))
+    return known
+
+
+def _taken(turn: int) -> Column:
+    """Whether a commit is taken out in a round: no two of them are parent and child."""
+
+    def lot(name: str) -> Column:
+        return F.xxhash64(F.col(name), F.lit(turn))
+
+    higher = (lot("node") > lot("kid")) & (F.col("parent").isNull() | (lot("node") > lot("parent")))
+    return (F.col("kids") == 1) & higher
+
+
+def _contracted(forest: DataFrame, turn: int) -> DataFrame:
+    """One round: the forest without the commits taken out, those with nothing above them marked ``done``."""
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+
+    def row(key: str, here: bool = False, **values: Column) -> Column:
+        plain = {"parent": none, "to": none, "steps": zero, "above": none, "last": none, "kids": zero, "kid": zero, "kid_steps": zero}
+        named = [value.cast("bigint").alias(name) for name, value in (plain | values).items()]
+        return F.struct(F.col(key).alias("node"), F.lit(here).alias("here"), F.lit("to" in values).alias("moved"), *named)
+
+    taken, top = _taken(turn), F.col("kids") == 0
+    rooted, further = F.col("parent").isNotNull(), F.col("above") + F.col("steps")
+    itself = row("node", True, **{c: F.col(c) for c in ("parent", "steps", "above", "last", "kids", "kid", "kid_steps")})
+    ended = row("parent", above=further, last=F.col("last"), kids=F.lit(-1), kid=F.col("node"), kid_steps=F.col("steps"))
+    to_child = row("kid", to=F.col("parent"), steps=F.col("steps"))
+    to_parent = row(
+        "parent",
+        above=further,
+        last=F.col("last"),
+        kid=F.col("node").bitwiseXOR(F.col("kid")),
+        kid_steps=F.col("steps").bitwiseXOR(F.col("steps") + F.col("kid_steps")),
+    )
+    said = F.when(taken & rooted, F.array(to_child, to_parent)).when(taken, F.array(to_child))
+    said = said.when(top & rooted, F.array(itself, ended)).otherwise(F.array(itself))
+    # Nothing is combined before the shuffle: few rows have one key, and all would be sorted for it.
+    rows = forest.select(F.inline(said)).repartition("node").groupBy("node")
+    met = rows.agg(
+        F.bool_or("here").alias("here"),
+        F.bool_or("moved").alias("moved"),
+        F.max("parent").alias("parent"),
+        F.max("to").alias("to"),
+        F.sum("steps").alias("steps"),
+        F.max(F.when(F.col("above").isNotNull(), F.struct("above", "last"))).alias("f"),
+        F.max(F.when(F.col("here"), F.col("kids"))).alias("had"),
+        F.sum("kids").alias("kids"),
+        F.bit_xor("kid").alias("kid"),
+        F.bit_xor("kid_steps").alias("kid_steps"),
+    )
+    # A commit with nothing above it whose parent was taken out in the same round stays: its word did not arrive.
+    left = met.where("here").withColumn("parent", F.when(F.col("moved"), F.col("to")).otherwise(F.col("parent")))
+    done = ((F.col("had") == 0) & ~F.col("moved")).alias("done")
+    return left.select("node", "parent", "steps", "f.above", "f.last", "kids", "kid", "kid_steps", done)
+
+
+def _doubled(forest: DataFrame) -> DataFrame:
+    """The furthest commit above every commit of a forest, in rounds: after k of them a commit knows its ancestor 4**k links away and
+    the furthest commit that is less than 4**k links above it.
+    """
+    step = materialize(forest.select("node", F.col("parent").alias("ahead"), "steps", "above", "last"), "jump")
+    most = _largest_key(step.count())
     while not step.where("ahead IS NOT NULL").isEmpty():
-        stride = 4 ** len(jumps)
-        wide = step.where("ahead IS NOT NULL").withColumnRenamed("ahead", "ahead1")
+        wide = step.where("ahead IS NOT NULL").withColumnsRenamed({"ahead": "ahead1", "steps": "steps1"})
         for k in (2, 3, 4):
             # A row already beyond its root looks for a key of its own, so that such rows do not meet in one task.
             key = F.coalesce(f"ahead{k - 1}", -1 - F.col("node"))
-            onward = step.select(F.col("node").alias("at"), F.col("ahead").alias(f"ahead{k}"))
+            onward = step.select(F.col("node").alias("at"), F.col("ahead").alias(f"ahead{k}"), F.col("steps").alias("more"))
             wide = spread_join(wide.withColumn("at", key), onward, ["at"], ["node"], "left", most=most).drop("at")
+            wide = wide.withColumn(f"steps{k}", F.col(f"steps{k - 1}") + F.col("more")).drop("more")
         wide = materialize(wide, "jump")
-        jumps.append(wide.select("node", "ahead1", "ahead2", "ahead3"))
         passed = [
-            F.struct(F.col(f"ahead{k}").alias("node"), F.struct((F.col("above") + k * stride).alias("above"), "last").alias("found"))
+            F.struct(F.col(f"ahead{k}").alias("node"), F.struct((F.col("above") + F.col(f"steps{k}")).alias("above"), "last").alias("found"))
             for k in (1, 2, 3)
         ]
         passed = wide.select(F.explode(F.array(*passed)).alias("p")).where("p.node IS NOT NULL")
         gained = passed.groupBy("p.node").agg(F.max("p.found").alias("gained"))
         furthest = F.greatest(F.struct("above", "last"), F.col("gained"))
-        onward = wide.select("node", F.col("ahead4").alias("further"))
-        joined = step.join(onward, "node", "left").join(gained, "node", "left").select("node", "further", furthest.alias("f"))
-        step = materialize(joined.select("node", F.col("further").alias("ahead"), "f.above", "f.last"), "jump")
-    chains = step.select("node", F.col("last").alias("chain"), (-F.col("above")).alias("position"))
-    nodes = materialize(nodes.join(chains, "node"), "nodes")
-
-    own = nodes.select("node", "chain", "position")
-    ends = nodes.select(F.col("node").alias("parent"), F.col("chain").alias("parent_chain"), F.col("position").alias("parent_position"))
-    placed = spread_join(links.join(own, "node"), ends, ["parent"], ["node"])
-    leaving = placed.where("chain <> parent_chain")
-    return History(nodes, materialize(leaving.select("chain", "position", "parent_chain", "parent_position"), "chain-links"), tuple(jumps))
+        onward = wide.select("node", F.col("ahead4").alias("further"), F.col("steps4").alias("steps"))
+        joined = step.drop("steps").join(onward, "node", "left").join(gained, "node", "left")
+        joined = joined.select("node", "further", "steps", furthest.alias("f"))
+        step = materialize(joined.select("node", F.col("further").alias("ahead"), "steps", "f.above", "f.last"), "jump")
+    return step.select("node", "above", "last")
 
 
 def reachable(
@@ -104,7 +246,8 @@ def reachable(
     # a tip without links is its own only ancestor
     lonely = tips.join(index.nodes, "hash", "left_anti").select(F.col("hash").alias("tip"), "hash")
     reach = reached_chains(index, tips, until)
-    nodes, most, most_right = index.nodes.withColumnRenamed("position", "at"), *map(_largest_key, (index.nodes.count(), reach.count()))
+    nodes = index.nodes.select("hash", "node", "chain", F.col("position").alias("at"))
+    most, most_right = map(_largest_key, (index.nodes.count(), reach.count()))
     named = spread_join(nodes, reach, ["chain"], ["node"], spread_right=["tip"], most=most, most_right=most_right)
     return named.where("at <= position").select("tip", "hash").unionByName(lonely)
 
@@ -133,25 +276,57 @@ def reached_chains(index: History, tips: DataFrame, until: str | None = None) ->
     return reach.select("tip", "chain", "position")
 
 
+def climb(index: History, asked: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """Where first-parent steps lead: ``asked(chain, position, bottom, c, e, left, …)`` with ``to_chain, to_position`` instead.
+
+    One step to the chain below needs no join; further ones take one for each digit, to base 4, of the number of chains on the way.
+    No commit is at a position below a root. ``spread`` names columns that differ within a chain.
+    """
+    inside = F.col("position") - F.col("bottom")
+    off = F.col("left") > inside
+    at = asked.select(
+        *[c for c in asked.columns if c not in ("chain", "position", "bottom", "c", "e", "left")],
+        F.when(off, F.col("c")).otherwise(F.col("chain")).alias("to_chain"),
+        F.when(off, F.col("e")).otherwise(F.col("position")).alias("to_position"),
+        F.when(off, F.col("left") - inside - 1).otherwise(F.col("left")).alias("left"),
+    )
+    for lift in reversed(index.lifts):
+        at = materialize(at, "climb")
+        joined = spread_join(at, lift.withColumnRenamed("chain", "to_chain"), ["to_chain"], spread, "left")
+        inside = F.col("to_position") - F.col("bottom")
+        go = [F.col("left") >= inside + F.col(f"s{k}") for k in (3, 2, 1)]
+        moved = {}
+        for name, letter in {"to_chain": "c", "to_position": "e", "left": "s"}.items():
+            ways = [F.col(f"{letter}{k}") if name != "left" else F.col("left") - inside - F.col(f"s{k}") for k in (3, 2, 1)]
+            moved[name] = F.when(go[0], ways[0]).when(go[1], ways[1]).when(go[2], ways[2]).otherwise(F.col(name))
+        at = joined.withColumns(moved).select(*at.columns)
+    return at.withColumn("to_position", F.col("to_position") - F.col("left")).drop("left")
+
+
 def ancestors(commit_parents: DataFrame, specs: DataFrame, index: History | None = None) -> DataFrame:
     """The ancestor any number of first-parent steps away: ``hash, steps, ancestor`` for ``specs(hash, steps)``.
 
-    One join for each digit, to base 4, of the largest number of steps. The ancestor is null beyond the root, for a negative
+    One join for each digit, to base 4, of the largest number of chains on the way. The ancestor is null beyond the root, for a negative
     number and for a null one; 0 steps are the commit itself.
     """
     index = index_history(commit_parents) if index is None else index
-    specs = materialize(specs.select("hash", F.col("steps").cast("bigint").alias("steps")).distinct(), "specs")
-    count = specs.count()
-    at = spread_join(specs, index.nodes.select("hash", "node"), ["hash"], ["steps"], "left", most=count)
-    beyond = (F.col("steps") < 0) | (F.col("steps") >= F.lit(4 ** len(index.jumps)))
-    at = at.withColumn("node", F.when(~beyond, F.col("node")))
-    for k, jump in enumerate(index.jumps):
-        stepped = spread_join(at, jump, ["node"], ["hash", "steps"], "left", most=count)
-        digit = F.shiftright("steps", 2 * k).bitwiseAND(F.lit(3).cast("bigint"))
-        moved = F.when(digit == 0, F.col("node")).when(digit == 1, F.col("ahead1")).when(digit == 2, F.col("ahead2"))
-        at = stepped.select("hash", "steps", moved.otherwise(F.col("ahead3")).alias("node"))
-    named = index.nodes.select("node", F.col("hash").alias("ancestor"))
-    found = spread_join(at, named, ["node"], ["hash", "steps"], "left", most=count)
+    specs = specs.select("hash", F.col("steps").cast("bigint").alias("steps"))
+    count, nodes = specs.count(), index.nodes.drop("node")
+    hot = hot_keys(specs, ["hash"]) if count >= HOT_FLOOR else None
+    if hot is None or hot.isEmpty():
+        # one shuffle by hash serves both
+        at = specs.repartition("hash").distinct().join(nodes, "hash", "left")
+    else:
+        at = spread_join(specs.distinct(), nodes, ["hash"], ["steps"], "left", hot=hot)
+    goes = (F.col("steps") >= 0) & F.col("chain").isNotNull()
+    # a row that leads nowhere looks for a place of its own, so that such rows do not meet in one task
+    apart = -1 - F.pmod(F.xxhash64("hash", "steps"), F.lit(2**62))
+    zero = F.lit(0).cast("bigint")
+    at = at.withColumns({"chain": F.when(goes, F.col("chain")).otherwise(apart), "bottom": F.when(goes, F.col("bottom")), "left": F.coalesce("steps", zero)})
+    at = climb(index, at, ["hash", "steps"])
+    at = materialize(at.select("hash", "steps", F.col("to_chain").alias("chain"), F.col("to_position").alias("position")), "places")
+    named = index.nodes.select("chain", "position", F.col("hash").alias("ancestor"))
+    found = spread_join(at, named, ["chain", "position"], ["hash", "steps"], "left", most=count)
     # A commit without links is not in the graph; it is its own ancestor of no steps.
     return found.select("hash", "steps", F.when(F.col("steps") == 0, F.col("hash")).otherwise(F.col("ancestor")).alias("ancestor"))
 
