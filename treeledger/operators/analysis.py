@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.content import has_text, snapshot_text
 from ..scratch import materialize
-from . import skew
 from .analyzers import ALL_STACKS, BoundAnalyzer
-from .skew import hot_counts, spread_join
+from .skew import hot_counts, short_list, spread_join
 
 
 def analyzer_rules(stack: Column, analyzers: Sequence[BoundAnalyzer]) -> Column:
@@ -47,7 +46,7 @@ def expand_analyzers(files: DataFrame, analyzers: Sequence[BoundAnalyzer]) -> Da
 def file_texts(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """Files with the text of their blob; a missing blob gives the stand-in text."""
     others = [c for c in files.columns if c != "hash"]
-    joined = spread_join(files, _wanted_texts(files, blobs), ["hash"], others, "left")
+    joined = spread_join(files, _wanted_texts(files, blobs), ["hash"], others, "left", stream_right=True)
     text = F.coalesce("text", snapshot_text(F.col("hash"), F.lit(None).cast("binary")))
     return joined.select(*files.columns, text.alias("text"))
 
@@ -55,16 +54,14 @@ def file_texts(files: DataFrame, blobs: DataFrame) -> DataFrame:
 def _wanted_texts(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """``hash, text`` of the blobs that the files name; their contents stay where they are scanned while the list is short."""
     hashes = materialize(files.select("hash").where(F.col("hash").isNotNull()).distinct(), "hashes")
-    if hashes.count() <= skew.BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
-    found = blobs.select("hash", "content").join(hashes, "hash")
+    found = blobs.select("hash", "content").join(short_list(hashes), "hash")
     return found.select("hash", snapshot_text(F.col("hash"), F.col("content")).alias("text"))
 
 
 def file_snapshots(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """Text of every distinct blob of the files: ``commit_file_hash, content_snapshot``."""
     hashes = files.select("hash").where(F.col("hash").isNotNull()).distinct()
-    joined = hashes.join(_wanted_texts(files, blobs), "hash", "left")
+    joined = hashes.hint("shuffle_hash").join(_wanted_texts(files, blobs), "hash", "left")
     text = F.coalesce("text", snapshot_text(F.col("hash"), F.lit(None).cast("binary")))
     return joined.select(F.col("hash").alias("commit_file_hash"), text.alias("content_snapshot"))
 
@@ -97,8 +94,8 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     ``blobs`` holds one row per hash.
 
     The list of wanted blobs is small next to the blobs themselves. When it is small enough to be broadcast it is
-    sent to the executors and content is analyzed where it is scanned. Beyond that both sides are shuffled by hash; a
-    blob table bucketed by hash then still keeps its content in place.
+    sent to the executors and content is analyzed where it is scanned. Beyond that both sides are shuffled by hash, but contents
+    are not sorted; a blob table bucketed by hash then still keeps its content in place.
     """
     extra = [c for c in files.columns if c not in ("commit_hash", "path", "hash", "tech_stack")]
     classified = files.withColumn("rules", analyzer_rules(F.col("tech_stack"), analyzers)).where(F.size("rules") > 0)
@@ -107,9 +104,7 @@ def analyze(files: DataFrame, blobs: DataFrame, analyzers: Sequence[BoundAnalyze
     per_hash = classified.groupBy("hash")
     every = F.array_distinct(F.flatten(F.collect_set("rules"))).alias("rules")
     wanted = materialize(per_hash.agg(every, F.count(F.lit(1)).alias("files")), "wanted")
-    asked = wanted.select("hash", "rules")
-    if wanted.count() <= skew.BROADCAST_ROWS:
-        asked = F.broadcast(asked)
+    asked = short_list(wanted.select("hash", "rules"))
     results = blob_results(blobs.join(asked, "hash").select("hash", "rules", "content"), analyzers)
 
     joined = spread_join(

@@ -11,7 +11,7 @@ from ..functions.content import has_text, snapshot_text
 from ..functions.paths import DEFAULT_STACKS, StackRule, extract_stack
 from ..scratch import materialize
 from . import skew
-from .skew import spread_join
+from .skew import short_list, spread_join
 from .trees import one_sided_files, pair_columns, ranked_files, with_renames
 
 # Share of the larger text, in per cent, that common lines must have in a renamed file that changed.
@@ -77,10 +77,7 @@ def _similar(contents: DataFrame, blobs: DataFrame, least: int) -> DataFrame:
 
 def _lines(contents: DataFrame, blobs: DataFrame) -> DataFrame:
     """``hash, key, n, chars, weight``: the distinct lines of every content with a text, how often and how long."""
-    hashes = contents.select("hash").distinct()
-    if hashes.count() <= skew.BROADCAST_ROWS:
-        # contents then stay where they are scanned
-        hashes = F.broadcast(hashes)
+    hashes = short_list(contents.select("hash").distinct())
     text: Column = snapshot_text(F.col("hash"), F.col("content"))
     texts = blobs.join(hashes, "hash", "left_semi").select("hash", text.alias("text")).where(has_text(F.col("text")))
     line = texts.select("hash", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")

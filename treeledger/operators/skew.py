@@ -48,6 +48,13 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
+def short_list(hashes: DataFrame) -> DataFrame:
+    """A list of hashes to join contents with: broadcast while it is counted to be short, so that contents stay where they are
+    scanned; beyond that each task keeps its part of the list in a hash table, so that contents are shuffled but not sorted.
+    """
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes.hint("shuffle_hash")
+
+
 def _marked(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Table with ``_parts``, NULL but for the hot keys; their list is broadcast while it is known to be short."""
     listed = hot.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
@@ -83,6 +90,7 @@ def spread_join(
     hot: DataFrame | None = None,
     most: int | None = None,
     most_right: int | None = None,
+    stream_right: bool = False,
 ) -> DataFrame:
     """Join on ``keys`` with the left rows of hot keys spread over several tasks.
 
@@ -93,6 +101,9 @@ def spread_join(
     Finding hot keys is a job of its own that reads the key columns; without any hot key this is an ordinary join. A caller
     who knows the hot keys of the left side gives them in ``hot``, and one who knows a bound on the rows of a key gives it
     in ``most`` and ``most_right``; a bound below the floor for hot keys spares the job.
+
+    ``stream_right`` is for short left rows and long right ones, such as contents: the left rows of a task are hashed and the right
+    ones pass by, so that contents are not sorted (and spilled) for the join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be spread")
@@ -112,4 +123,6 @@ def spread_join(
         right = _salted(right, hot_right, keys, spread_right, "_right_salt")
         left = _copied(left, hot_right, keys, "_right_salt")
         on.append("_right_salt")
+    if stream_right:
+        left = left.hint("shuffle_hash")
     return left.join(right, on, how).drop("_left_salt", "_right_salt")

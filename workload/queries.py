@@ -28,7 +28,7 @@ from treeledger.sinks import files as sinks
 from treeledger.sources import checkout, run_files
 from treeledger.sources.tables import RepoTables, load_repo_tables
 
-from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, NESTS, ORDER_TREES, RUN_LINES, RUN_TABLES, RUNS, derive, nested_objects, oracle, pick, read_table
+from .inputs import COMMITS, EDITED, EDITS_SQL, FILES, LAKE, MOVED, NESTED, NESTS, ORDER_TREES, RUN_LINES, RUN_TABLES, RUNS, derive, derive_contents, nested_objects, once_per_hash, oracle, pick, read_table, source_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,7 +152,7 @@ def tree_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blobs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derive(spark, sf, (FILES, LAKE), "blob_texts")
+    rows = derive_contents(spark, sf, F_PARTS, "f", tree_entries(spark, sf))
     return rows.select("hash", F.encode("content", "UTF-8").alias("content"))
 
 
@@ -223,8 +223,14 @@ def edited_lake(spark: SparkSession, sf: str) -> RepoTables:
     parents = spark.createDataFrame([("v1", "v0", 0)], schemas.COMMIT_PARENTS)
     refs = spark.createDataFrame([("lake", "main", "v1", True)], schemas.REFS)
     entries = files.select("commit_hash", "path", F.lit("100644").alias("mode"), "hash")
-    texts = files.groupBy("hash").agg(F.min(F.encode("content", "UTF-8")).alias("content"))
-    return RepoTables(commits, parents, refs, entries, texts)
+    return RepoTables(commits, parents, refs, entries, edited_blobs(spark, sf))
+
+
+def edited_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    files = derive(spark, sf, (EDITED,), "edited")
+    # both commits hold every document
+    rows = once_per_hash(files, files, 2 * source_bytes(spark, sf, "documents"))
+    return rows.select("hash", F.encode("content", "UTF-8").alias("content"))
 
 
 # -- paths and stacks ----------------------------------------------------------------------------------------------
@@ -1406,8 +1412,7 @@ def _edited_and_moved(spark, sf):
     moves = (F.col("commit_hash") == "v1") & (F.pmod(F.xxhash64("path"), F.lit(3)) == 0)
     path = F.when(moves, F.regexp_replace("path", "^src/", "lib/")).otherwise(F.col("path"))
     entries = edited.select("commit_hash", path.alias("path"), F.lit("100644").alias("mode"), "hash")
-    blobs = edited.groupBy("hash").agg(F.encode(F.min("content"), "UTF-8").alias("content"))
-    return entries, blobs
+    return entries, edited_blobs(spark, sf)
 
 
 @case()
