@@ -12,18 +12,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.content import has_text, snapshot_text
+from ..functions.content import ZERO_HASH, has_text, snapshot_text
 from ..functions.paths import PY_WHITESPACE
 from ..scratch import materialize
 from . import skew
 from .edits import hunks
-from .skew import hot_keys, spread_join
+from .skew import short_list, spread_join
 
 _PAIR = ["base_file_hash", "target_file_hash"]
 _KEYS = ["base_commit_hash", "target_commit_hash", "target_path"]
 _WITHOUT_SPACE = dict.fromkeys(b"\t\n\x0b\x0c\r ")
 _SIZES = "array<struct<chars: bigint, n: bigint>>"
 _COUNTS = ["added_lines", "deleted_lines", "added_chars", "deleted_chars"]
+# Pairs of texts that one task compares in order, so that neither its sorted rows nor its batch for Python grows with the table.
+PAIRS_PER_TASK = 2_000
 
 
 def line_changes(diff: DataFrame, blobs: DataFrame, reverse: bool = False) -> DataFrame:
@@ -96,10 +98,7 @@ def _stored(diff: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _texts(blobs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Text of every distinct blob on one side."""
-    hashes = pairs.select(F.col(name).alias("hash")).distinct()
-    if hashes.count() <= skew.BROADCAST_ROWS:
-        # contents then stay where they are scanned
-        hashes = F.broadcast(hashes)
+    hashes = short_list(pairs.select(F.col(name).alias("hash")).distinct())
     text = snapshot_text(F.col("hash"), F.col("content"))
     found = blobs.join(hashes, "hash", "left_semi").select("hash", text.alias("text"))
     return found.where(has_text(F.col("text")))
@@ -191,13 +190,25 @@ def with_hunk_counts(diff: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _both_texts(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Pairs of blobs with the text of both, null where there is none."""
-    stored = pairs
-    for name in _PAIR:
-        other = [c for c in pairs.columns if c != name]
-        texts = _texts(blobs, stored, name).select(F.col("hash").alias(name), F.col("text").alias(f"{name}_text"))
-        pairs = spread_join(pairs, texts, [name], other, "left", hot=hot_keys(stored, [name]))
-    return pairs.select(*_PAIR, *[f"{c}_text" for c in _PAIR])
+    """Pairs of blobs with the text of both, null where there is none; pairs without any text are left out.
+
+    Contents meet both sides of the pairs in one join that does not sort them, then the texts of a pair meet in one of many small tasks.
+    """
+    n_pairs = pairs.count()
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(name).alias("hash")) for name in _PAIR]))
+    # an absent side has no text, and is absent in very many pairs
+    asked = pairs.select(*_PAIR, sides.alias("s")).select(*_PAIR, "s.*").where(F.col("hash") != ZERO_HASH)
+    if n_pairs <= skew.BROADCAST_ROWS // 4:
+        # contents then stay where they are scanned; a row has four hashes' room
+        found = blobs.select("hash", "content").join(F.broadcast(asked), "hash")
+    else:
+        asked = materialize(asked, "asked")
+        found = spread_join(asked, blobs.select("hash", "content"), ["hash"], [*_PAIR, "side"], stream_right=True)
+    texts = found.select(*_PAIR, "side", snapshot_text(F.col("hash"), F.col("content")).alias("text"))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // PAIRS_PER_TASK))
+    # a pair has one row a side, so nothing is combined before the shuffle
+    met = texts.where(has_text(F.col("text"))).repartition(tasks, *_PAIR).groupBy(*_PAIR)
+    return met.agg(*[F.max(F.when(F.col("side") == name, F.col("text"))).alias(f"{name}_text") for name in _PAIR])
 
 
 def _lines_of(text: str | None) -> list[str]:
