@@ -89,3 +89,19 @@ def test_remainder(spark):
     out = spark.range(50).select("id", lid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in out)
     assert spark.range(1).select(lid.held_out("id")).where(F.lit(True)).count() == 1
+
+
+def test_words_are_hashed_in_bounded_parts_with_equal_scores(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéж字"), rng.integers(1, 12))) for _ in range(3000)] + ["x" * 700]
+    weights = rng.standard_normal((lid.BUCKETS, 3)).astype(np.float32)
+    model = lid.LanguageModel(["aa", "bb", "cc"], weights, rng.random((len(lid.SCRIPTS), 3)) < 2)
+    plain = lid.sequences_of
+    expected = np.array([weights[plain([word])[0]].sum(0, dtype=float) for word in words])
+    expected = np.maximum(expected - expected.max(1, keepdims=True), lid.NO_CANDIDATE)
+    sizes = []
+    monkeypatch.setattr(lid, "SCORED_SIZE", 500, raising=False)
+    monkeypatch.setattr(lid, "sequences_of", lambda part: (sizes.append(sum(map(len, part))), plain(part))[1])
+    found = model.scores(words)
+    assert len(sizes) > 30 and sorted(sizes)[-2] <= 500 and max(sizes) == 700
+    assert found.dtype == np.float32 and np.allclose(found, expected, atol=1e-3)

@@ -19,6 +19,9 @@ TRAINING_DOCS = 1500
 # Hashed letter sequences of one to four bytes of a word with its boundaries.
 LONGEST_SEQUENCE = 4
 BUCKETS = 1 << 18
+# Characters of text labelled at once, and of words hashed and scored at once: a word has about four sequences for each of its bytes.
+LABELLED_SIZE = 1_000_000
+SCORED_SIZE = 50_000
 # Log probability lost with every change of language between neighbouring words.
 SWITCH_PENALTY = 9.0
 # A language is a candidate for words of a script that holds at least this share of its training letters.
@@ -110,10 +113,13 @@ class LanguageModel:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probability of every word in every language, against the best; a script that no language uses decides by that alone."""
-        buckets, begins = sequences_of(words)
-        out = np.add.reduceat(self.weights[buckets], begins, axis=0)
-        out = np.where(self.candidates[scripts_of(words)], out, -np.inf)
-        return np.maximum(out - out.max(1, keepdims=True), NO_CANDIDATE)
+        out = np.empty((len(words), len(self.languages)), self.weights.dtype)
+        for begin, end in row_batches(words, SCORED_SIZE):
+            buckets, begins = sequences_of(words[begin:end])
+            np.add.reduceat(self.weights[buckets], begins, axis=0, out=out[begin:end])
+        out[~self.candidates[scripts_of(words)]] = -np.inf
+        out -= out.max(1, keepdims=True)
+        return np.maximum(out, NO_CANDIDATE, out=out)
 
 
 def viterbi(codes: list[np.ndarray], scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
@@ -167,7 +173,7 @@ def viterbi(codes: list[np.ndarray], scores: np.ndarray, penalty: float = SWITCH
 def fit(training: DataFrame) -> LanguageModel:
     """Fit on rows of (``lang``, ``text``): counts of hashed sequences, smoothed, by language.
 
-    The rows must be a bounded sample. Only tables of ``BUCKETS`` counts per language come to the driver.
+    The rows must be a bounded sample. Only tables of ``BUCKETS`` counts per language come to the driver, as bytes.
     """
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -176,17 +182,18 @@ def fit(training: DataFrame) -> LanguageModel:
         texts = group["text"].tolist()
         for begin, end in row_batches(texts):
             found = Counter(word for text in texts[begin:end] for word in words_of(text))
-            if found:
-                words, times = list(found), np.array(list(found.values()), float)
+            distinct, counts = list(found), np.array(list(found.values()), float)
+            for first, last in row_batches(distinct, SCORED_SIZE):
+                words, times = distinct[first:last], counts[first:last]
                 buckets, begins = sequences_of(words)
                 per_word = np.diff(np.append(begins, len(buckets)))
                 sums += np.bincount(buckets, np.repeat(times, per_word), BUCKETS)
                 letters += np.bincount(scripts_of(words), times * [len(w) for w in words], len(SCRIPTS))
-        return pd.DataFrame({"lang": [key[0]], "sums": [sums.astype(np.float32)], "letters": [letters]})
+        return pd.DataFrame({"lang": [key[0]], "sums": [sums.astype("<f4").tobytes()], "letters": [letters]})
 
-    rows = training.groupBy("lang").applyInPandas(count, "lang string, sums array<float>, letters array<double>").collect()
+    rows = training.groupBy("lang").applyInPandas(count, "lang string, sums binary, letters array<double>").collect()
     rows = sorted((row for row in rows if sum(row["letters"])), key=lambda row: row["lang"])
-    sums = np.array([row["sums"] for row in rows], float).reshape(len(rows), BUCKETS)
+    sums = np.array([np.frombuffer(row["sums"], "<f4") for row in rows], float).reshape(len(rows), BUCKETS)
     letters = np.array([row["letters"] for row in rows]).reshape(len(rows), len(SCRIPTS))
     totals = sums.sum(1, keepdims=True)
     weights = np.log((sums + 0.5) / (totals + 0.5 * BUCKETS)).T.astype(np.float32)
@@ -220,7 +227,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> D
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for begin, end in row_batches(texts):
+            for begin, end in row_batches(texts, LABELLED_SIZE):
                 words = [words_of(text) if model.languages else [] for text in texts[begin:end]]
                 codes, uniques = pd.factorize(np.array([w for text in words for w in text], object))
                 cuts = np.cumsum([len(w) for w in words])[:-1]
