@@ -283,6 +283,22 @@ def test_regex_engines_agree(spark):
         analyzers.RegexMatchCountAnalyzer({"patterns": "a"})
 
 
+def test_regex_groups_come_from_one_search(spark):
+    texts = ["a1.2 b33:4 12.", "xyy y xbcbc", "ab ab abcd", "class class_ xclass 1class class", "é\u00e9class é class", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    apart = [r"([0-9]+)[.:]([0-9]+)", r"(x)?(y)", r"(ab?)(c|bcd)?", r"(a|ab)(c|bcd)", r"(\w+) (\1)", r"(b+?)(c{1,2})"]
+    around = [r"\bclass(_?)", r"\bclass\b", r"\bc?l", r"(?<=a)(b)(c)?", r"(a)(b)$", r"\b(c)(l)", r"\bx{0,1}c", r"(c++)(l)"]
+    for pattern in apart + around:
+        analyzer = analyzers.RegexMatchCountAnalyzer({"patterns": [pattern]})
+        count, detail = analyzer.columns(F.col("t"))
+        found = df.select(count.alias("n"), detail.alias("d"))
+        plain = [(None, None) if t is None else analyzer.analyze(t) for t in texts]
+        told = [(r.n, json.loads(r.d or "null")) for r in found.collect()]
+        assert told == [(n, json.loads(json.dumps(d))) for n, d in plain], pattern
+        searches = df.select(detail.alias("d"))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(")
+        assert searches == (1 if pattern in apart else analyzers.jvm_pattern(pattern).groups or 1 if analyzers.jvm_pattern(pattern) else 0), pattern
+
+
 class WordCount(Analyzer):
     """Number of words."""
 

@@ -15,15 +15,21 @@ _BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _NO_BOUNDARY = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 _PLAIN_GROUPS = ("(?:", "(?=", "(?!", "(?<=", "(?<!")
 _QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
+# Assertions, and quantifiers that give nothing back: with these a match may depend on what is around it.
+_AROUND = re.compile(r"\(\?[=!<]|[\^$]|\\[AzbB]|[*+?}]\+")
 
 
 @dataclass(frozen=True)
 class JvmPattern:
-    """A pattern in JVM spelling, its number of groups, and a text every match contains (possibly empty)."""
+    """A pattern in JVM spelling, its number of groups, and a text every match contains (possibly empty).
+
+    ``alone``: what is around a match does not count, so its groups can be found from the match itself.
+    """
 
     regex: str
     groups: int
     literal: str
+    alone: bool = False
 
 
 class _Unsupported(Exception):
@@ -42,7 +48,7 @@ def jvm_pattern(pattern: str) -> JvmPattern | None:
         regex, literal = _translate(pattern)
     except _Unsupported:
         return None
-    return JvmPattern("(?d)" + regex, groups, literal)
+    return JvmPattern("(?d)" + regex, groups, literal, _AROUND.search(regex) is None)
 
 
 class _Width:
@@ -80,6 +86,10 @@ def _translate(pattern: str) -> tuple[str, str]:
         if c == "\\":
             piece, literal, i = _escape(pattern, i)
             takes = literal is not None or piece.startswith("[")
+            following = pattern[i : i + 1]
+            if piece == _BOUNDARY and following.isascii() and (following.isalnum() or following == "_") and not optional(i + 1):
+                # before a letter only what precedes it decides, and few places of a text have the letter
+                piece = f"(?={following})(?<![{WORD}])"
         elif c == "[":
             piece, i = _char_class(pattern, i)
         elif c == "(":
