@@ -87,6 +87,24 @@ def test_new_changed_and_gone_runs(spark, tmp_path, monkeypatch):
         assert trend.first().timestamp == datetime(2024, 1, 2, 10)
 
 
+def test_a_table_that_several_statistics_need_is_read_once(spark, tmp_path, monkeypatch):
+    base, store = f"{tmp_path}/base", f"{tmp_path}/store"
+    plans = []
+
+    class Watched(Authors):
+        def single(self, tables):
+            plans.append(tables.diff_results._jdf.queryExecution().optimizedPlan().toString())
+            return super().single(tables)
+
+    chosen = {"diff_change_counts": stats.DiffFileChangeCountStatistic(), "authors": Watched()}
+    for n, named_runs in ((3, 20_000), (4, 0)):
+        monkeypatch.setattr(increments, "NAMED_RUNS", named_runs)
+        put_run(spark, base, "r1", n, append=True)
+        increments.update_statistics(spark, base, store, statistics=chosen)
+    assert len(plans) == 2 and all("parquet" in plan and "csv" not in plan for plan in plans)
+    same(spark, base, store, {**chosen, "authors": Authors()})
+
+
 def test_a_job_that_ends_early_counts_nothing_twice(spark, tmp_path, monkeypatch):
     base, store = f"{tmp_path}/base", f"{tmp_path}/store"
     chosen = {"record_count": CHOSEN["record_count"]}

@@ -89,10 +89,13 @@ def _last_batch(spark: SparkSession, store: str, name: str) -> int:
     return ledger(spark, store, name).agg(F.max("batch")).first()[0] or 0
 
 
-def tables_of(spark: SparkSession, base: str, parts: DataFrame, changed: DataFrame, kinds: Sequence[str]) -> RunTables:
+def tables_of(
+    spark: SparkSession, base: str, parts: DataFrame, changed: DataFrame, kinds: Sequence[str], kept: Sequence[str] = ()
+) -> RunTables:
     """The tables of the changed runs; no file of another run is opened while there are at most ``NAMED_RUNS`` of them.
 
     ``kinds`` are the tables that any run has: one that no changed run has is empty, as over all runs it would not be None.
+    Those of ``kept`` are stored, so that their files are read once however often they are used.
     """
     wanted = materialize(parts.join(changed.where(F.col("state").isNotNull()), RUN, "left_semi").select(*RUN, "part").distinct(), "parts")
     few = changed.limit(NAMED_RUNS + 1).count() <= NAMED_RUNS
@@ -111,7 +114,8 @@ def tables_of(spark: SparkSession, base: str, parts: DataFrame, changed: DataFra
             rows = run_files.read_run_manifest(spark, base, runs)
         else:
             rows = run_files.read_run_csv(spark, base, part, runs=runs)
-        return rows if few or rows is None else rows.join(changed, RUN, "left_semi")
+        rows = rows if few or rows is None else rows.join(changed, RUN, "left_semi")
+        return rows if rows is None or part not in kept else materialize(rows, part)
 
     keys = [T.StructField(c, T.StringType()) for c in RUN]
     tables = {name: of(name) for name in kinds}
@@ -148,7 +152,7 @@ def update_statistics(
     states = materialize(run_states(parts, ":".join([stack, *kinds])), "states")
     chosen = {RUN_LABELS: _Labels(), **(registered_statistics() if statistics is None else statistics)}
     changed = _changed(spark, states, store, list(chosen))
-    # statistics that lack the same runs read them once
+    # statistics that lack the same runs read them together, and a table that several of them need once
     of_run = F.xxhash64(*RUN, "state")
     lacking = changed.groupBy("statistic").agg(
         F.count(F.lit(1)).alias("runs"),
@@ -167,7 +171,9 @@ def update_statistics(
         place = f"{store}/{name}"
         _, present, *_ = sets[name]
         if present and sets[name] not in read:
-            read[sets[name]] = tables_of(spark, base, parts, own, kinds).of_stack(stack)
+            needs = [n for other, s in chosen.items() if counts[other] and sets[other] == sets[name] for n in s.needs]
+            kept = [kind for kind in kinds if needs.count(kind) > 1]
+            read[sets[name]] = tables_of(spark, base, parts, own, kinds, kept).of_stack(stack)
         tables = read.get(sets[name])
         if tables is not None and all(getattr(tables, need) is not None for need in statistic.needs):
             try:
