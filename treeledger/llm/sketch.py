@@ -22,18 +22,26 @@ def _cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.append(begins[1:], len(keys)) if len(begins) else begins
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    """Rising cells of one block: the width of the largest step in bytes, then all steps of that width."""
-    steps = np.diff(cells.astype("<u8"), prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _narrow(values: np.ndarray) -> bytes:
+    """The width of the largest number in bytes, then all numbers of that width."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _wide(data: bytes) -> np.ndarray:
     width = data[0]
     wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel())
+    return wide.view("<u8").ravel()
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Cells of one block, none smaller than the one before, as the steps between them."""
+    return _narrow(np.diff(cells.astype("<u8"), prepend=np.uint64(0)))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_wide(data))
 
 
 def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes, block_bits: int) -> DataFrame:
@@ -43,32 +51,33 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes, bloc
 
     ``docs`` has ``chunk`` and ``text``; ``hashes`` gives the items of a list of texts: the number of the text, and a 64-bit hash.
 
-    Tasks send their sketch as the cells they touch, by block and chunk, together with the cells they count twice or more; a
-    block's task adds up what it gets. Counts stop at two, the only thing asked of them, so a very frequent item is one
-    entry per task. A task sends at most one row per item. Returns (``chunk``, ``block``, ``cells``).
+    Tasks send their sketch as the cells they touch and the chunks that touch them, a row for each block, with a bit for what a
+    chunk counts twice or more; a block's task adds up what it gets. Counts stop at two, the only thing asked of them, so a very
+    frequent item is one entry per task and chunk. The number of rows does not depend on that of the chunks: rows of a block and
+    a chunk each would hold about one item once the input has some GB. Returns (``chunk``, ``block``, ``cells``).
     """
     shift = np.uint64(64 - bits)
     upper = np.uint64(block_bits)
     mask = np.uint64((1 << block_bits) - 1)
+    chunk_bits = np.uint64(int(chunks - 1).bit_length())
+    chunk_mask = (np.uint64(1) << chunk_bits) - np.uint64(1)
 
     def part(keys: list[np.ndarray]) -> pd.DataFrame:
         merged = np.concatenate(keys)
         keys.clear()
         merged.sort()
         begins, ends = _cut(merged)
-        cells, twice = merged[begins], ends - begins > 1
+        touched, twice = merged[begins], ends - begins > 1
         del merged
-        target = cells >> upper
-        begins, ends = _cut(target)
-        rows = []
-        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
-            low = cells[begin:end] & mask
-            again = low[twice[begin:end]]
-            rows.append((_packed(low), _packed(again) if len(again) else b""))
-        made = pd.DataFrame(rows, columns=["cells", "twice"])
-        made["block"] = (target[begins] // np.uint64(chunks)).astype(np.int64)
-        made["chunk"] = (target[begins] % np.uint64(chunks)).astype(np.int64)
-        return made
+        cells, chunk = touched >> chunk_bits, touched & chunk_mask
+        block = cells >> upper
+        cells &= mask
+        begins, ends = _cut(block)
+        rows = [
+            (number, _packed(cells[begin:end]), _narrow(chunk[begin:end]), np.packbits(twice[begin:end]).tobytes())
+            for number, begin, end in zip(block[begins].tolist(), begins.tolist(), ends.tolist(), strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["block", "cells", "chunks", "twice"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -78,9 +87,7 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes, bloc
             chunk = batch["chunk"].to_numpy(np.uint64)
             for begin, end in row_batches(texts):
                 owner, values = hashes(texts[begin:end])
-                cell = values >> shift
-                target = (cell >> upper) * np.uint64(chunks) + chunk[begin:end][owner]
-                held.append((target << upper) | (cell & mask))
+                held.append(((values >> shift) << chunk_bits) | chunk[begin:end][owner])
                 size += len(values)
                 if size > HELD_ITEMS:
                     yield part(held)
@@ -89,21 +96,33 @@ def repeated_cells(docs: DataFrame, chunks: int, bits: int, hashes: Hashes, bloc
             yield part(held)
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lists = [_unpacked(data) for data in group["cells"]]
-        many = [_unpacked(data) for data in group["twice"] if data]
-        every = np.sort(np.concatenate(lists))
-        begins, ends = _cut(every)
-        repeated = np.unique(np.concatenate([every[begins[ends - begins > 1]], *many]))
-        del every, begins, ends
-        answers = []
-        for chunk, places in group.groupby("chunk").indices.items():
-            touched = np.unique(np.concatenate([lists[k] for k in places]))
-            found = np.intersect1d(touched, repeated, assume_unique=True)
-            if len(found):
-                answers.append((chunk, key[0], _packed(found)))
+        # A cell, a chunk and the bit in one number each, so that a sort brings the entries of a cell together.
+        entries = []
+        for cells, chunk, twice in zip(group["cells"], group["chunks"], group["twice"], strict=True):
+            cells = _unpacked(cells)
+            more = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells))
+            entries.append((((cells << chunk_bits) | _wide(chunk)) << np.uint64(1)) | more)
+        every = np.concatenate(entries)
+        del entries
+        every.sort()
+        cells = every >> (chunk_bits + np.uint64(1))
+        repeated = every & np.uint64(1) > 0
+        same = cells[1:] == cells[:-1]
+        repeated[1:] |= same
+        repeated[:-1] |= same
+        cells, chunk = cells[repeated], (every[repeated] >> np.uint64(1)) & chunk_mask
+        del every, same, repeated
+        # The entries of a chunk together; those of one cell and chunk are one.
+        found = np.unique((chunk << upper) | cells)
+        cells, chunk = found & mask, found >> upper
+        begins, ends = _cut(chunk)
+        answers = [
+            (number, key[0], _packed(cells[begin:end]))
+            for number, begin, end in zip(chunk[begins].tolist(), begins.tolist(), ends.tolist(), strict=True)
+        ]
         return pd.DataFrame(answers, columns=["chunk", "block", "cells"])
 
-    sketches = docs.select("chunk", "text").mapInPandas(count, "chunk long, block long, cells binary, twice binary")
+    sketches = docs.select("chunk", "text").mapInPandas(count, "block long, cells binary, chunks binary, twice binary")
     return sketches.groupBy("block").applyInPandas(merge, "chunk long, block long, cells binary")
 
 
@@ -123,5 +142,17 @@ class RepeatedCells:
         if not len(self.cells):
             return np.zeros(len(values), bool)
         cell = values >> self.shift
+        # Rising cells are found several times as fast; a cell and its place are sorted as one number where both fit in.
+        place_bits = len(values).bit_length()
+        if 64 - int(self.shift) + place_bits > 64:
+            return self._found(cell)
+        low = np.uint64(place_bits)
+        ordered = (cell << low) | np.arange(len(cell), dtype=np.uint64)
+        ordered.sort()
+        held = np.empty(len(cell), bool)
+        held[(ordered & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)] = self._found(ordered >> low)
+        return held
+
+    def _found(self, cell: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
         return self.cells[at] == cell

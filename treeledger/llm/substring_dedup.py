@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,28 @@ def _candidates(texts: list[str], answers: pd.DataFrame, bits: int, width: int):
         yield begin, words, owner[keep], start[keep], high[keep], low[keep]
 
 
+def first_places(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where each of the different 128-bit hashes comes first."""
+    if not len(high):
+        return np.empty(0, np.int64)
+    # The lowest bits make room for the place, so that numbers are sorted and not places by number.
+    room = (np.uint64(1) << np.uint64(len(high).bit_length())) - np.uint64(1)
+    ordered = (high & ~room) | np.arange(len(high), dtype=np.uint64)
+    ordered.sort()
+    place = (ordered & room).astype(np.int64)
+    upper = ordered & ~room
+
+    def same() -> np.ndarray:
+        a, b = high[place], low[place]
+        return (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+
+    equal = same()
+    if (equal != (upper[1:] == upper[:-1])).any():  # different hashes agree in the bits that were left
+        place = np.lexsort((low, high))
+        equal = same()
+    return place[np.append(True, ~equal)]
+
+
 def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Remove from every text the words covered by a window of ``width`` words that also starts earlier.
 
@@ -84,15 +107,14 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         for begin, _, owner, start, high, low in _candidates(texts, told, bits, width):
             parts.append((ids[begin + owner], start, high, low))
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
-        order = np.lexsort((columns[3], columns[2]))  # stable, so that the earliest comes first
-        high, low = columns[2][order], columns[3][order]
-        first = order[np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))] if len(order) else order
+        high, low = columns[2].astype(np.uint64, copy=False), columns[3].astype(np.uint64, copy=False)
+        first = first_places(high, low)
         return pd.DataFrame(
             {
                 "_id": columns[0][first],
                 "start": columns[1][first].astype(np.int32),
-                "high": columns[2][first].view(np.int64),
-                "low": columns[3][first].view(np.int64),
+                "high": high[first].view(np.int64),
+                "low": low[first].view(np.int64),
             }
         )
 
@@ -110,19 +132,26 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         first_starts = dict(zip(kept["_id"], kept["starts"], strict=True))
         out = []
         for begin, words, owner, start, _, _ in _candidates(texts, told, bits, width):
-            bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-            for k, list_of_words in enumerate(words):
-                starts = start[bounds[k] : bounds[k + 1]]
-                removed = 0
-                if len(starts):
-                    starts = np.setdiff1d(starts, first_starts.get(ids[begin + k], ()), assume_unique=True)
-                    steps = np.zeros(len(list_of_words) + 1, np.int64)
-                    steps[starts] += 1
-                    steps[starts + width] -= 1
-                    covered = np.cumsum(steps[:-1]) > 0
-                    removed = int(covered.sum())
-                    if removed:
-                        list_of_words = [list_of_words[i] for i in np.nonzero(~covered)[0].tolist()]
+            counts = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(counts)
+            bases = ends - counts
+            # The windows of all texts that start at a word and earlier somewhere else; every one lies inside its text.
+            later = np.zeros(ends[-1] + 1, bool)
+            later[bases[owner] + start] = True
+            for k, doc_id in enumerate(ids[begin : begin + len(words)]):
+                starts = first_starts.get(doc_id)
+                if starts is not None:
+                    later[bases[k] + starts[starts <= counts[k] - width]] = False
+            at = np.nonzero(later)[0]
+            steps = np.zeros(ends[-1] + 1, np.int64)
+            steps[at] += 1
+            steps[at + width] -= 1
+            covered = np.cumsum(steps[:-1]) > 0
+            gone = np.append(0, np.cumsum(covered))
+            for k, removed in enumerate((gone[ends] - gone[bases]).tolist()):
+                list_of_words = words[k]
+                if removed:
+                    list_of_words = list(compress(list_of_words, (~covered[bases[k] : ends[k]]).tolist()))
                 text = b" ".join(list_of_words)
                 out.append((ids[begin + k], len(list_of_words) + removed, removed, hashlib.sha256(text).hexdigest(), text.decode()))
         return pd.DataFrame(out, columns=["_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
